@@ -93,13 +93,15 @@ def preview(df: DataFrame, text: str = "text", n: int = 10, width: int = 300,
 
 
 def preview_chunks(df: DataFrame, text: str = "text", n: int = 10, width: int = 300,
-                   min_chars: int = 50, out: str = "chunk") -> DataFrame:
-    """``width``-character chunks over the first ``width * n * 3``
-    characters of each text; chunks of at most ``min_chars`` characters
-    (stripped) are skipped, then the first ``n`` are shown."""
-    head = F.substring(F.col(text), 1, width * n * 3)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(head) - 1, F.lit(0)), F.lit(width))
-    ex = df.select("*", F.posexplode(starts).alias("chunk_no", "chunk_start"))
-    chunk = T.strip(F.substring(F.col(text), F.col("chunk_start") + 1, width))
-    ex = ex.withColumn(out, chunk).where(F.length(F.col(out)) > min_chars)
-    return ex
+                   min_chars: int = 50, shown: int = 250, out: str = "chunk") -> DataFrame:
+    """``width``-character slices over the first ``width * n * 3``
+    characters of each text, stripped; slices of at most ``min_chars``
+    characters are skipped, the first ``n`` are shown whitespace-collapsed
+    and cut to ``shown`` + '...'.  Array expressions per row: no shuffle."""
+    head_len = F.least(F.length(F.col(text)), F.lit(width * n * 3))
+    starts = F.sequence(F.lit(0), F.greatest(head_len - 1, F.lit(0)), F.lit(width))
+    starts = F.when(head_len > 0, starts).otherwise(F.array().cast("array<int>"))
+    chunks = F.filter(F.transform(starts, lambda s: T.strip(F.substring(F.col(text), s + 1, width))),
+                      lambda c: F.length(c) > min_chars)
+    view = F.transform(F.slice(chunks, 1, n), lambda c: T.ellipsize(T.collapse_ws(c), shown))
+    return df.select("*", F.posexplode(view).alias("chunk_no", out))

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "tessera.plans.q_corpus",
+    "tessera.plans.q_text",
 )
 
 

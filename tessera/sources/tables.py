@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 BOOK_MIN_CHARS = 10000
 PAIR_SOURCE = "generated_training_data"
 PAIR_MODEL = "stand-in"
+ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
+ASCII_UPPER = ASCII_LOWER.upper()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,3 +113,29 @@ def raw_result_rows(spark: SparkSession, sf_dir: str, fail_every: int = 7) -> Da
         (~failed).alias("success"),
         F.col("id").alias("request_index"),
         F.when(failed, err).alias("error"))
+
+
+def responder_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for responder replies ``(batch, response_text)``: one reply
+    per document, derived from its lines so every extraction branch occurs —
+    a JSON list of strings (doc_id % 5 = 0), a JSON list holding a number
+    (% 5 = 1), else lines rewritten by position as quoted, quoted with a
+    comma, numbered, question-marked and plain.  doc_id % 7 = 3 is upper-cased
+    so the case-insensitive dedup has work (ASCII letters only, so the
+    result does not depend on a locale-specific upper-casing of ß and the like)."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.split(F.col("text"), "\n", -1)
+    bare = F.transform(lines, lambda l: F.regexp_replace(l, r'["\\]', ""))
+    json_list = F.concat(F.lit("["), F.array_join(
+        F.transform(bare, lambda l: F.concat(F.lit('"'), l, F.lit('"'))), ", "), F.lit("]"))
+    bad_json = F.concat(F.lit('[1, "'), F.element_at(bare, 1), F.lit('?"]'))
+    mixed = F.array_join(F.transform(lines, lambda l, i: (
+        F.when(i % 5 == 0, F.concat(F.lit('"'), l, F.lit('"')))
+         .when(i % 5 == 1, F.concat(F.lit('"'), l, F.lit('",')))
+         .when(i % 5 == 2, F.concat((i + 1).cast("string"), F.lit(". "), l))
+         .when(i % 5 == 3, F.concat(l, F.lit("?")))
+         .otherwise(l))), "\n")
+    reply = (F.when(F.col("doc_id") % 5 == 0, json_list)
+              .when(F.col("doc_id") % 5 == 1, bad_json).otherwise(mixed))
+    reply = F.when(F.col("doc_id") % 7 == 3, F.translate(reply, ASCII_LOWER, ASCII_UPPER)).otherwise(reply)
+    return docs.select(F.col("doc_id").alias("batch"), reply.alias("response_text"))
