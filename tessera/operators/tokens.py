@@ -50,32 +50,39 @@ def vocab_size(vocab: DataFrame) -> int:
     return vocab.count()
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
+def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
            eos_id: int | None = None, carry: list[str] | None = None,
-           out: str = "ids", broadcast_max: int = BROADCAST_MAX_PIECES) -> DataFrame:
-    """``key, *carry, out ARRAY<INT>`` — the ids of the pieces of ``text``
-    in order, with ``eos_id`` appended when given."""
-    carry = carry or []
-    ex = df.select(F.col(key), *carry, F.posexplode_outer(pieces(F.col(text))).alias("pos", "piece"))
+           out: str = "ids", broadcast_max: int = BROADCAST_MAX_PIECES,
+           eos_col: str | None = None) -> DataFrame:
+    """``*key, *carry, out ARRAY<INT>`` — the ids of the pieces of ``text``
+    in order.  ``eos_id`` is appended to every row, or only to rows whose
+    boolean ``eos_col`` is true when that is given."""
+    keys = [key] if isinstance(key, str) else list(key)
+    carry = list(carry or [])
+    if eos_col and eos_col not in carry:
+        carry.append(eos_col)
+    ex = df.select(*keys, *carry, F.posexplode_outer(pieces(F.col(text))).alias("pos", "piece"))
     j = ex.join(_vocab_side(vocab, broadcast_max), "piece", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.col("id")))
-    g = j.groupBy(key).agg(
+    g = j.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
         F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias(out))
     if eos_id is not None:
-        g = g.withColumn(out, F.concat(F.col(out), F.array(F.lit(eos_id).cast("int"))))
+        tail = F.concat(F.col(out), F.array(F.lit(eos_id).cast("int")))
+        g = g.withColumn(out, F.when(F.col(eos_col), tail).otherwise(F.col(out)) if eos_col else tail)
     return g
 
 
-def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids",
+def decode(df: DataFrame, vocab: DataFrame, key, ids: str = "ids",
            out: str = "text", broadcast_max: int = BROADCAST_MAX_PIECES) -> DataFrame:
     """Ids back to text; the end-of-text id (vocab size) becomes ``<|endoftext|>``."""
+    keys = [key] if isinstance(key, str) else list(key)
     size = vocab.count()
     side = vocab.select(F.col("id").cast("int").alias("id"), "piece")
     side = F.broadcast(side) if size <= broadcast_max else side
-    ex = df.select(F.col(key), F.posexplode_outer(F.col(ids)).alias("pos", "id"))
+    ex = df.select(*keys, F.posexplode_outer(F.col(ids)).alias("pos", "id"))
     j = ex.join(side, "id", "left")
     piece = F.when(F.col("id") == size, F.lit(END_OF_TEXT)).otherwise(F.col("piece"))
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), piece.alias("p")))
-    return j.groupBy(key).agg(
+    return j.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]), "").alias(out))

@@ -67,3 +67,53 @@ def rendered_sources(spark: SparkSession, sf_dir: str, include=SOURCES) -> DataF
     for d in dfs[1:]:
         out = out.unionByName(d)
     return out
+
+
+# ---------------------------------------------------------------------------
+# Token stream
+# ---------------------------------------------------------------------------
+UNIT_ORDER = ["source_ord", "okey", "id", "part_no"]
+BOOK_DIRECT = 100_000        # books up to this many characters are encoded whole
+SENTENCE_MIN = 10            # shorter (stripped) book sentences are dropped
+WINDOW = 256                 # packed window length
+TRAIN_SPLIT = 0.8
+
+
+def stream_units(spark: SparkSession, sf_dir: str, book_direct: int = BOOK_DIRECT) -> DataFrame:
+    """Encodable units in stream order: a book becomes its sentence parts
+    (or stays whole when short), every other document is one unit.  ``eos``
+    is set on the units that end with an end-of-text id."""
+    from tessera.operators.chunking import sentences
+    docs = rendered_sources(spark, sf_dir)
+    books = sentences(docs.where(F.col("source") == "book"), "text", SENTENCE_MIN, book_direct, "part")
+    books = books.select("source", "source_ord", "okey", "id",
+                         F.col("part_no").cast("bigint").alias("part_no"), "part", "eos")
+    rest = docs.where(F.col("source") != "book").select(
+        "source", "source_ord", "okey", "id", F.lit(0).cast("bigint").alias("part_no"),
+        F.col("text").alias("part"), "eos")
+    return books.unionByName(rest)
+
+
+def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = None):
+    """``(vocab, encoded, eos_id)``: encoded units carry ``source`` and ``ids``."""
+    from tessera.operators.tokens import build_vocab, encode
+    from tessera.session import cut_lineage
+    units = units if units is not None else stream_units(spark, sf_dir)
+    vocab = cut_lineage(build_vocab(units, "part"))
+    eos_id = vocab.count()
+    enc = encode(units, vocab, UNIT_ORDER, "part", eos_id=eos_id, carry=["source"], eos_col="eos")
+    return vocab, enc, eos_id
+
+
+def packed(spark: SparkSession, sf_dir: str, length: int = WINDOW, frac: float = TRAIN_SPLIT):
+    """``(windows, parts, totals)``: windows per split, the split document
+    parts, and the stream length of each split."""
+    from tessera.operators.packing import pack_windows, split_stream, stream_total, with_offsets
+    from tessera.session import cut_lineage
+    _, enc, _ = encoded_stream(spark, sf_dir)
+    off = cut_lineage(with_offsets(enc, UNIT_ORDER))
+    total = stream_total(off)
+    cut = int(total * frac)
+    totals = {"train": cut, "val": total - cut}
+    parts = split_stream(off, frac, total)
+    return pack_windows(parts, length, totals), parts, totals

@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "tessera.plans.q_corpus",
     "tessera.plans.q_text",
+    "tessera.plans.q_order",
 )
 
 
