@@ -42,7 +42,7 @@ def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _vocab_side(vocab: DataFrame, broadcast_max: int) -> DataFrame:
     size = vocab.count()
-    side = vocab.select("piece", F.col("id").cast("int").alias("id"))
+    side = vocab.select("piece", F.col("id").cast("int").alias("_vid"))
     return F.broadcast(side) if size <= broadcast_max else side
 
 
@@ -63,10 +63,10 @@ def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
         carry.append(eos_col)
     ex = df.select(*keys, *carry, F.posexplode_outer(pieces(F.col(text))).alias("pos", "piece"))
     j = ex.join(_vocab_side(vocab, broadcast_max), "piece", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.col("id")))
+    item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.col("_vid")))
     g = j.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias(out))
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_vid"]).alias(out))
     if eos_id is not None:
         tail = F.concat(F.col(out), F.array(F.lit(eos_id).cast("int")))
         g = g.withColumn(out, F.when(F.col(eos_col), tail).otherwise(F.col(out)) if eos_col else tail)
@@ -78,11 +78,11 @@ def decode(df: DataFrame, vocab: DataFrame, key, ids: str = "ids",
     """Ids back to text; the end-of-text id (vocab size) becomes ``<|endoftext|>``."""
     keys = [key] if isinstance(key, str) else list(key)
     size = vocab.count()
-    side = vocab.select(F.col("id").cast("int").alias("id"), "piece")
+    side = vocab.select(F.col("id").cast("int").alias("_vid"), "piece")
     side = F.broadcast(side) if size <= broadcast_max else side
-    ex = df.select(*keys, F.posexplode_outer(F.col(ids)).alias("pos", "id"))
-    j = ex.join(side, "id", "left")
-    piece = F.when(F.col("id") == size, F.lit(END_OF_TEXT)).otherwise(F.col("piece"))
+    ex = df.select(*keys, F.posexplode_outer(F.col(ids)).alias("pos", "_vid"))
+    j = ex.join(side, "_vid", "left")
+    piece = F.when(F.col("_vid") == size, F.lit(END_OF_TEXT)).otherwise(F.col("piece"))
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), piece.alias("p")))
     return j.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]), "").alias(out))

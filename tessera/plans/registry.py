@@ -8,6 +8,7 @@ MODULES = (
     "tessera.plans.q_corpus",
     "tessera.plans.q_text",
     "tessera.plans.q_order",
+    "tessera.plans.q_tokens",
 )
 
 
