@@ -32,44 +32,51 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def _local_running_sum(value: str):
+def _local_running_sum(values: list[str], locals_: list[str]):
     def run(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        acc = 0
+        acc = [0] * len(values)
         for pdf in batches:
-            v = pdf[value].fillna(0).astype("int64")
-            cum = v.cumsum()
-            pdf["_local"] = (cum - v + acc).astype("int64")
+            for k, (v, lo) in enumerate(zip(values, locals_)):
+                x = pdf[v].fillna(0).astype("int64")
+                cum = x.cumsum()
+                pdf[lo] = (cum - x + acc[k]).astype("int64")
+                if len(x):
+                    acc[k] += int(cum.iloc[-1])
             pdf["_pid"] = pid
-            if len(v):
-                acc += int(cum.iloc[-1])
             yield pdf
     return run
 
 
-def prefix_sum(df: DataFrame, order: list[str], value: str, out: str = "offset",
+def prefix_sum(df: DataFrame, order: list[str], value, out="offset",
                key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows strictly before this row
     in ``order`` (ties broken by ``order`` itself, so make it unique).
+    ``value``/``out`` may be lists to compute several sums in one pass.
+    Values are integers (counts, lengths, quantized amounts): the sums are exact.
 
     ``key`` (default ``order``) identifies a row for the join back.
     """
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     key = key or order
-    cols = list(dict.fromkeys(list(order) + list(key) + [value]))
+    cols = list(dict.fromkeys(list(order) + list(key) + values))
     narrow = df.select(*cols)
     p = _partitions(df, partitions)
     ranged = narrow.repartitionByRange(p, *order).sortWithinPartitions(*order)
-    schema = T.StructType(narrow.schema.fields + [
-        T.StructField("_local", T.LongType()), T.StructField("_pid", T.IntegerType())])
-    local = cut_lineage(ranged.mapInPandas(_local_running_sum(value), schema))
-    totals = local.groupBy("_pid").agg(F.sum(value).alias("_ptotal"))
+    locals_ = [f"_local{k}" for k in range(len(values))]
+    schema = T.StructType(narrow.schema.fields + [T.StructField(lo, T.LongType()) for lo in locals_]
+                          + [T.StructField("_pid", T.IntegerType())])
+    local = cut_lineage(ranged.mapInPandas(_local_running_sum(values, locals_), schema))
+    totals = local.groupBy("_pid").agg(*[F.sum(v).alias(f"_ptotal{k}") for k, v in enumerate(values)])
     # one row per partition: a bounded table, broadcast by construction
-    bases = totals.select("_pid", F.coalesce(
-        F.sum("_ptotal").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_base"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_pid", *[F.coalesce(F.sum(f"_ptotal{k}").over(w), F.lit(0)).alias(f"_base{k}")
+                                    for k in range(len(values))])
     offsets = local.join(F.broadcast(bases), "_pid").select(
-        *key, (F.col("_base") + F.col("_local")).cast("bigint").alias(out))
+        *key, *[(F.col(f"_base{k}") + F.col(lo)).cast("bigint").alias(o)
+                for k, (lo, o) in enumerate(zip(locals_, outs))])
     return df.join(offsets, key)
 
 

@@ -9,6 +9,7 @@ MODULES = (
     "tessera.plans.q_text",
     "tessera.plans.q_order",
     "tessera.plans.q_tokens",
+    "tessera.plans.q_analytics",
 )
 
 
