@@ -100,14 +100,34 @@ def shift_pair(ids) -> tuple[Column, Column]:
     return F.slice(c, 1, n - 1), F.slice(c, 2, n - 1)
 
 
-def pad_batches(df: DataFrame, batch: str = "batch_id", inputs: str = "inputs",
+def pad_batches(df: DataFrame, batch="batch_id", inputs: str = "inputs",
                 targets: str = "targets", pad: int = 0) -> DataFrame:
     """Pad inputs and targets with ``pad`` to the longest input of the
     batch; ``len`` keeps the real length, so a real id equal to the pad value
     is never mistaken for padding.  The window is per batch (bounded rows)."""
-    m = F.max(F.size(F.col(inputs))).over(Window.partitionBy(batch))
+    keys = [batch] if isinstance(batch, str) else list(batch)
+    m = F.max(F.size(F.col(inputs))).over(Window.partitionBy(*keys))
     n = F.size(F.col(inputs))
     fill = F.array_repeat(F.lit(pad), (F.col("_max") - n).cast("int"))
     return (df.withColumn("_max", m).withColumn("len", n)
               .withColumn(inputs, F.concat(F.col(inputs), fill))
               .withColumn(targets, F.concat(F.col(targets), fill)).drop("_max"))
+
+
+def blocks(parts: DataFrame, size: int, totals: dict[str, int], ids: str = "ids",
+           start: str = "start", group: str = "split") -> DataFrame:
+    """Complete blocks of ``size`` consecutive ids per ``group`` stream
+    (``(block + 1) * size <= M``), assembled from fragments like windows."""
+    s = F.col(start)
+    m = F.size(F.col(ids))
+    ex = parts.select(F.col(group), s.alias("_s"), F.col(ids).alias("_ids"),
+                      F.explode(F.sequence(F.floor(s / size).cast("bigint"),
+                                           F.floor((s + m - 1) / size).cast("bigint"))).alias("block"))
+    limit = F.lit(None).cast("bigint")
+    for g, total in totals.items():
+        limit = F.when(F.col(group) == g, F.lit(total // size)).otherwise(limit)
+    lo = F.col("block") * size
+    ex = ex.where(F.col("block") < limit).select(group, "block", "_s",
+                                                 _frag(F.col("_ids"), F.col("_s"), lo, lo + size).alias("_f"))
+    g = ex.groupBy(group, "block").agg(F.array_sort(F.collect_list(F.struct("_s", "_f"))).alias("_fs"))
+    return g.select(group, "block", F.flatten(F.transform("_fs", lambda x: x["_f"])).alias(ids))

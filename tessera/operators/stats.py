@@ -55,7 +55,7 @@ def compare_runs(runs: DataFrame, run: str, duration: str, amount: str) -> DataF
     """Each run against the first (speed-up, rate) and the fastest run."""
     w = Window.partitionBy(F.lit(0)).orderBy(run)
     first = F.first(F.col(duration)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    fastest = F.min_by(F.col(run), F.col(duration)).over(Window.partitionBy(F.lit(0)))
+    fastest = F.min_by(F.col(run), F.struct(F.col(duration), F.col(run))).over(Window.partitionBy(F.lit(0)))
     return (runs.withColumn("speedup", F.round((first / F.col(duration)).cast("double"), 4))
                 .withColumn("rate", F.round((F.col(amount) / F.col(duration)).cast("double"), 4))
                 .withColumn("fastest", fastest))
@@ -74,3 +74,36 @@ def size_guards(windows: DataFrame, batch_size: int, length: int, split: str = "
     per = per.withColumn("batches", F.ceil(F.col("windows") / F.lit(batch_size)).cast("bigint"))
     per = per.withColumn("no_batches", F.col("batches") == 0)
     return per.withColumn("batch_over_half", F.lit(batch_size * length) > F.col("windows") * length / 2)
+
+
+def block_diagnostics(blocks: DataFrame, eos_id: int, ids: str = "ids") -> DataFrame:
+    """A4-A6 per block: immediate repetitions (``b[j] == b[j+1]``) and their
+    rate, end-of-text count, distinct ids and their ratio — array
+    expressions over each bounded block."""
+    b = F.col(ids)
+    n = F.size(b)
+    pairs = F.arrays_zip(F.slice(b, 1, n - 1).alias("a"), F.slice(b, 2, n - 1).alias("z"))
+    reps = F.size(F.filter(pairs, lambda p: p["a"] == p["z"])).cast("bigint")
+    uniq = F.size(F.array_distinct(b)).cast("bigint")
+    return blocks.select(
+        "*", n.cast("bigint").alias("n"), reps.alias("repetitions"),
+        F.round(reps / n, 6).alias("repetition_rate"),
+        F.size(F.filter(b, lambda x: x == eos_id)).cast("bigint").alias("eos"),
+        uniq.alias("unique_ids"), F.round(uniq / n, 6).alias("unique_ratio")).drop(ids)
+
+
+def shift_mismatches(windows: DataFrame, group: str = "split") -> DataFrame:
+    """Targets must be the inputs moved by one: inside a window
+    ``targets[j] == inputs[j+1]``, and the last target equals the first
+    input of the next window (an equi-join on ``seq + 1``)."""
+    w = windows
+    n = F.size("inputs")
+    inner = F.size(F.filter(F.arrays_zip(F.slice("targets", 1, n - 1).alias("t"),
+                                         F.slice("inputs", 2, n - 1).alias("i")),
+                            lambda p: p["t"] != p["i"])).cast("bigint")
+    nxt = w.select(F.col(group).alias("_g"), (F.col("seq") - 1).alias("_seq"),
+                   F.get(F.col("inputs"), 0).alias("_first"))
+    j = w.join(nxt, (F.col(group) == F.col("_g")) & (F.col("seq") == F.col("_seq")), "left")
+    edge = F.when(F.col("_first").isNotNull() & (F.element_at("targets", -1) != F.col("_first")), 1).otherwise(0)
+    return j.groupBy(group).agg(F.count(F.lit(1)).alias("windows"),
+                                F.sum(inner + edge).cast("bigint").alias("mismatches"))

@@ -105,15 +105,22 @@ def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = N
     return vocab, enc, eos_id
 
 
-def packed(spark: SparkSession, sf_dir: str, length: int = WINDOW, frac: float = TRAIN_SPLIT):
-    """``(windows, parts, totals)``: windows per split, the split document
-    parts, and the stream length of each split."""
-    from tessera.operators.packing import pack_windows, split_stream, stream_total, with_offsets
+def stream_parts(spark: SparkSession, sf_dir: str, frac: float = TRAIN_SPLIT):
+    """``(off, parts, totals, eos_id)``: encoded units with offsets, their
+    train/validation parts, the stream length per split, the end-of-text id."""
+    from tessera.operators.packing import split_stream, stream_total, with_offsets
     from tessera.session import cut_lineage
-    _, enc, _ = encoded_stream(spark, sf_dir)
+    _, enc, eos_id = encoded_stream(spark, sf_dir)
     off = cut_lineage(with_offsets(enc, UNIT_ORDER))
     total = stream_total(off)
     cut = int(total * frac)
     totals = {"train": cut, "val": total - cut}
-    parts = split_stream(off, frac, total)
+    return off, split_stream(off, frac, total), totals, eos_id
+
+
+def packed(spark: SparkSession, sf_dir: str, length: int = WINDOW, frac: float = TRAIN_SPLIT):
+    """``(windows, parts, totals)``: windows per split, the split document
+    parts, and the stream length of each split."""
+    from tessera.operators.packing import pack_windows
+    _, parts, totals, _ = stream_parts(spark, sf_dir, frac)
     return pack_windows(parts, length, totals), parts, totals

@@ -10,6 +10,7 @@ MODULES = (
     "tessera.plans.q_order",
     "tessera.plans.q_tokens",
     "tessera.plans.q_analytics",
+    "tessera.plans.q_diag",
 )
 
 
