@@ -11,6 +11,8 @@ MODULES = (
     "tessera.plans.q_tokens",
     "tessera.plans.q_analytics",
     "tessera.plans.q_diag",
+    "tessera.plans.q_synth",
+    "tessera.plans.q_io",
 )
 
 
