@@ -26,8 +26,19 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_UPPER = ASCII_LOWER.upper()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the session can
+    run at once (a small file with one row group is read by one task).  A
+    large multi-file scan already has enough partitions and is left as is,
+    so this never adds a shuffle at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def book_rows(spark: SparkSession, sf_dir: str, min_chars: int = BOOK_MIN_CHARS) -> DataFrame:
