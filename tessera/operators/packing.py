@@ -107,9 +107,8 @@ def pad_batches(df: DataFrame, batch="batch_id", inputs: str = "inputs",
     is never mistaken for padding.  The window is per batch (bounded rows)."""
     keys = [batch] if isinstance(batch, str) else list(batch)
     m = F.max(F.size(F.col(inputs))).over(Window.partitionBy(*keys))
-    n = F.size(F.col(inputs))
-    fill = F.array_repeat(F.lit(pad), (F.col("_max") - n).cast("int"))
-    return (df.withColumn("_max", m).withColumn("len", n)
+    fill = F.array_repeat(F.lit(pad), (F.col("_max") - F.col("len")).cast("int"))
+    return (df.withColumn("_max", m).withColumn("len", F.size(F.col(inputs)))
               .withColumn(inputs, F.concat(F.col(inputs), fill))
               .withColumn(targets, F.concat(F.col(targets), fill)).drop("_max"))
 

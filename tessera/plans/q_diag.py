@@ -169,6 +169,7 @@ def padded_batches(spark, sf_dir):
     b = FT.batches(spark, sf_dir, epoch=1)
     return b.select("split", "batch_id", "id", F.col("idx").cast("bigint").alias("idx"),
                     F.col("len").cast("bigint").alias("len"), F.size("inputs").cast("bigint").alias("padded_len"),
+                    F.size("targets").cast("bigint").alias("padded_tg_len"),
                     P.checksum(F.col("inputs")).alias("in_sum"), P.checksum(F.col("targets")).alias("tg_sum"))
 
 
@@ -188,6 +189,7 @@ pd AS (SELECT *, max(len) OVER (PARTITION BY split, batch_id) AS padded_len FROM
 cs AS (SELECT i.id, sum(CASE WHEN i.pos < s.n - 1 THEN (i.pos + 1) * i.vid ELSE 0 END)::BIGINT AS in_sum,
               sum(CASE WHEN i.pos >= 1 THEN i.pos * i.vid ELSE 0 END)::BIGINT AS tg_sum
        FROM ids i JOIN smp s ON i.id = s.id GROUP BY i.id)
-SELECT split, batch_id, id, idx::BIGINT AS idx, len::BIGINT AS len, padded_len::BIGINT AS padded_len, in_sum, tg_sum
+SELECT split, batch_id, id, idx::BIGINT AS idx, len::BIGINT AS len, padded_len::BIGINT AS padded_len,
+       padded_len::BIGINT AS padded_tg_len, in_sum, tg_sum
 FROM pd JOIN cs USING (id)
 """)(padded_batches)
