@@ -74,9 +74,13 @@ def prefix_sum(df: DataFrame, order: list[str], value, out="offset",
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_pid", *[F.coalesce(F.sum(f"_ptotal{k}").over(w), F.lit(0)).alias(f"_base{k}")
                                     for k in range(len(values))])
-    offsets = local.join(F.broadcast(bases), "_pid").select(
-        *key, *[(F.col(f"_base{k}") + F.col(lo)).cast("bigint").alias(o)
-                for k, (lo, o) in enumerate(zip(locals_, outs))])
+    sums = [(F.col(f"_base{k}") + F.col(lo)).cast("bigint").alias(o)
+            for k, (lo, o) in enumerate(zip(locals_, outs))]
+    if set(df.columns) <= set(cols):
+        # nothing but the narrow columns: the rows themselves went through
+        # the range partition, no join back is needed
+        return local.join(F.broadcast(bases), "_pid").select(*df.columns, *sums)
+    offsets = local.join(F.broadcast(bases), "_pid").select(*key, *sums)
     return df.join(offsets, key)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import pieces
 from tessera.operators.ordering import global_index
+from tessera.session import cut_lineage
 
 END_OF_TEXT = "<|endoftext|>"          # fixed value: text of the end-of-text id
 BROADCAST_MAX_PIECES = 2_000_000       # vocabulary rows that may be broadcast
@@ -34,10 +35,13 @@ def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
-    """``piece STRING, n BIGINT, id BIGINT`` over all distinct pieces."""
-    counts = piece_counts(df, text).withColumn("_neg_n", -F.col("n"))
+    """``piece STRING, n BIGINT, id BIGINT`` over all distinct pieces.
+
+    Written once to the checkpoint folder: every consumer (its size check,
+    encode, decode) reads it instead of recounting the corpus."""
+    counts = cut_lineage(piece_counts(df, text).withColumn("_neg_n", -F.col("n")))
     ranked = global_index(counts, ["_neg_n", "piece"], out="_rank", key=["piece"])
-    return ranked.select("piece", "n", (F.col("_rank") - 1).alias("id"))
+    return cut_lineage(ranked.select("piece", "n", (F.col("_rank") - 1).alias("id")))
 
 
 def _vocab_side(vocab: DataFrame, broadcast_max: int) -> DataFrame:

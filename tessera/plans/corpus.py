@@ -99,9 +99,11 @@ def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = N
     from tessera.operators.tokens import build_vocab, encode
     from tessera.session import cut_lineage
     units = units if units is not None else stream_units(spark, sf_dir)
-    vocab = cut_lineage(build_vocab(units, "part"))
+    vocab = build_vocab(units, "part")
     eos_id = vocab.count()
-    enc = encode(units, vocab, UNIT_ORDER, "part", eos_id=eos_id, carry=["source"], eos_col="eos")
+    # the encoded corpus is read by several jobs (offsets, join back, totals):
+    # write it once instead of re-running pieces + join + regroup each time
+    enc = cut_lineage(encode(units, vocab, UNIT_ORDER, "part", eos_id=eos_id, carry=["source"], eos_col="eos"))
     return vocab, enc, eos_id
 
 
@@ -111,8 +113,8 @@ def stream_parts(spark: SparkSession, sf_dir: str, frac: float = TRAIN_SPLIT):
     from tessera.operators.packing import split_stream, stream_total, with_offsets
     from tessera.session import cut_lineage
     _, enc, eos_id = encoded_stream(spark, sf_dir)
-    off = cut_lineage(with_offsets(enc, UNIT_ORDER))
-    total = stream_total(off)
+    off = with_offsets(enc, UNIT_ORDER)
+    total = stream_total(enc)
     cut = int(total * frac)
     totals = {"train": cut, "val": total - cut}
     return off, split_stream(off, frac, total), totals, eos_id

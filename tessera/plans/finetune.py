@@ -26,7 +26,7 @@ SEED = 42
 def samples(pairs: DataFrame) -> DataFrame:
     """``id, ids`` per usable pair."""
     r = RD.render_finetune(pairs)
-    vocab = cut_lineage(build_vocab(r, "text"))
+    vocab = build_vocab(r, "text")
     enc = encode(r, vocab, "id", "text")
     enc = enc.withColumn("ids", P.truncate("ids", MAX_LEN))
     return enc.where(F.size("ids") > MIN_IDS)
