@@ -219,22 +219,62 @@ SELECT path, (i // {FX_SIZE})::BIGINT AS chunk_no, length(c)::BIGINT AS n_chars,
 
 
 def chunk_fixed(spark, sf_dir):
-    """Lossless: the chunks of each book concatenate (modulo the stripped
-    edges) back to the whole text.  Checked by rows here and against a
-    brute-force rule in the tests."""
+    """Lossless: each piece starts where the previous one was cut."""
     c = CH.chunk_fixed(S.book_rows(spark, sf_dir), "text", FX_SIZE, FX_WIN, FX_DIRECT, lossy=False)
     return c.select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-register("chunk_fixed")(chunk_fixed)
+def _sql_cut(pos: str) -> str:
+    piece = f"substr(text, {pos} + 1, {FX_SIZE})"
+    ts = f"greatest(length({piece}) - {FX_WIN}, 0)"
+    last = _sql_last_end(f"substr({piece}, {ts} + 1, {FX_WIN})")
+    return f"(CASE WHEN {pos} + {FX_SIZE} < n AND {last} > 0 THEN {ts} + {last} + 1 ELSE length({piece}) END)"
+
+
+# the chained cut points as a recursive CTE, one step per chunk
+register("chunk_fixed", f"""
+WITH RECURSIVE b AS (SELECT path, text, length(text) AS n FROM ({SQL_BOOKS})),
+r(path, chunk_no, pos) AS (
+  SELECT path, 0::BIGINT, 0::BIGINT FROM b WHERE n > {FX_DIRECT}
+  UNION ALL
+  SELECT r.path, r.chunk_no + 1, r.pos + {_sql_cut('r.pos')} FROM r JOIN b ON r.path = b.path
+  WHERE r.pos + {_sql_cut('r.pos')} < b.n)
+SELECT path, chunk_no, length(c)::BIGINT AS n_chars, md5(c) AS digest FROM (
+  SELECT r.path, r.chunk_no, {Q.strip(f"substr(text, r.pos + 1, {_sql_cut('r.pos')})")} AS c
+  FROM r JOIN b ON r.path = b.path
+  UNION ALL
+  SELECT path, 0, text FROM b WHERE n <= {FX_DIRECT})
+""")(chunk_fixed)
 
 
 # --- T3: greedy sentence chunks (rows-only; brute force in the tests) --------------------
+GR_LIMIT, GR_DIRECT = 1000, 5000
+
+
 def chunk_sentences(spark, sf_dir):
-    c = CH.chunk_sentences(S.book_rows(spark, sf_dir), "text", limit=1000, direct=5000)
+    c = CH.chunk_sentences(S.book_rows(spark, sf_dir), "text", limit=GR_LIMIT, direct=GR_DIRECT)
     return c.select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-register("chunk_sentences")(chunk_sentences)
+# the greedy packing as a recursive CTE over each book's sentences
+register("chunk_sentences", f"""
+WITH RECURSIVE b AS (SELECT path, text FROM ({SQL_BOOKS})),
+s AS (SELECT path, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i
+      FROM (SELECT path, {Q.sentences('text')} AS ss FROM b WHERE length(text) > {GR_DIRECT})),
+r(path, i, cur, cid) AS (
+  SELECT path, 1::BIGINT, length(s)::BIGINT, 0::BIGINT FROM s WHERE i = 1
+  UNION ALL
+  SELECT r.path, r.i + 1,
+         CASE WHEN r.cur + length(s.s) > {GR_LIMIT} AND r.cur > 0 THEN length(s.s)
+              WHEN r.cur > 0 THEN r.cur + 1 + length(s.s) ELSE length(s.s) END,
+         CASE WHEN r.cur + length(s.s) > {GR_LIMIT} AND r.cur > 0 THEN r.cid + 1 ELSE r.cid END
+  FROM r JOIN s ON s.path = r.path AND s.i = r.i + 1),
+g AS (SELECT r.path, r.cid, {Q.strip("string_agg(s.s, ' ' ORDER BY s.i)")} AS c
+      FROM r JOIN s ON s.path = r.path AND s.i = r.i GROUP BY r.path, r.cid)
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY cid) - 1)::BIGINT AS chunk_no,
+       length(c)::BIGINT AS n_chars, md5(c) AS digest FROM g WHERE c <> ''
+UNION ALL
+SELECT path, 0, length(text)::BIGINT, md5(text) FROM b WHERE length(text) <= {GR_DIRECT}
+""")(chunk_sentences)
