@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.operators.ordering import global_index
 from tessera.session import cut_lineage
 
-TOP_K_DIRECT = 100_000      # up to this n, a plain top-k (TakeOrderedAndProject) is used
+TOP_K_DIRECT = 10_000       # candidates up to this many are cut with a plain top-k
 HASH_SPACE = float(1 << 60)
 
 
@@ -31,39 +31,66 @@ def _hash60(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
 
 
+def _cut(cand: DataFrame, n: int, order: list[str], key: list[str], top_k_direct: int) -> DataFrame:
+    """Exactly the ``n`` first candidates in ``order``: a top-k when the
+    candidate set is small, a distributed rank otherwise."""
+    if cand.count() <= top_k_direct:
+        return cand.orderBy(*order).limit(n)
+    ranked = global_index(cand, order, out="_r", key=key)
+    return ranked.where(F.col("_r") <= n).drop("_r")
+
+
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42,
                  top_k_direct: int = TOP_K_DIRECT) -> DataFrame:
     """L1: exactly ``min(n, N)`` rows, the ones with the smallest
     ``(md5(seed:key), key)``; without replacement, reproducible.
 
-    Small ``n``: a top-k (each partition keeps n, one merge).  Large ``n``
-    (millions, the default of the article source): a pre-filter on the
-    uniform hash keeps ``n`` plus a safety margin of candidates — verified by
-    a count and widened when short, so the result stays exact — then a
-    distributed rank cuts exactly ``n``.
+    A plain ``orderBy().limit(n)`` would send the top ``n`` of *every*
+    partition to one task (partitions x n rows).  Instead the hash is uniform,
+    so a filter below the ``(n + margin) / N`` quantile keeps about ``n``
+    candidates in one pass; a count verifies there are at least ``n`` (the
+    margin is widened otherwise, so the result stays exact), and the exact
+    cut runs on the candidates only.
     """
-    h = seeded_hash(key, seed)
-    keyed = df.withColumn("_h", h)
-    if n <= top_k_direct:
-        return keyed.orderBy("_h", key).limit(n).drop("_h")
+    keyed = df.withColumn("_h", seeded_hash(key, seed))
     total = df.count()
     if n >= total:
         return df
     margin = 6.0 * math.sqrt(n) + 1000
     while True:
         frac = min(1.0, (n + margin) / total)
-        cand = keyed.where(_hash60(F.col("_h")) <= F.lit(int(frac * HASH_SPACE)))
-        cand = cut_lineage(cand)
+        cand = cut_lineage(keyed.where(_hash60(F.col("_h")) <= F.lit(int(frac * HASH_SPACE))))
         if frac >= 1.0 or cand.count() >= n:
             break
         margin *= 4
-    ranked = global_index(cand, ["_h", key], out="_r", key=[key])
-    return ranked.where(F.col("_r") <= n).drop("_h", "_r")
+    return _cut(cand, n, ["_h", key], [key], top_k_direct).drop("_h")
+
 
+def first_n(df: DataFrame, n: int, order: list[str] | str, key: list[str] | str | None = None,
+            top_k_direct: int = TOP_K_DIRECT) -> DataFrame:
+    """L2: the first ``n`` rows in ``order`` (``order`` must be unique).
 
-def first_n(df: DataFrame, n: int, order: list[str] | str) -> DataFrame:
-    """L2: the first ``n`` rows in ``order`` (a top-k, not a full sort)."""
-    return df.orderBy(order).limit(n)
+    The first order column is cut at an approximate quantile a little past
+    ``n / N`` (one aggregate pass), the candidate count is verified (and the
+    threshold widened when short), then the exact cut runs on the candidates,
+    so no task ever receives partitions x n rows."""
+    order = [order] if isinstance(order, str) else list(order)
+    key = [key] if isinstance(key, str) else list(key or order)
+    total = df.count()
+    if n >= total:
+        return df
+    lead = order[0]
+    frac = min(1.0, (n + 6.0 * math.sqrt(n) + 1000) / total)
+    while True:
+        if frac >= 1.0:
+            cand = df
+            break
+        t = df.agg(F.percentile_approx(lead, frac, 10000).alias("t")).first()["t"]
+        cand = cut_lineage(df.where(F.col(lead) <= F.lit(t)))
+        if cand.count() >= n:
+            break
+        frac = min(1.0, frac * 2 + 0.01)
+    return _cut(cand, n, order, key, top_k_direct)
 
 
 def split_rows(df: DataFrame, frac: float, key: str, seed: int = 42,

@@ -33,15 +33,17 @@ def source_stats(docs: DataFrame, tokens: str = "tokens", split_col: str | None
 
 
 def batch_progress(results: DataFrame, batch: str = "batch_id", success: str = "success") -> DataFrame:
-    """A3: per batch success / failed, running totals and success rate.  The
-    running window is over batches (one row each), not over requests."""
+    """A3: per batch success / failed, running totals and success rate.
+    Running totals use the two-level prefix sum over the per-batch rows, so
+    even millions of batches never meet in one task."""
+    from tessera.operators.ordering import prefix_sum
     per = results.groupBy(batch).agg(
         F.sum(F.when(F.col(success), 1).otherwise(0)).cast("bigint").alias("succeeded"),
         F.sum(F.when(F.col(success), 0).otherwise(1)).cast("bigint").alias("failed"))
-    w = Window.partitionBy(F.lit(0)).orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    per = (per.withColumn("total_succeeded", F.sum("succeeded").over(w).cast("bigint"))
-              .withColumn("total_failed", F.sum("failed").over(w).cast("bigint")))
-    return per.withColumn("success_rate", F.round(
+    run = prefix_sum(per, [batch], ["succeeded", "failed"], ["_s", "_f"])
+    run = (run.withColumn("total_succeeded", F.col("_s") + F.col("succeeded"))
+              .withColumn("total_failed", F.col("_f") + F.col("failed")).drop("_s", "_f"))
+    return run.withColumn("success_rate", F.round(
         (F.col("total_succeeded") * 100.0 / (F.col("total_succeeded") + F.col("total_failed"))).cast("double"), 4))
 
 

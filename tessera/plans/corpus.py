@@ -46,8 +46,9 @@ def chat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_docs(spark: SparkSession, sf_dir: str, cap: int = PAIR_CAP) -> DataFrame:
-    # Limit first, then filter (a filter is never moved below a limit).
-    p = S.pair_rows(spark, sf_dir).orderBy("id").limit(cap)
+    # Cap first, then filter (the rejects inside the cap count against it).
+    from tessera.operators.sampling import first_n
+    p = first_n(S.pair_rows(spark, sf_dir), cap, "id")
     p = RD.render_pair(p)
     return _tag(p, "pair", F.lit(""), F.col("id"), True)
 
