@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import pieces
+from tessera.operators.ordering import broadcast_if_small
 
 # The three sampling presets (temperature, repetition
 # penalty, top-k, top-p).
@@ -36,7 +37,7 @@ def penalize(cand: DataFrame, history: DataFrame, penalty: float, token: str = "
              score: str = "score") -> DataFrame:
     """Divide the score of tokens found in ``history`` by ``penalty``
     (whatever the sign of the score, as in the original rule)."""
-    h = history.select(F.col(token).alias("_h")).distinct().withColumn("_hit", F.lit(True))
+    h = broadcast_if_small(history.select(F.col(token).alias("_h")).distinct().withColumn("_hit", F.lit(True)))
     j = cand.join(h, F.col(token) == F.col("_h"), "left")
     return j.withColumn("logit", F.when(F.col("_hit"), F.col(score) / penalty).otherwise(F.col(score))).drop("_h", "_hit")
 

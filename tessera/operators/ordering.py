@@ -90,3 +90,14 @@ def global_index(df: DataFrame, order: list[str], out: str = "idx",
     one = "_one"
     res = prefix_sum(df.withColumn(one, F.lit(1)), order, one, "_off", key, partitions)
     return res.withColumn(out, F.col("_off") + 1).drop("_off", one)
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only when its counted size is within
+    ``max_rows``; otherwise leave the join to a shuffle (with AQE's skew-join
+    split for hot keys).  Use on sides that are usually small but not bounded
+    by construction (one row per run, per token, ...)."""
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import prefix_sum
+from tessera.operators.ordering import broadcast_if_small, prefix_sum
+from tessera.session import cut_lineage
 
 
 def _q(col: str, scale: int):
@@ -26,18 +27,26 @@ def _q(col: str, scale: int):
 
 def smooth(log: DataFrame, window: int = 50, run: str = "run_id", step: str = "step",
            value: str = "loss", scale: int = 100, out: str = "smoothed") -> DataFrame:
-    """Mean of the last ``window`` values of the run (fewer at its start)."""
-    base = log.withColumn("_q", _q(value, scale)).withColumn("_one", F.lit(1))
-    p = prefix_sum(base, [run, step], ["_q", "_one"], ["_P", "_C"], key=[run, step])
+    """Mean of the last ``window`` values of the run (fewer at its start).
+
+    Sum of the last ``window`` = P(i) - P(i - window) with P the inclusive
+    prefix sum in (run, step) order; the look-back is an equi-join on the
+    global row index.  Only the narrow columns go through the range
+    partition; the result joins back on the unique (run, step) key, which
+    hashes a hot run evenly."""
+    narrow = log.select(run, step, _q(value, scale).alias("_q"), F.lit(1).alias("_one"))
+    p = cut_lineage(prefix_sum(narrow, [run, step], ["_q", "_one"], ["_P", "_C"]))
     starts = p.groupBy(run).agg(F.min("_C").alias("_c0"), F.min_by("_P", "_C").alias("_p0"))
+    # one row per run; joining it must not hash the whole log by run
+    starts = broadcast_if_small(starts)
     back = p.select((F.col("_C") + window).alias("_C"), (F.col("_P") + F.col("_q")).alias("_pb"))
     j = p.join(starts, run).join(back, "_C", "left")
     local = F.col("_C") - F.col("_c0")
     before = F.when(local >= window, F.col("_pb")).otherwise(F.col("_p0"))
     total = F.col("_P") + F.col("_q") - before
     n = F.least(local + 1, F.lit(window))
-    return j.withColumn(out, total / (n * F.lit(float(scale)))).drop(
-        "_q", "_one", "_P", "_C", "_c0", "_p0", "_pb")
+    res = j.select(run, step, (total / (n * F.lit(float(scale)))).alias(out))
+    return log.join(res, [run, step])
 
 
 def epoch_means(log: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "loss",
