@@ -66,7 +66,9 @@ def dedup_ordered(df: DataFrame, text: str = "question", order: tuple[str, ...]
     aggregation folds a hot key map-side, so one very frequent text never
     lands whole on one task."""
     first = F.min(F.struct(*[F.col(c) for c in order], F.col(text).alias("_t")))
-    g = df.groupBy(dedup_key(F.col(text)).alias("_key")).agg(first.alias("_f"))
+    # group on a 128-bit digest of the normalized text: documents can be
+    # tens of kilobytes, a digest keeps hashing and shuffle keys small
+    g = df.groupBy(F.md5(dedup_key(F.col(text))).alias("_key")).agg(first.alias("_f"))
     return g.select(*[F.col(f"_f.{c}").alias(c) for c in order], F.col("_f._t").alias(text))
 
 

@@ -44,10 +44,24 @@ def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     return cut_lineage(ranked.select("piece", "n", (F.col("_rank") - 1).alias("id")))
 
 
-def _vocab_side(vocab: DataFrame, broadcast_max: int) -> DataFrame:
+def _lookup(rows: DataFrame, vocab: DataFrame, key_col: str, val_col: str, broadcast_max: int,
+            rank_col: str = "id") -> DataFrame:
+    """Left-join ``rows`` to the vocabulary on ``key_col``.
+
+    Small vocabulary (counted): one broadcast hash join.  Large vocabulary:
+    ids are ranks by frequency, so the ``broadcast_max`` most frequent
+    entries — the bulk of all tokens — are broadcast and joined map-side;
+    only rows that miss them (rare pieces) go through a shuffle join with
+    the rest.  A hot piece therefore never reaches a shuffle."""
     size = vocab.count()
-    side = vocab.select("piece", F.col("id").cast("int").alias("_vid"))
-    return F.broadcast(side) if size <= broadcast_max else side
+    if size <= broadcast_max:
+        return rows.join(F.broadcast(vocab), key_col, "left")
+    hot = vocab.where(F.col(rank_col) < broadcast_max) if rank_col in vocab.columns else vocab
+    cold = vocab.where(F.col(rank_col) >= broadcast_max) if rank_col in vocab.columns else vocab
+    j = rows.join(F.broadcast(hot), key_col, "left")
+    hit = j.where(F.col(val_col).isNotNull() | F.col(key_col).isNull())
+    miss = j.where(F.col(val_col).isNull() & F.col(key_col).isNotNull()).select(*rows.columns)
+    return hit.unionByName(miss.join(cold, key_col, "left"))
 
 
 def vocab_size(vocab: DataFrame) -> int:
@@ -66,7 +80,8 @@ def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
     if eos_col and eos_col not in carry:
         carry.append(eos_col)
     ex = df.select(*keys, *carry, F.posexplode_outer(pieces(F.col(text))).alias("pos", "piece"))
-    j = ex.join(_vocab_side(vocab, broadcast_max), "piece", "left")
+    side = vocab.select("piece", F.col("id").cast("int").alias("_vid"), F.col("id").alias("_rank"))
+    j = _lookup(ex, side, "piece", "_vid", broadcast_max, "_rank").drop("_rank")
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.col("_vid")))
     g = j.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
@@ -82,10 +97,9 @@ def decode(df: DataFrame, vocab: DataFrame, key, ids: str = "ids",
     """Ids back to text; the end-of-text id (vocab size) becomes ``<|endoftext|>``."""
     keys = [key] if isinstance(key, str) else list(key)
     size = vocab.count()
-    side = vocab.select(F.col("id").cast("int").alias("_vid"), "piece")
-    side = F.broadcast(side) if size <= broadcast_max else side
+    side = vocab.select(F.col("id").cast("int").alias("_vid"), "piece", F.col("id").alias("_rank"))
     ex = df.select(*keys, F.posexplode_outer(F.col(ids)).alias("pos", "_vid"))
-    j = ex.join(side, "_vid", "left")
+    j = _lookup(ex, side, "_vid", "piece", broadcast_max, "_rank").drop("_rank")
     piece = F.when(F.col("_vid") == size, F.lit(END_OF_TEXT)).otherwise(F.col("piece"))
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), piece.alias("p")))
     return j.groupBy(*keys).agg(

@@ -61,3 +61,16 @@ def test_shuffle_and_batches(spark):
     e2 = {r.id: r.idx for r in SM.shuffle_epoch(df, "id", 42, 2).collect()}
     e1 = {r.id: r.idx for r in SM.shuffle_epoch(df, "id", 42, 1).collect()}
     assert e1 != e2
+
+
+def test_encode_hot_cold_split_equals_broadcast(spark):
+    from tessera.operators.tokens import build_vocab, decode, encode
+    docs = spark.createDataFrame([(1, "the cat and the dog"), (2, "a rare zebra, the end."), (3, "")],
+                                 "id long, text string")
+    voc = build_vocab(docs)
+    a = {r.id: list(r.ids) for r in encode(docs, voc, "id", eos_id=voc.count()).collect()}
+    b = {r.id: list(r.ids) for r in encode(docs, voc, "id", eos_id=voc.count(), broadcast_max=2).collect()}
+    assert a == b and a[3] == [voc.count()]
+    enc = encode(docs, voc, "id")
+    d = {r.id: r.text for r in decode(enc, voc, "id", broadcast_max=2).collect()}
+    assert d == {1: "the cat and the dog", 2: "a rare zebra, the end.", 3: ""}
