@@ -335,3 +335,16 @@ register("question_summary", f"""
 SELECT t AS total_generated, u AS unique_questions, t - u AS duplicates_removed, u < 90 AS under_target
 FROM (SELECT (SELECT count(*) FROM ({SQL_QUESTIONS}))::BIGINT AS t, (SELECT count(*) FROM ({SQL_UNIQUE}))::BIGINT AS u)
 """)(question_summary)
+
+
+# --- C11: ordered concatenation per group (turns of a conversation) ------------
+def concat_turns(spark, sf_dir):
+    from tessera.operators.cleaning import concat_ordered
+    c = concat_ordered(S.chat_turns(spark, sf_dir), "conv_id", "turn", "text", "\n\n")
+    return c.select("conv_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+register("concat_turns", f"""
+SELECT conv_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (
+  SELECT conv_id, string_agg(text, {Q.SEP} ORDER BY turn) AS t FROM conversations WHERE role <> 'system' GROUP BY conv_id)
+""")(concat_turns)
