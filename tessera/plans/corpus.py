@@ -80,19 +80,77 @@ WINDOW = 256                 # packed window length
 TRAIN_SPLIT = 0.8
 
 
+def book_units(spark: SparkSession, sf_dir: str, direct: int = BOOK_DIRECT,
+               min_chars: int = SENTENCE_MIN) -> DataFrame:
+    """Book stream units of the stand-in books (see ``book_stream``)."""
+    return book_stream(clean_book(S.book_rows(spark, sf_dir)).select("path", "text"), direct, min_chars)
+
+
+def book_stream(books: DataFrame, direct: int = BOOK_DIRECT, min_chars: int = SENTENCE_MIN) -> DataFrame:
+    """The book part of the stream, exactly as for the combined book text
+    ``strip(B1 + "\\n\\n" + B2 + "\\n\\n" + ...)`` — without building that
+    text unless it is short.
+
+    * Combined length <= ``direct``: one unit holding the combined text (its
+      size is bounded by ``direct``, so one row is safe).
+    * Longer: its sentences (split after ``.!?`` + whitespace, stripped,
+      longer than ``min_chars``).  A sentence may run across a book boundary
+      when a book does not end with ``.!?``; sentence groups are numbered by
+      a two-level prefix sum over books, and the whitespace run between two
+      non-empty books (``"\\n\\n"`` per book boundary, empty books included)
+      comes from the neighbouring book indexes (equi-joins, no window).
+    Units: ``id = 0`` (the books form one document, with no end-of-text id),
+    ``part_no`` = position in the book stream.
+    """
+    from tessera.functions.text import sentences as split_sentences
+    from tessera.functions.text import strip
+    from tessera.operators.cleaning import concat_ordered
+    from tessera.operators.ordering import global_index, prefix_sum
+    from tessera.session import cut_lineage
+
+    books = cut_lineage(books.select("path", "text"))
+    k = global_index(books, ["path"], out="k")
+    ne = cut_lineage(global_index(k.where(F.length("text") > 0), ["path"], out="j"))
+    st = ne.agg(F.count(F.lit(1)).alias("r"), F.sum(F.length("text")).alias("chars"),
+                F.min("k").alias("k0"), F.max("k").alias("k1")).first()
+    total = 0 if not st["r"] else st["chars"] + 2 * (st["k1"] - st["k0"])
+
+    def tag(df):
+        return df.select(F.lit("book").alias("source"), F.lit(SOURCES.index("book")).alias("source_ord"),
+                         F.lit("").alias("okey"), F.lit(0).cast("bigint").alias("id"),
+                         F.col("part_no").cast("bigint").alias("part_no"), F.col("part"),
+                         F.lit(False).alias("eos"))
+
+    if total <= direct:
+        one = concat_ordered(books.withColumn("_g", F.lit(0)), "_g", "path", "text", "\n\n", "part")
+        return tag(one.select(F.lit(0).alias("part_no"), strip(F.col("part")).alias("part")))
+
+    ends = F.col("text").rlike("[.!?]$")
+    prev = ne.select((F.col("j") + 1).alias("j"), ends.alias("prev_ends"), F.col("k").alias("k_prev"))
+    b = ne.join(prev, "j", "left").withColumn("sents", split_sentences(F.col("text")))
+    cont = (F.col("j") > 1) & ~F.coalesce(F.col("prev_ends"), F.lit(True))
+    b = b.withColumn("cont", cont.cast("int")).withColumn(
+        "contrib", (F.size("sents") - F.col("cont")).cast("bigint"))
+    b = prefix_sum(b, ["j"], "contrib", "base")
+    run = F.repeat(F.lit("\n\n"), (F.col("k") - F.col("k_prev")).cast("int"))
+    ex = b.select("j", "base", "cont", run.alias("run"), F.posexplode("sents").alias("i", "s"))
+    frag = F.when((F.col("i") == 0) & (F.col("cont") == 1), F.concat(F.col("run"), F.col("s"))).otherwise(F.col("s"))
+    ex = ex.select((F.col("base") + F.col("i") - F.col("cont")).alias("grp"), "j", "i", frag.alias("frag"))
+    merged = ex.groupBy("grp").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("j", "i", "frag"))), lambda x: x["frag"]), "").alias("part"))
+    kept = merged.withColumn("part", strip(F.col("part"))).where(F.length("part") > min_chars)
+    numbered = global_index(kept, ["grp"], out="_n")
+    return tag(numbered.withColumn("part_no", F.col("_n") - 1))
+
+
 def stream_units(spark: SparkSession, sf_dir: str, book_direct: int = BOOK_DIRECT) -> DataFrame:
-    """Encodable units in stream order: a book becomes its sentence parts
-    (or stays whole when short), every other document is one unit.  ``eos``
-    is set on the units that end with an end-of-text id."""
-    from tessera.operators.chunking import sentences
-    docs = rendered_sources(spark, sf_dir)
-    books = sentences(docs.where(F.col("source") == "book"), "text", SENTENCE_MIN, book_direct, "part")
-    books = books.select("source", "source_ord", "okey", "id",
-                         F.col("part_no").cast("bigint").alias("part_no"), "part", "eos")
-    rest = docs.where(F.col("source") != "book").select(
-        "source", "source_ord", "okey", "id", F.lit(0).cast("bigint").alias("part_no"),
-        F.col("text").alias("part"), "eos")
-    return books.unionByName(rest)
+    """Encodable units in stream order: the book stream (see
+    ``book_units``), then every chat, pair and article as one unit each.
+    ``eos`` marks the units that end with an end-of-text id."""
+    docs = rendered_sources(spark, sf_dir, include=("chat", "pair", "article"))
+    rest = docs.select("source", "source_ord", "okey", "id", F.lit(0).cast("bigint").alias("part_no"),
+                       F.col("text").alias("part"), "eos")
+    return book_units(spark, sf_dir, book_direct).unionByName(rest)
 
 
 def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = None):

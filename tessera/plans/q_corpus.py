@@ -60,20 +60,40 @@ WHERE text IS NOT NULL AND text <> '' AND length({Q.strip('text')}) > 100
 """
 
 
+def _sql_book_parts(direct: int, min_chars: int = 10, col: str = "text") -> str:
+    return (f"CASE WHEN length({col}) <= {direct} THEN [{col}] ELSE list_filter(list_transform("
+            f"{Q.sentences(col)}, lambda s: {Q.strip('s')}), lambda s: length(s) > {min_chars}) END")
+
+
+# The combined book text, built literally (an independent statement of the
+# rule the Spark plan computes without building it).
+SQL_BOOK_TEXT = (f"SELECT {Q.strip('string_agg(t || chr(10) || chr(10), \'\' ORDER BY path)')} AS c FROM "
+                 f"(SELECT path, {Q.clean_book('text')} AS t FROM ({SQL_BOOKS}))")
+
+SQL_UNITS = f"""
+SELECT 'book' AS source, 0 AS source_ord, '' AS okey, 0::BIGINT AS id, unnest(range(len(ps)))::BIGINT AS part_no,
+       unnest(ps) AS part, false AS eos
+FROM (SELECT {_sql_book_parts(C.BOOK_DIRECT, C.SENTENCE_MIN, 'c')} AS ps FROM ({SQL_BOOK_TEXT}))
+UNION ALL
+SELECT source, source_ord, okey, id, 0::BIGINT AS part_no, text AS part, eos FROM ({SQL_RENDERED}) WHERE source <> 'book'
+"""
+
+
 # --- step 0: the minimum slice ---------------------------------------------
 def corpus_mix(spark, sf_dir):
-    """Per source: documents, tokens (pieces + end-of-text ids) and share."""
-    docs = C.rendered_sources(spark, sf_dir)
-    per = docs.groupBy("source").agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.sum(F.size(T.pieces(F.col("text"))) + F.col("eos").cast("int")).cast("bigint").alias("tokens"))
-    return ST.mix(per, "tokens", "pct")
+    """Per source: documents (rendered, kept), tokens in the stream (pieces
+    plus end-of-text ids) and the share of tokens."""
+    docs = C.rendered_sources(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    units = C.stream_units(spark, sf_dir)
+    toks = units.groupBy("source").agg(
+        F.sum(F.size(T.pieces(F.col("part"))) + F.col("eos").cast("int")).cast("bigint").alias("tokens"))
+    return ST.mix(docs.join(toks, "source", "left").na.fill(0, ["tokens"]), "tokens", "pct")
 
 
 register("corpus_mix", f"""
-WITH d AS ({SQL_RENDERED}),
-per AS (SELECT source, count(*) AS documents,
-               sum(len({Q.pieces('text')}) + CASE WHEN eos THEN 1 ELSE 0 END)::BIGINT AS tokens
-        FROM d GROUP BY source)
+WITH d AS (SELECT source, count(*) AS documents FROM ({SQL_RENDERED}) GROUP BY source),
+t AS (SELECT source, sum(len({Q.pieces('part')}) + CASE WHEN eos THEN 1 ELSE 0 END)::BIGINT AS tokens
+      FROM ({SQL_UNITS}) GROUP BY source),
+per AS (SELECT d.source, d.documents, coalesce(t.tokens, 0)::BIGINT AS tokens FROM d LEFT JOIN t ON d.source = t.source)
 SELECT source, documents, tokens, round(tokens * 100.0 / sum(tokens) OVER (), 4)::DOUBLE AS pct FROM per
 """)(corpus_mix)

@@ -11,7 +11,7 @@ from tessera.operators.packing import checksum, with_offsets
 from tessera.operators.tokens import build_vocab, decode
 from tessera.plans import corpus as C
 from tessera.plans import sqlfrag as Q
-from tessera.plans.q_corpus import SQL_BOOKS, SQL_RENDERED
+from tessera.plans.q_corpus import SQL_BOOKS, SQL_RENDERED, SQL_UNITS, _sql_book_parts
 from tessera.session import cut_lineage
 from tessera.sources import tables as S
 
@@ -29,18 +29,6 @@ def register(name, sql=None):
 
 
 # --- SQL building blocks -----------------------------------------------------------
-def _sql_book_parts(direct: int, min_chars: int = 10) -> str:
-    return (f"CASE WHEN length(text) <= {direct} THEN [text] ELSE list_filter(list_transform("
-            f"{Q.sentences('text')}, lambda s: {Q.strip('s')}), lambda s: length(s) > {min_chars}) END")
-
-
-SQL_UNITS = f"""
-SELECT source, source_ord, okey, id, 0::BIGINT AS part_no, text AS part, eos FROM ({SQL_RENDERED}) WHERE source <> 'book'
-UNION ALL
-SELECT source, source_ord, okey, id, unnest(range(len(ps)))::BIGINT AS part_no, unnest(ps) AS part, eos
-FROM (SELECT *, {_sql_book_parts(C.BOOK_DIRECT)} AS ps FROM ({SQL_RENDERED}) WHERE source = 'book')
-"""
-
 SQL_STREAM_CTES = f"""
 units AS ({SQL_UNITS}),
 toks AS (SELECT source_ord, okey, id, part_no, unnest(pcs) AS piece, unnest(range(len(pcs))) AS pos
