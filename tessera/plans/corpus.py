@@ -94,25 +94,31 @@ def book_stream(books: DataFrame, direct: int = BOOK_DIRECT, min_chars: int = SE
     * Combined length <= ``direct``: one unit holding the combined text (its
       size is bounded by ``direct``, so one row is safe).
     * Longer: its sentences (split after ``.!?`` + whitespace, stripped,
-      longer than ``min_chars``).  A sentence may run across a book boundary
-      when a book does not end with ``.!?``; sentence groups are numbered by
-      a two-level prefix sum over books, and the whitespace run between two
-      non-empty books (``"\\n\\n"`` per book boundary, empty books included)
-      comes from the neighbouring book indexes (equi-joins, no window).
-    Units: ``id = 0`` (the books form one document, with no end-of-text id),
-    ``part_no`` = position in the book stream.
+      longer than ``min_chars``).  A sentence runs across a book boundary
+      when the book before does not end with ``.!?``.  One multi-value prefix
+      sum over the books (path order) gives each book its index, its index
+      among non-empty books, and the number of sentences that start before
+      it; the whitespace run between two non-empty books (``"\\n\\n"`` per
+      boundary, empty books included) comes from the previous non-empty book
+      (an equi-join on its index).
+    Units: ``id = 0`` (the books form one document with no end-of-text id),
+    ``part_no`` = index of the sentence in the combined text.
     """
     from tessera.functions.text import sentences as split_sentences
     from tessera.functions.text import strip
     from tessera.operators.cleaning import concat_ordered
-    from tessera.operators.ordering import global_index, prefix_sum
+    from tessera.operators.ordering import prefix_sum
     from tessera.session import cut_lineage
 
-    books = cut_lineage(books.select("path", "text"))
-    k = global_index(books, ["path"], out="k")
-    ne = cut_lineage(global_index(k.where(F.length("text") > 0), ["path"], out="j"))
-    st = ne.agg(F.count(F.lit(1)).alias("r"), F.sum(F.length("text")).alias("chars"),
-                F.min("k").alias("k0"), F.max("k").alias("k1")).first()
+    nonempty = F.length("text") > 0
+    b = books.select("path", "text").withColumn("sents", F.when(nonempty, split_sentences(F.col("text"))))
+    b = (b.withColumn("_one", F.lit(1).cast("bigint"))
+          .withColumn("_ne", nonempty.cast("bigint"))
+          .withColumn("_cnt", F.coalesce(F.size("sents"), F.lit(0)).cast("bigint"))
+          .withColumn("_open", (nonempty & ~F.col("text").rlike("[.!?]$")).cast("bigint")))
+    b = cut_lineage(prefix_sum(b, ["path"], ["_one", "_ne", "_cnt", "_open"], ["k", "j", "p_cnt", "p_open"]))
+    st = b.agg(F.sum("_ne").alias("r"), F.sum(F.when(nonempty, F.length("text"))).alias("chars"),
+               F.min(F.when(nonempty, F.col("k"))).alias("k0"), F.max(F.when(nonempty, F.col("k"))).alias("k1")).first()
     total = 0 if not st["r"] else st["chars"] + 2 * (st["k1"] - st["k0"])
 
     def tag(df):
@@ -125,22 +131,23 @@ def book_stream(books: DataFrame, direct: int = BOOK_DIRECT, min_chars: int = SE
         one = concat_ordered(books.withColumn("_g", F.lit(0)), "_g", "path", "text", "\n\n", "part")
         return tag(one.select(F.lit(0).alias("part_no"), strip(F.col("part")).alias("part")))
 
-    ends = F.col("text").rlike("[.!?]$")
-    prev = ne.select((F.col("j") + 1).alias("j"), ends.alias("prev_ends"), F.col("k").alias("k_prev"))
-    b = ne.join(prev, "j", "left").withColumn("sents", split_sentences(F.col("text")))
-    cont = (F.col("j") > 1) & ~F.coalesce(F.col("prev_ends"), F.lit(True))
-    b = b.withColumn("cont", cont.cast("int")).withColumn(
-        "contrib", (F.size("sents") - F.col("cont")).cast("bigint"))
-    b = prefix_sum(b, ["j"], "contrib", "base")
+    ne = b.where(nonempty)
+    prev = ne.select((F.col("j") + 1).alias("j"), (F.col("_open") == 1).alias("prev_open"),
+                     F.col("k").alias("k_prev"))
+    b = ne.join(prev, "j", "left")
+    cont = F.coalesce(F.col("prev_open"), F.lit(False)).cast("bigint")
+    # sentences starting before this book = sentences of earlier books minus
+    # the ones that continued across a boundary (one per open boundary before
+    # the previous book's end)
+    base = F.col("p_cnt") - F.col("p_open") + cont
     run = F.repeat(F.lit("\n\n"), (F.col("k") - F.col("k_prev")).cast("int"))
-    ex = b.select("j", "base", "cont", run.alias("run"), F.posexplode("sents").alias("i", "s"))
+    ex = b.select("j", base.alias("base"), cont.alias("cont"), run.alias("run"),
+                  F.posexplode("sents").alias("i", "s"))
     frag = F.when((F.col("i") == 0) & (F.col("cont") == 1), F.concat(F.col("run"), F.col("s"))).otherwise(F.col("s"))
-    ex = ex.select((F.col("base") + F.col("i") - F.col("cont")).alias("grp"), "j", "i", frag.alias("frag"))
-    merged = ex.groupBy("grp").agg(F.array_join(F.transform(
+    ex = ex.select((F.col("base") + F.col("i") - F.col("cont")).alias("part_no"), "j", "i", frag.alias("frag"))
+    merged = ex.groupBy("part_no").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("j", "i", "frag"))), lambda x: x["frag"]), "").alias("part"))
-    kept = merged.withColumn("part", strip(F.col("part"))).where(F.length("part") > min_chars)
-    numbered = global_index(kept, ["grp"], out="_n")
-    return tag(numbered.withColumn("part_no", F.col("_n") - 1))
+    return tag(merged.withColumn("part", strip(F.col("part"))).where(F.length("part") > min_chars))
 
 
 def stream_units(spark: SparkSession, sf_dir: str, book_direct: int = BOOK_DIRECT) -> DataFrame:

@@ -71,9 +71,13 @@ SQL_BOOK_TEXT = (f"SELECT {Q.strip('string_agg(t || chr(10) || chr(10), \'\' ORD
                  f"(SELECT path, {Q.clean_book('text')} AS t FROM ({SQL_BOOKS}))")
 
 SQL_UNITS = f"""
-SELECT 'book' AS source, 0 AS source_ord, '' AS okey, 0::BIGINT AS id, unnest(range(len(ps)))::BIGINT AS part_no,
-       unnest(ps) AS part, false AS eos
-FROM (SELECT {_sql_book_parts(C.BOOK_DIRECT, C.SENTENCE_MIN, 'c')} AS ps FROM ({SQL_BOOK_TEXT}))
+SELECT 'book' AS source, 0 AS source_ord, '' AS okey, 0::BIGINT AS id, i::BIGINT AS part_no, s AS part, false AS eos
+FROM (SELECT unnest(range(len(ss))) AS i, unnest(ss) AS s, direct FROM (
+        SELECT CASE WHEN length(c) <= {C.BOOK_DIRECT} THEN [c]
+                    ELSE list_transform({Q.sentences('c')}, lambda x: {Q.strip('x')}) END AS ss,
+               length(c) <= {C.BOOK_DIRECT} AS direct
+        FROM ({SQL_BOOK_TEXT})))
+WHERE direct OR length(s) > {C.SENTENCE_MIN}
 UNION ALL
 SELECT source, source_ord, okey, id, 0::BIGINT AS part_no, text AS part, eos FROM ({SQL_RENDERED}) WHERE source <> 'book'
 """

@@ -99,6 +99,17 @@ def _py_book_stream(books, direct, min_chars):
     return [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if len(s.strip()) > min_chars]
 
 
+def _py_book_stream_numbered(books, direct, min_chars):
+    import re
+    text = ""
+    for _, t in sorted(books):
+        text += t + "\n\n"
+    text = text.strip()
+    if len(text) <= direct:
+        return [(0, text)]
+    return [(i, s.strip()) for i, s in enumerate(re.split(r"(?<=[.!?])\s+", text)) if len(s.strip()) > min_chars]
+
+
 def test_book_stream_matches_combined_text(spark):
     from tessera.plans.corpus import book_stream
     books = [("book1.txt", "Alpha starts here. It runs on without an end"),
@@ -109,5 +120,5 @@ def test_book_stream_matches_combined_text(spark):
              ("book4.txt", "")]
     df = spark.createDataFrame(books, "path string, text string")
     for direct, min_chars in ((10, 10), (10, 0), (10_000, 10)):
-        got = [r.part for r in book_stream(df, direct, min_chars).orderBy("part_no").collect()]
-        assert got == _py_book_stream(books, direct, min_chars), (direct, min_chars)
+        got = [(r.part_no, r.part) for r in book_stream(df, direct, min_chars).orderBy("part_no").collect()]
+        assert got == _py_book_stream_numbered(books, direct, min_chars), (direct, min_chars)
