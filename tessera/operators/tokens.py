@@ -29,19 +29,26 @@ END_OF_TEXT = "<|endoftext|>"          # fixed value: text of the end-of-text id
 BROADCAST_MAX_PIECES = 2_000_000       # vocabulary rows that may be broadcast
 
 
-def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    return (df.select(F.explode(pieces(F.col(text))).alias("piece"))
+def _pieces_of(df: DataFrame, text: str | None, pieces_col: str | None):
+    return F.col(pieces_col) if pieces_col else pieces(F.col(text))
+
+
+def piece_counts(df: DataFrame, text: str = "text", pieces_col: str | None = None) -> DataFrame:
+    """``piece, n``: map-side partial counts, so a hot piece is folded
+    before the shuffle."""
+    return (df.select(F.explode(_pieces_of(df, text, pieces_col)).alias("piece"))
             .groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
 
 
-def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
+def build_vocab(df: DataFrame, text: str = "text", pieces_col: str | None = None) -> DataFrame:
     """``piece STRING, n BIGINT, id BIGINT`` over all distinct pieces.
 
-    Written once to the checkpoint folder: every consumer (its size check,
-    encode, decode) reads it instead of recounting the corpus."""
-    counts = cut_lineage(piece_counts(df, text).withColumn("_neg_n", -F.col("n")))
+    The counts are written once (the distributed rank reads them twice); the
+    rank itself comes from a written table, so every consumer (size check,
+    encode, decode) reads stored rows instead of recounting the corpus."""
+    counts = cut_lineage(piece_counts(df, text, pieces_col).withColumn("_neg_n", -F.col("n")))
     ranked = global_index(counts, ["_neg_n", "piece"], out="_rank", key=["piece"])
-    return cut_lineage(ranked.select("piece", "n", (F.col("_rank") - 1).alias("id")))
+    return ranked.select("piece", "n", (F.col("_rank") - 1).alias("id"))
 
 
 def _lookup(rows: DataFrame, vocab: DataFrame, key_col: str, val_col: str, broadcast_max: int,
@@ -71,7 +78,7 @@ def vocab_size(vocab: DataFrame) -> int:
 def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
            eos_id: int | None = None, carry: list[str] | None = None,
            out: str = "ids", broadcast_max: int = BROADCAST_MAX_PIECES,
-           eos_col: str | None = None) -> DataFrame:
+           eos_col: str | None = None, pieces_col: str | None = None) -> DataFrame:
     """``*key, *carry, out ARRAY<INT>`` — the ids of the pieces of ``text``
     in order.  ``eos_id`` is appended to every row, or only to rows whose
     boolean ``eos_col`` is true when that is given."""
@@ -79,7 +86,7 @@ def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
     carry = list(carry or [])
     if eos_col and eos_col not in carry:
         carry.append(eos_col)
-    ex = df.select(*keys, *carry, F.posexplode_outer(pieces(F.col(text))).alias("pos", "piece"))
+    ex = df.select(*keys, *carry, F.posexplode_outer(_pieces_of(df, text, pieces_col)).alias("pos", "piece"))
     side = vocab.select("piece", F.col("id").cast("int").alias("_vid"), F.col("id").alias("_rank"))
     j = _lookup(ex, side, "piece", "_vid", broadcast_max, "_rank").drop("_rank")
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.col("_vid")))

@@ -164,12 +164,17 @@ def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = N
     """``(vocab, encoded, eos_id)``: encoded units carry ``source`` and ``ids``."""
     from tessera.operators.tokens import build_vocab, encode
     from tessera.session import cut_lineage
+    from tessera.functions.text import pieces
     units = units if units is not None else stream_units(spark, sf_dir)
-    vocab = build_vocab(units, "part")
+    # pre-tokenize once: the regex pass is the main CPU cost; counting and
+    # encoding both read the stored pieces
+    units = cut_lineage(units.select(*UNIT_ORDER, "source", "eos", pieces(F.col("part")).alias("pcs")))
+    vocab = build_vocab(units, pieces_col="pcs")
     eos_id = vocab.count()
     # the encoded corpus is read by several jobs (offsets, join back, totals):
-    # write it once instead of re-running pieces + join + regroup each time
-    enc = cut_lineage(encode(units, vocab, UNIT_ORDER, "part", eos_id=eos_id, carry=["source"], eos_col="eos"))
+    # write it once instead of re-running the join and regroup each time
+    enc = cut_lineage(encode(units, vocab, UNIT_ORDER, eos_id=eos_id, carry=["source"], eos_col="eos",
+                             pieces_col="pcs"))
     return vocab, enc, eos_id
 
 

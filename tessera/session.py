@@ -61,7 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss
-    and freezes any sampled decision (range bounds) made upstream."""
+    """Reliable checkpoint into the shared checkpoint folder.
+
+    The input is persisted only while the checkpoint files are written (so
+    the eager count and the file write do not compute it twice) and released
+    right after: later reads come from the checkpoint files, which survive
+    executor loss and freeze any sampled decision upstream (range bounds).
+    ``localCheckpoint`` is never used.  (Measured against writing a parquet
+    table: serialized rows checkpoint faster for the nested id arrays.)"""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist(blocking=False)
+    return out
