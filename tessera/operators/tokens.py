@@ -52,7 +52,7 @@ def build_vocab(df: DataFrame, text: str = "text", pieces_col: str | None = None
 
 
 def _lookup(rows: DataFrame, vocab: DataFrame, key_col: str, val_col: str, broadcast_max: int,
-            rank_col: str = "id") -> DataFrame:
+            rank_col: str = "id", size: int | None = None) -> DataFrame:
     """Left-join ``rows`` to the vocabulary on ``key_col``.
 
     Small vocabulary (counted): one broadcast hash join.  Large vocabulary:
@@ -60,7 +60,7 @@ def _lookup(rows: DataFrame, vocab: DataFrame, key_col: str, val_col: str, broad
     entries — the bulk of all tokens — are broadcast and joined map-side;
     only rows that miss them (rare pieces) go through a shuffle join with
     the rest.  A hot piece therefore never reaches a shuffle."""
-    size = vocab.count()
+    size = vocab.count() if size is None else size
     if size <= broadcast_max:
         return rows.join(F.broadcast(vocab), key_col, "left")
     hot = vocab.where(F.col(rank_col) < broadcast_max) if rank_col in vocab.columns else vocab
@@ -78,7 +78,8 @@ def vocab_size(vocab: DataFrame) -> int:
 def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
            eos_id: int | None = None, carry: list[str] | None = None,
            out: str = "ids", broadcast_max: int = BROADCAST_MAX_PIECES,
-           eos_col: str | None = None, pieces_col: str | None = None) -> DataFrame:
+           eos_col: str | None = None, pieces_col: str | None = None,
+           vocab_rows: int | None = None) -> DataFrame:
     """``*key, *carry, out ARRAY<INT>`` — the ids of the pieces of ``text``
     in order.  ``eos_id`` is appended to every row, or only to rows whose
     boolean ``eos_col`` is true when that is given."""
@@ -88,7 +89,7 @@ def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
         carry.append(eos_col)
     ex = df.select(*keys, *carry, F.posexplode_outer(_pieces_of(df, text, pieces_col)).alias("pos", "piece"))
     side = vocab.select("piece", F.col("id").cast("int").alias("_vid"), F.col("id").alias("_rank"))
-    j = _lookup(ex, side, "piece", "_vid", broadcast_max, "_rank").drop("_rank")
+    j = _lookup(ex, side, "piece", "_vid", broadcast_max, "_rank", vocab_rows).drop("_rank")
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.col("_vid")))
     g = j.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],

@@ -174,7 +174,7 @@ def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = N
     # the encoded corpus is read by several jobs (offsets, join back, totals):
     # write it once instead of re-running the join and regroup each time
     enc = cut_lineage(encode(units, vocab, UNIT_ORDER, eos_id=eos_id, carry=["source"], eos_col="eos",
-                             pieces_col="pcs"))
+                             pieces_col="pcs", vocab_rows=eos_id))
     return vocab, enc, eos_id
 
 
