@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.ordering import broadcast_if_small
+
 
 def _has_output(spark: SparkSession, out: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -41,9 +43,13 @@ def ingest(spark: SparkSession, landing: str, schema: T.StructType,
                                                                     if c not in (key, order)])).alias("_f"))
         rows = first.select(key, "_f.*")
         if _has_output(spark, out):
-            # a replayed batch must not see its own earlier output
-            seen = spark.read.parquet(out).where(F.col("batch_id") != epoch_id).select(key)
-            rows = rows.join(seen, key, "left_anti")
+            # Which of this batch's keys are stored already?  The stored key
+            # column (parquet column pruning) is scanned against the batch's
+            # keys, broadcast when their count allows, so the growing output
+            # is never shuffled; a replayed batch ignores its own directory.
+            stored = spark.read.parquet(out).where(F.col("batch_id") != epoch_id).select(key)
+            found = stored.join(broadcast_if_small(rows.select(key)), key, "left_semi").distinct()
+            rows = rows.join(found, key, "left_anti")
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={epoch_id}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
