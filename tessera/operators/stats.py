@@ -15,11 +15,13 @@ def union_sources(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def mix(df: DataFrame, value: str = "tokens", out: str = "pct", digits: int = 4) -> DataFrame:
-    """A2: share of each row in percent.  The window runs over the already
-    aggregated per-source rows (a handful), never over documents."""
+def mix(df: DataFrame, value: str = "tokens", out: str = "pct", digits: int | None = None) -> DataFrame:
+    """A2: share of each row in percent (rounded only when ``digits`` is
+    given, for display).  The window runs over the already aggregated
+    per-source rows (a handful), never over documents."""
     total = F.sum(F.col(value)).over(Window.partitionBy(F.lit(0)))
-    return df.withColumn(out, F.round((F.col(value) * 100.0 / total).cast("double"), digits))
+    pct = (F.col(value) * 100.0 / total).cast("double")
+    return df.withColumn(out, pct if digits is None else F.round(pct, digits))
 
 
 def source_stats(docs: DataFrame, tokens: str = "tokens", split_col: str | None = None) -> DataFrame:
@@ -43,8 +45,8 @@ def batch_progress(results: DataFrame, batch: str = "batch_id", success: str = "
     run = prefix_sum(per, [batch], ["succeeded", "failed"], ["_s", "_f"])
     run = (run.withColumn("total_succeeded", F.col("_s") + F.col("succeeded"))
               .withColumn("total_failed", F.col("_f") + F.col("failed")).drop("_s", "_f"))
-    return run.withColumn("success_rate", F.round(
-        (F.col("total_succeeded") * 100.0 / (F.col("total_succeeded") + F.col("total_failed"))).cast("double"), 4))
+    return run.withColumn("success_rate",
+                          (F.col("total_succeeded") * 100.0 / (F.col("total_succeeded") + F.col("total_failed"))).cast("double"))
 
 
 def count_parity(a: DataFrame, b: DataFrame, key: str, value: str, tol: float = 0.05) -> DataFrame:
@@ -58,8 +60,8 @@ def compare_runs(runs: DataFrame, run: str, duration: str, amount: str) -> DataF
     w = Window.partitionBy(F.lit(0)).orderBy(run)
     first = F.first(F.col(duration)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     fastest = F.min_by(F.col(run), F.struct(F.col(duration), F.col(run))).over(Window.partitionBy(F.lit(0)))
-    return (runs.withColumn("speedup", F.round((first / F.col(duration)).cast("double"), 4))
-                .withColumn("rate", F.round((F.col(amount) / F.col(duration)).cast("double"), 4))
+    return (runs.withColumn("speedup", (first / F.col(duration)).cast("double"))
+                .withColumn("rate", (F.col(amount) / F.col(duration)).cast("double"))
                 .withColumn("fastest", fastest))
 
 
@@ -89,9 +91,9 @@ def block_diagnostics(blocks: DataFrame, eos_id: int, ids: str = "ids") -> DataF
     uniq = F.size(F.array_distinct(b)).cast("bigint")
     return blocks.select(
         "*", n.cast("bigint").alias("n"), reps.alias("repetitions"),
-        F.round(reps / n, 6).alias("repetition_rate"),
+        (reps / n).alias("repetition_rate"),
         F.size(F.filter(b, lambda x: x == eos_id)).cast("bigint").alias("eos"),
-        uniq.alias("unique_ids"), F.round(uniq / n, 6).alias("unique_ratio")).drop(ids)
+        uniq.alias("unique_ids"), (uniq / n).alias("unique_ratio")).drop(ids)
 
 
 def shift_mismatches(windows: DataFrame, group: str = "split") -> DataFrame:

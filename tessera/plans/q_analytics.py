@@ -157,21 +157,21 @@ def softmax_topk(spark, sf_dir):
     c, h = _cands(spark, sf_dir)
     t, pen, k, _ = BAL
     s = CD.softmax(CD.top_k(CD.temperature(CD.penalize(c, h, pen), t), k))
-    return s.select("g", "token", F.round("prob", 9).alias("prob"))
+    return s.select("g", "token", F.round("prob", 6).alias("prob"))
 
 
 register("softmax_topk", f"""WITH {SQL_CANDS}, {_sql_preset(BAL[0], BAL[1], BAL[2], 1.0)}
-SELECT g, token, round(p0, 9) AS prob FROM s1
+SELECT g, token, round(p0, 6) AS prob FROM s1
 """)(softmax_topk)
 
 
 def nucleus(spark, sf_dir):
     c, h = _cands(spark, sf_dir)
-    return CD.apply_preset(c, h, *BAL).select("g", "token", F.round("prob", 9).alias("prob"))
+    return CD.apply_preset(c, h, *BAL).select("g", "token", F.round("prob", 6).alias("prob"))
 
 
 register("nucleus", f"""WITH {SQL_CANDS}, {_sql_preset(*BAL)}
-SELECT g, token, round(prob, 9) AS prob FROM fin
+SELECT g, token, round(prob, 6) AS prob FROM fin
 """)(nucleus)
 
 
@@ -179,11 +179,11 @@ def top5_view(spark, sf_dir):
     c, h = _cands(spark, sf_dir)
     v = CD.top_n_view(CD.apply_preset(c, h, *BAL), 5)
     return v.select("g", F.col("rank").cast("bigint").alias("rank"), "token", F.round("score", 6).alias("score"),
-                    F.round("logit", 6).alias("logit"), F.round("prob", 9).alias("prob"))
+                    F.round("logit", 6).alias("logit"), F.round("prob", 6).alias("prob"))
 
 
 register("top5_view", f"""WITH {SQL_CANDS}, {_sql_preset(*BAL)}
-SELECT g, rank, token, round(score, 6) AS score, round(logit, 6) AS logit, round(prob, 9) AS prob FROM (
+SELECT g, rank, token, round(score, 6) AS score, round(logit, 6) AS logit, round(prob, 6) AS prob FROM (
   SELECT *, row_number() OVER (PARTITION BY g ORDER BY prob DESC, token)::BIGINT AS rank FROM fin) WHERE rank <= 5
 """)(top5_view)
 

@@ -99,5 +99,5 @@ WITH d AS (SELECT source, count(*) AS documents FROM ({SQL_RENDERED}) GROUP BY s
 t AS (SELECT source, sum(len({Q.pieces('part')}) + CASE WHEN eos THEN 1 ELSE 0 END)::BIGINT AS tokens
       FROM ({SQL_UNITS}) GROUP BY source),
 per AS (SELECT d.source, d.documents, coalesce(t.tokens, 0)::BIGINT AS tokens FROM d LEFT JOIN t ON d.source = t.source)
-SELECT source, documents, tokens, round(tokens * 100.0 / sum(tokens) OVER (), 4)::DOUBLE AS pct FROM per
+SELECT source, documents, tokens, (tokens * 100.0 / sum(tokens) OVER ())::DOUBLE AS pct FROM per
 """)(corpus_mix)

@@ -48,9 +48,9 @@ bl AS (SELECT split, q // {BLOCK} AS block, q, vid FROM sp WHERE (q // {BLOCK} +
 lx AS (SELECT *, lead(vid) OVER (PARTITION BY split, block ORDER BY q) AS nx FROM bl)
 SELECT split, block::BIGINT AS block, count(*)::BIGINT AS n,
        sum(CASE WHEN vid = nx THEN 1 ELSE 0 END)::BIGINT AS repetitions,
-       round(sum(CASE WHEN vid = nx THEN 1 ELSE 0 END) / count(*), 6) AS repetition_rate,
+       sum(CASE WHEN vid = nx THEN 1 ELSE 0 END) / count(*) AS repetition_rate,
        sum(CASE WHEN vid = (SELECT count(*) FROM vocab) THEN 1 ELSE 0 END)::BIGINT AS eos,
-       count(DISTINCT vid)::BIGINT AS unique_ids, round(count(DISTINCT vid) / count(*), 6) AS unique_ratio
+       count(DISTINCT vid)::BIGINT AS unique_ids, count(DISTINCT vid) / count(*) AS unique_ratio
 FROM lx GROUP BY split, block
 """)(block_diagnostics)
 
@@ -137,7 +137,7 @@ def batch_progress(spark, sf_dir):
 register("batch_progress", f"""
 SELECT batch_id, succeeded, failed,
        sum(succeeded) OVER w::BIGINT AS total_succeeded, sum(failed) OVER w::BIGINT AS total_failed,
-       round(sum(succeeded) OVER w * 100.0 / (sum(succeeded) OVER w + sum(failed) OVER w), 4) AS success_rate
+       sum(succeeded) OVER w * 100.0 / (sum(succeeded) OVER w + sum(failed) OVER w) AS success_rate
 FROM (SELECT (request_index // {RESP_BATCH})::BIGINT AS batch_id,
              sum(CASE WHEN success THEN 1 ELSE 0 END)::BIGINT AS succeeded,
              sum(CASE WHEN success THEN 0 ELSE 1 END)::BIGINT AS failed
@@ -156,8 +156,8 @@ def compare_runs(spark, sf_dir):
 
 
 register("compare_runs", """
-SELECT run, duration, samples, round(first_value(duration) OVER (ORDER BY run) / duration, 4) AS speedup,
-       round(samples / duration, 4) AS rate,
+SELECT run, duration, samples, first_value(duration) OVER (ORDER BY run) / duration AS speedup,
+       samples / duration AS rate,
        first_value(run) OVER (ORDER BY duration, run ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fastest
 FROM (SELECT user_id AS run, sum(round(value * 100)::BIGINT) / 100.0 AS duration, count(*) AS samples
       FROM events GROUP BY user_id)
