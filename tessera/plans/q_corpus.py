@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import render as RD
 from tessera.operators import stats as ST
 from tessera.plans import corpus as C
 from tessera.plans import sqlfrag as Q
-from tessera.sources import tables as S
 
 QUERIES = {}
 ORACLE = {}

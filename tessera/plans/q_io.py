@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.operators import render as RD
 from tessera.plans import sqlfrag as Q
 from tessera.plans.q_text import SQL_RAW

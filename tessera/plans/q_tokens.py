@@ -11,8 +11,7 @@ from tessera.operators.packing import checksum, with_offsets
 from tessera.operators.tokens import build_vocab, decode
 from tessera.plans import corpus as C
 from tessera.plans import sqlfrag as Q
-from tessera.plans.q_corpus import SQL_BOOKS, SQL_RENDERED, SQL_UNITS, _sql_book_parts
-from tessera.session import cut_lineage
+from tessera.plans.q_corpus import SQL_BOOKS, SQL_UNITS, _sql_book_parts
 from tessera.sources import tables as S
 
 QUERIES = {}
