@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import stats as ST
 from tessera.plans import corpus as C
 from tessera.plans import sqlfrag as Q
+from tessera.sources import tables as S
 
 QUERIES = {}
 ORACLE = {}
@@ -83,13 +84,23 @@ SELECT source, source_ord, okey, id, 0::BIGINT AS part_no, text AS part, eos FRO
 
 # --- step 0: the minimum slice ---------------------------------------------
 def corpus_mix(spark, sf_dir):
-    """Per source: documents (rendered, kept), tokens in the stream (pieces
-    plus end-of-text ids) and the share of tokens."""
-    docs = C.rendered_sources(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    """Per source: documents (kept; for books, the book files), tokens in
+    the stream (pieces plus end-of-text ids) and the share of tokens.
+
+    One pass over the stream units: a chat, pair or article unit is one kept
+    document; the books form one stream, so their document count is the
+    number of book files (a count over the scan, joined on ``source``)."""
     units = C.stream_units(spark, sf_dir)
-    toks = units.groupBy("source").agg(
+    per = units.groupBy("source").agg(
+        F.count(F.lit(1)).alias("_units"),
         F.sum(F.size(T.pieces(F.col("part"))) + F.col("eos").cast("int")).cast("bigint").alias("tokens"))
-    return ST.mix(docs.join(toks, "source", "left").na.fill(0, ["tokens"]), "tokens", "pct")
+    books = S.book_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("_books")).where(F.col("_books") > 0) \
+        .select(F.lit("book").alias("source"), "_books")
+    j = per.join(books, "source", "full")
+    out = j.select("source",
+                   F.when(F.col("source") == "book", F.col("_books")).otherwise(F.col("_units")).alias("documents"),
+                   F.coalesce(F.col("tokens"), F.lit(0).cast("bigint")).alias("tokens"))
+    return ST.mix(out, "tokens", "pct")
 
 
 register("corpus_mix", f"""
