@@ -64,3 +64,14 @@ def test_error_class(spark):
                                 (None, None)], "m string, c string")
     got = [r[0] for r in df.select(T.error_class("m", "c")).collect()]
     assert got == ["timeout", "timeout", "error", None]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list(T.WHITESPACE) + list("ab.!?é1")), max_size=30))
+def test_whitespace_helpers_property(spark, s):
+    (strip_, words_, collapse_, sents_), = _one(
+        spark, [T.strip("s"), T.words("s"), T.collapse_ws("s"), T.sentences("s")], [s])
+    assert strip_ == s.strip()
+    assert list(words_) == s.split()
+    assert collapse_ == " ".join(s.split())
+    assert list(sents_) == re.split(r"(?<=[.!?])\s+", s)
