@@ -74,3 +74,11 @@ def test_encode_hot_cold_split_equals_broadcast(spark):
     enc = encode(docs, voc, "id")
     d = {r.id: r.text for r in decode(enc, voc, "id", broadcast_max=2).collect()}
     assert d == {1: "the cat and the dog", 2: "a rare zebra, the end.", 3: ""}
+
+
+def test_encode_unknown_piece_is_kept(spark):
+    from tessera.operators.tokens import encode
+    docs = spark.createDataFrame([(1, "the cat sat")], "id long, text string")
+    voc = spark.createDataFrame([("the", 5, 0), (" sat", 3, 1)], "piece string, n long, id long")
+    got = encode(docs, voc, "id").first()
+    assert list(got.ids) == [0, -1, 1]
