@@ -39,7 +39,7 @@ REWEIGHT = 0.975
 STAYS = 0.99999
 DIMS = ("word_len", "symbols", "dup_lines", "repeats")
 #: Least standard deviation per dimension, in transformed units.
-FLOOR = (0.05, 0.06, 0.12, 0.08)
+FLOOR = (0.05, 0.06, 0.2, 0.12)
 #: Estimates are broadcast up to this many groups, else joined by shuffle.
 BROADCAST_GROUPS = 20_000
 

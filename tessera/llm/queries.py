@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import (html_main, kd_shards, mcd_quality, pii, piece_codec, token_counts, toxicity)
+from tessera.llm import (html_main, kd_shards, line_runs, mcd_quality, pii, piece_codec, token_counts, toxicity)
 from tessera.llm.shared import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,11 @@ def op3_mcd_quality(spark, sf_dir):
     return mcd_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_line_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.delete_repeated_runs(docs, deleted_col="n_deleted").select("doc_id", "n_deleted", "text")
+
+
 def op6_token_counts(spark, sf_dir):
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -46,6 +51,29 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_kd_tree_shards, op3_mcd_quality, op6_token_counts,
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_kd_tree_shards, op3_mcd_quality, op5_line_runs, op6_token_counts,
                                    op7_pii_deobfuscation, op8_piece_roundtrip, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+#: Runs as joined line text, compared literally.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w
+      FROM d, unnest(generate_series(1, len(ls))) AS g(i)),
+s AS (SELECT doc_id, i, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM l),
+u AS (SELECT doc_id, i, c, c - w AS u FROM s),
+r AS (SELECT a.doc_id, a.i AS f, min(b.i) AS t FROM u a JOIN u b
+        ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.u >= 50 GROUP BY 1, 2
+      UNION
+      SELECT a.doc_id, max(b.i) AS f, a.i AS t FROM u a JOIN u b
+        ON a.doc_id = b.doc_id AND b.i <= a.i AND a.c - b.u >= 50 GROUP BY 1, 3),
+k AS (SELECT r.doc_id, f, t, array_to_string(ls[f:t], chr(10)) AS run FROM r JOIN d USING (doc_id)),
+c AS (SELECT doc_id, f, t, row_number() OVER (PARTITION BY run ORDER BY doc_id, f) AS n FROM k),
+gone AS (SELECT DISTINCT doc_id, i FROM c, unnest(generate_series(f, t)) AS g(i) WHERE n > 1),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text
+         FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i WHERE gone.i IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_deleted,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE = {"op5_line_runs": OP5_SQL}

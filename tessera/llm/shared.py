@@ -26,3 +26,14 @@ def let(value: Column, body) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has."""
+    used, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
