@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import (html_main, kd_shards, line_runs, mcd_quality, pii, piece_codec, token_counts, toxicity)
+from tessera.llm import (decontam, html_main, kd_shards, line_runs, mcd_quality, pii, piece_codec, token_counts, toxicity)
 from tessera.llm.shared import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,6 +44,13 @@ def op8_piece_roundtrip(spark, sf_dir):
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op9_benchmark_leaks(spark, sf_dir):
+    leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.groupBy("doc_id", "item_id").agg(
+        F.min(F.struct("edits", "first_word")).alias("best"), F.max("n_words").alias("n_words")).select(
+        "doc_id", "item_id", "n_words", "best.edits", "best.first_word")
+
+
 def op10_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, labels))
@@ -52,7 +59,8 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_kd_tree_shards, op3_mcd_quality, op5_line_runs, op6_token_counts,
-                                   op7_pii_deobfuscation, op8_piece_roundtrip, op10_toxicity)}
+                                   op7_pii_deobfuscation, op8_piece_roundtrip, op9_benchmark_leaks,
+                                   op10_toxicity)}
 #: Runs as joined line text, compared literally.
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
