@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontam, html_main, kd_shards, line_runs, mcd_quality, pii, piece_codec, token_counts, toxicity)
+from tessera.llm import (decontam, html_main, jaccard_join, kd_shards, line_runs, mcd_quality, pii, piece_codec, token_counts, toxicity)
 from tessera.llm.shared import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op3_mcd_quality(spark, sf_dir):
     return mcd_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_line_runs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_runs.delete_repeated_runs(docs, deleted_col="n_deleted").select("doc_id", "n_deleted", "text")
@@ -58,7 +62,7 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_kd_tree_shards, op3_mcd_quality, op5_line_runs, op6_token_counts,
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_kd_tree_shards, op3_mcd_quality, op4_jaccard_join, op5_line_runs, op6_token_counts,
                                    op7_pii_deobfuscation, op8_piece_roundtrip, op9_benchmark_leaks,
                                    op10_toxicity)}
 #: Runs as joined line text, compared literally.
