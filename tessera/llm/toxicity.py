@@ -58,8 +58,8 @@ def grams(text: str) -> np.ndarray:
 def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights (with the naive Bayes scale folded in) and intercept."""
     size = 1 << BITS
-    if y.all() or not y.any():
-        return np.zeros(size, np.float32), 50.0 if len(y) and y.all() else -50.0
+    if y.all() or not y.any():  # one label only, or no row
+        return np.zeros(size, np.float32), 50.0 if y.any() else -50.0
     rows = [np.unique(grams(t)) for t in texts]
     col = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -120,6 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "b": [b]})
 
     got = told.repartition(1).mapInArrow(one_fit, "w binary, b double").collect()  # 2**BITS weights
+    if not got:  # no labelled document at all
+        return fit([], np.zeros(0, int))
     return np.frombuffer(got[0]["w"], np.float32), got[0]["b"]
 
 
