@@ -23,6 +23,7 @@ import hashlib
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,11 @@ class Codec:
                 self.id_of[p] = i
                 self.score[p] = sp.get_score(i)
         self.byte_of = {i: b for b, i in self.byte_id.items()}
+        # what an id adds to a decoded text; bytes from 128 up only count together
+        self.text_of = [chr(self.byte_of[i]) if i in self.byte_of else "" if i in (self.bos, self.eos) else
+                        " ⁇ " if i == self.unk else p.replace(SPACE, " ") for i, p in enumerate(self.piece_of)]
+        high = [i for i, b in self.byte_of.items() if b > 127]
+        self.high = (min(high), max(high)) if high else (1, 0)
         self.auto = ahocorasick.Automaton()
         for p, i in self.id_of.items():
             self.auto.add_word(p, (len(p), i))
@@ -140,6 +146,11 @@ class Codec:
     def decode(self, ids) -> str:
         """Text of ids: control ids are silent, runs of byte pieces are UTF-8,
         space marks are spaces and the one put before the text goes."""
+        a = np.asarray(ids, np.uint32)
+        if not ((a >= self.high[0]) & (a <= self.high[1])).any():
+            text = "".join(map(self.text_of.__getitem__, ids))
+            first = next((i for i in ids if i not in (self.bos, self.eos)), None)
+            return text[1:] if first is not None and first not in self.byte_of and text[:1] == " " and first != self.unk else text
         out, raw = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -200,7 +211,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 ids = array("I", raw)
                 back = c.decode(ids)
                 row = [len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
-                rows.append(row + [list(ids)] * with_ids + [back] * with_text)
+                rows.append(row + [np.frombuffer(raw, np.int32)] * with_ids + [back] * with_text)
             cols = list(zip(*rows)) if rows else [()] * (len(schema) - 1)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(list(c_), f.type) for c_, f in zip(cols, list(schema)[1:]))],
