@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,9 @@ def _postings(path: str):
     schema = pa.schema([("piece", pa.string()), ("block", pa.int64()), ("postings", pa.list_(pa.int32())),
                         ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
+    def none(n):  # empty lists: Spark writes null lists to Arrow in quadratic time
+        return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int64()))
+
     def close(block, names, piece, post, ids, sizes):
         piece, post = np.frombuffer(piece, np.int32), np.frombuffer(post, np.int32)
         order = np.argsort(piece, kind="stable")
@@ -80,11 +84,11 @@ def _postings(path: str):
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
                                          pa.array(post[order]))
         n = len(names)
-        empty = pa.nulls(n, pa.list_(pa.int64()))
+        empty = none(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(names), pa.string()), pa.array(np.full(n, block)), lists, empty, empty], schema=schema)
         yield pa.RecordBatch.from_arrays(  # the block's documents; its key only spreads such rows
-            [pa.array([f"block {block}"]), pa.array([block], pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
+            [pa.array([f"block {block}"]), pa.array([block], pa.int64()), pa.array([[]], pa.list_(pa.int32())),
              pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))], schema=schema)
 
     def run(batches):
@@ -124,8 +128,8 @@ def _count(path: str):
         for block, acc in sums.items():
             n = int(np.max(np.nonzero(acc)[0], initial=-1)) + 1
             one = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(acc[:n]))
-            null = pa.nulls(1, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one, null, null], schema=schema)
+            none = pa.array([[]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one, none, none], schema=schema)
 
     def run(batches):
         import os
@@ -135,12 +139,13 @@ def _count(path: str):
         sums, held = {}, 0
         last, last_n = None, 0
         for b in batches:
-            docs = b.filter(b.column("ids").is_valid())
+            is_docs = pa.array(np.diff(b.column("ids").offsets.to_numpy()) > 0)
+            docs = b.filter(is_docs)
             if docs.num_rows:
                 yield pa.RecordBatch.from_arrays(
-                    [docs.column("block"), pa.nulls(docs.num_rows, pa.list_(pa.int32())),
+                    [docs.column("block"), pa.array([[]] * docs.num_rows, pa.list_(pa.int32())),
                      docs.column("ids"), docs.column("sizes")], schema=schema)
-            b = b.filter(b.column("ids").is_null())
+            b = b.filter(pc.invert(is_docs))
             if not b.num_rows:
                 continue
             names = b.column("piece").to_pylist()  # sorted: equal pre-tokens are neighbours
@@ -192,7 +197,7 @@ def _total(id_type: pa.DataType):
                     yield row(acc, docs)
                     acc, docs = np.zeros(0, np.int64), None
                 at = block
-                if b.column("ids")[i].is_valid:
+                if len(b.column("ids")[i]):
                     docs = b.column("ids")[i].as_py(), b.column("sizes")[i].as_py()
                 else:
                     part = b.column("sums")[i].values.to_numpy()
