@@ -163,6 +163,7 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, limits):
         monkeypatch.setattr(jaccard_join, "PIVOTS", limits[1])
         monkeypatch.setattr(jaccard_join, "ROUNDS", limits[2])
         monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+        monkeypatch.setattr(jaccard_join, "DIRECT", 8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert collected(jaccard_join.near_duplicates(df, 4, 85)) == brute_components(rows, 4, 85)
     if not limits:
