@@ -34,6 +34,8 @@ TRAIN_ROWS = 4000
 ALPHA = 1.0
 L2 = 1e-2
 STEPS = 60
+#: Texts whose features are worked on at a time, so that the fit needs little memory.
+CHUNK = 250
 #: Features whose log-count ratio is nearer to zero say little and stay out.
 LEAST_RATIO = 0.5
 _SPACE = re.compile(r"\s+")
@@ -60,24 +62,34 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     size = 1 << BITS
     if y.all() or not y.any():  # one label only, or no row
         return np.zeros(size, np.float32), 50.0 if y.any() else -50.0
-    rows = [np.unique(grams(t)) for t in texts]
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pos = np.bincount(col[y[row] == 1], minlength=size) + ALPHA
-    neg = np.bincount(col[y[row] == 0], minlength=size) + ALPHA
+    pos, neg = np.full(size, ALPHA), np.full(size, ALPHA)
+    parts = []  # per chunk of texts: all features, where each text's begin, labels
+    for at in range(0, len(texts), CHUNK):
+        rows = [np.unique(grams(t)) for t in texts[at:at + CHUNK]]
+        for k, label in zip(rows, y[at:at + CHUNK]):
+            (pos if label else neg)[k] += 1
+        parts.append((np.concatenate(rows), np.array([len(k) for k in rows])))
+        del rows
     # document shares, so that long texts of one label don't move every ratio
     r = np.log(pos / (y.sum() + 2 * ALPHA)) - np.log(neg / ((1 - y).sum() + 2 * ALPHA))
     r[np.abs(r) < LEAST_RATIO] = 0
-    told = r[col] != 0
-    row, col = row[told], col[told]
-    x = r[col]
+    for k, (col, n) in enumerate(parts):
+        told = r[col] != 0
+        ends = np.concatenate([[0], np.cumsum(told)])[np.concatenate([[0], np.cumsum(n)])]
+        parts[k] = (col[told], ends)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both labels weigh alike
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = np.clip(np.bincount(row, weights=w[col] * x, minlength=len(y)) + b, -50, 50)
-        e = share * (1 / (1 + np.exp(-z)) - y)
-        g, gb = np.bincount(col, weights=e[row] * x, minlength=size) + L2 * w, e.sum()
+        wr, g, gb = w * r, np.zeros(size), 0.0
+        for k, (col, ends) in enumerate(parts):
+            mine = slice(k * CHUNK, k * CHUNK + len(ends) - 1)
+            total = np.concatenate([[0.0], np.cumsum(wr[col])])
+            z = np.clip(np.diff(total[ends]) + b, -50, 50)
+            e = share[mine] * (1 / (1 + np.exp(-z)) - y[mine])
+            g += np.bincount(col, weights=np.repeat(e, np.diff(ends)), minlength=size)
+            gb += e.sum()
+        g = g * r + L2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 / (1 + t / 40)
