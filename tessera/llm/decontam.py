@@ -29,6 +29,7 @@ tables give empty results (no benchmark: no leak); null ids are carried;
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ REPS = 6
 BLOCK_WORDS = 1_000_000
 #: Words of documents that are searched together (one document at least).
 CHUNK_WORDS = 400_000
+#: Words whose digests a worker keeps.
+KNOWN_WORDS = 100_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +55,7 @@ class Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) > 500_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word) | 1  # 0 stands for "no word"
         return h
@@ -132,7 +135,8 @@ class Index:
                     keys, _ = walk(x, mixed(x, seed), starts, coords[:q + 1], None)
                     levels.append(keys)
                 order = np.argsort(levels[-1], kind="stable")
-                seen = [np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=1 << 20).astype(bool) for v in levels]
+                seen = [np.packbits(np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=1 << 20).astype(bool))
+                        for v in levels]
                 self.tables.append((size, stride, seed, coords, seen, levels[-1][order], owner[order], offset[order]))
 
     def candidates(self, x: np.ndarray, doc_of: np.ndarray, place: np.ndarray) -> set:
@@ -148,7 +152,7 @@ class Index:
                 out.update((d, int(owner[j]), p - int(offset[j])) for j in range(lo[k], hi[k]))
         return out
 
-    def hits(self, texts: list[str | None], known: Hashes) -> list[tuple[int, int, int, int]]:
+    def hits(self, texts: Iterable, known: Hashes) -> list[tuple[int, int, int, int]]:
         """``(row, item, edits, first word)``: the best place of each held item."""
         found: dict = {}
         chunk, size = [], 0
@@ -174,8 +178,8 @@ class Index:
                 d, end = edits(self.bits[item], n, x[lo:hi].tolist())
                 if d <= most and (best is None or d < best[0]):
                     found[row, item] = (d, max(0, lo + end - n - base))
-        for row, text in enumerate(texts):
-            w = symbols(text, known)
+        for row, text in enumerate(texts):  # one text at a time leaves the batch
+            w = symbols(text.as_py() if isinstance(text, pa.Scalar) else text, known)
             if len(w):
                 chunk.append((row, w))
                 size += len(w)
@@ -202,12 +206,13 @@ def walk(x, bits, starts, coords, seen):
         key ^= key >> np.uint64(32)
         key *= _FOLD
         if seen is not None:
-            alive = np.flatnonzero(seen[q][(key >> np.uint64(44)).astype(np.int64)])
+            top = (key >> np.uint64(44)).astype(np.int64)
+            alive = np.flatnonzero(seen[q][top >> 3] & (128 >> (top & 7)))
             at, origin, key = at[alive], origin[alive], key[alive]
     return key, origin
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _index(items: tuple) -> Index:
     return Index(list(items))
 
@@ -242,7 +247,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             index = _index(shipped.value)
             for b in batches:
                 ids = b.column(0)
-                hits = index.hits(b.column(1).to_pylist(), _known)
+                hits = index.hits(b.column(1), _known)
                 rows = [h[0] for h in hits]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(rows, pa.int64())), pa.array([index.ids[h[1]] for h in hits], pa.int64()),
@@ -264,7 +269,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         def scan(batches, shipped=shipped):
             index = _index(shipped.value)
             for b in batches:
-                held = {h[0] for h in index.hits(b.column(at).to_pylist(), _known)}
+                held = {h[0] for h in index.hits(b.column(at), _known)}
                 yield b.filter(pa.array([k not in held for k in range(b.num_rows)], pa.bool_()))
         docs = docs.mapInArrow(scan, docs.schema)
     return docs

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-WORD_CACHE = 400_000
-PAIR_CACHE = 1_000_000
+WORD_CACHE = 100_000
+PAIR_CACHE = 200_000
 #: Longer words are encoded without being kept.
 KEPT_CHARS = 64
 
@@ -206,8 +206,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         c = codec(model_path)
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
-                raw = c.encode(text or "")
+            for text in b.column(1):
+                raw = c.encode(text.as_py() or "")
                 ids = array("I", raw)
                 back = c.decode(ids)
                 row = [len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
