@@ -54,33 +54,28 @@ def chunk_overlap(df: DataFrame, text: str = "text", size: int = 10_000, lookbac
 
 
 def chunk_fixed(df: DataFrame, text: str = "text", size: int = 50_000, window: int = 1000,
-                direct: int = 100_000, lossy: bool = False, out: str = "chunk") -> DataFrame:
+                direct: int = 0, out: str = "chunk") -> DataFrame:
     """T4: texts up to ``direct`` characters stay whole.  Longer ones are cut
     into ``size`` pieces, each trimmed back to its last sentence end within
     its final ``window`` characters, then stripped.
 
-    ``lossy=True`` is the original rule: the next piece still starts at the
-    fixed stride, so the trimmed tail is lost.  The default is lossless: the
-    next piece starts where the previous one was cut (a fold over the slots
-    of one text).
+    The next piece starts where the previous one was cut (a fold over the
+    slots of one text), so only the white space stripped off is lost.
     """
     n = F.length(F.col(text))
-    if lossy:
-        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))
-    else:
-        # chained cut points; every chunk advances by more than size - window
-        slots = F.sequence(F.lit(0), F.floor(n / F.lit(max(size - window, 1))).cast("int"))
-
-        def step(acc, _):
-            pos = acc["pos"]
-            piece = F.substring(F.col(text), pos + 1, size)
-            tail_start = F.greatest(F.length(piece) - window, F.lit(0))
-            last = _last_sentence_end(F.substring(piece, tail_start + 1, window))
-            cut = F.when((pos + size < n) & (last > 0), tail_start + last + 1).otherwise(F.length(piece))
-            return F.when(pos < n, F.struct(F.concat(acc["starts"], F.array(pos)).alias("starts"),
-                                            (pos + cut).alias("pos"))).otherwise(acc)
-        init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("pos"))
-        starts = F.aggregate(slots, init, step)["starts"]
+    # chained cut points; every chunk advances by more than size - window
+    slots = F.sequence(F.lit(0), F.floor(n / F.lit(max(size - window, 1))).cast("int"))
+
+    def step(acc, _):
+        pos = acc["pos"]
+        piece = F.substring(F.col(text), pos + 1, size)
+        tail_start = F.greatest(F.length(piece) - window, F.lit(0))
+        last = _last_sentence_end(F.substring(piece, tail_start + 1, window))
+        cut = F.when((pos + size < n) & (last > 0), tail_start + last + 1).otherwise(F.length(piece))
+        return F.when(pos < n, F.struct(F.concat(acc["starts"], F.array(pos)).alias("starts"),
+                                        (pos + cut).alias("pos"))).otherwise(acc)
+    init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("pos"))
+    starts = F.aggregate(slots, init, step)["starts"]
     ex = df.select("*", F.posexplode(F.when(n > direct, starts).otherwise(F.array(F.lit(0)))).alias("chunk_no", "_i"))
     i = F.col("_i")
     piece = F.substring(F.col(text), i + 1, size)
@@ -97,19 +92,19 @@ def chunk_sentences(df: DataFrame, text: str = "text", limit: int = 50_000, dire
     into sentences and greedily packed: a sentence joins the current chunk
     with one space unless that would pass ``limit`` characters, then the
     chunk is closed.  Chunks are stripped; empty ones are dropped."""
-    ss = T.sentences(F.col(text))
-    lens = F.transform(ss, lambda s: F.length(s))
-
-    def step(acc, ln):
-        close = (acc["cur"] + ln > limit) & (acc["cur"] > 0)
-        cid = F.when(close, acc["cid"] + 1).otherwise(acc["cid"])
-        cur = F.when(close, ln).otherwise(F.when(acc["cur"] > 0, acc["cur"] + 1 + ln).otherwise(ln))
-        return F.struct(F.concat(acc["ids"], F.array(cid)).alias("ids"), cur.alias("cur"), cid.alias("cid"))
-    init = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("cur"), F.lit(0).alias("cid"))
-    folded = F.aggregate(lens, init, step)
-    ids = folded["ids"]
-    chunks = F.transform(F.sequence(F.lit(0), folded["cid"]), lambda c: T.strip(F.array_join(
-        F.slice(ss, F.array_position(ids, c).cast("int"), F.size(F.filter(ids, lambda x: x == c))), " ")))
+    cut = df.withColumn("_s", T.sentences(F.col(text)))
+    lens = F.transform("_s", lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i")))
+
+    def step(acc, x):
+        close = (acc["cur"] + x["n"] > limit) & (acc["cur"] > 0)
+        starts = F.when(close, F.concat(acc["starts"], F.array(x["i"]))).otherwise(acc["starts"])
+        cur = F.when(close | (acc["cur"] == 0), x["n"]).otherwise(acc["cur"] + 1 + x["n"])
+        return F.struct(starts.alias("starts"), cur.alias("cur"))
+    init = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("cur"))
+    # a column of its own: computed once per text, read once per chunk
+    cut = cut.withColumn("_b", F.aggregate(lens, init, step)["starts"])
+    chunks = F.transform("_b", lambda b, k: T.strip(F.array_join(F.slice(
+        F.col("_s"), b + 1, F.coalesce(F.get(F.col("_b"), k + 1), F.size("_s")) - b), " ")))
     parts = F.when(F.length(F.col(text)) <= direct, F.array(F.col(text))).otherwise(
         F.filter(chunks, lambda c: c != ""))
-    return df.select("*", F.posexplode(parts).alias("chunk_no", out))
+    return cut.select(*df.columns, F.posexplode(parts).alias("chunk_no", out))

@@ -3,9 +3,9 @@
 A window without ``partitionBy`` moves every row to one task.  The helpers
 here compute an exclusive prefix sum over an arbitrary order in two levels:
 
-1. range-partition a *narrow* projection (order key + value) on the order
-   key and sort inside each partition (one shuffle of narrow rows);
-2. per partition, an Arrow-batched running sum (``mapInPandas``) gives the
+1. range-partition the rows on the order key and sort inside each partition
+   (one shuffle);
+2. per partition, an Arrow-batched running sum (``mapInArrow``) gives the
    local offset and the partition id;
 3. the result is checkpointed (reliable, shared folder) so the sampled range
    bounds cannot change between the jobs that read it, and a lost executor
@@ -13,8 +13,8 @@ here compute an exclusive prefix sum over an arbitrary order in two levels:
 4. partition totals (one row per partition: bounded by the partition count)
    become bases through a tiny window and a broadcast join.
 
-The wide rows are joined back on their key, so only narrow columns go
-through the range shuffle and the checkpoint.
+All columns go through the range pass, so nothing is joined back: rows with
+null or repeated keys keep their places like any other.
 """
 
 from __future__ import annotations
@@ -32,43 +32,41 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def _local_running_sum(values: list[str], locals_: list[str]):
+def _local_running_sum(values: list[str]):
     def run(batches):
+        import numpy as np
+        import pyarrow as pa
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         acc = [0] * len(values)
-        for pdf in batches:
-            for k, (v, lo) in enumerate(zip(values, locals_)):
-                x = pdf[v].fillna(0).astype("int64")
-                cum = x.cumsum()
-                pdf[lo] = (cum - x + acc[k]).astype("int64")
-                if len(x):
-                    acc[k] += int(cum.iloc[-1])
-            pdf["_pid"] = pid
-            yield pdf
+        for b in batches:
+            out = []
+            for k, v in enumerate(values):
+                x = b.column(b.schema.get_field_index(v)).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+                cum = np.cumsum(x)
+                out.append(pa.array(cum - x + acc[k], pa.int64()))
+                acc[k] += int(cum[-1]) if len(x) else 0
+            out.append(pa.array(np.full(b.num_rows, pid, np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[
+                *b.schema.names, *(f"_local{k}" for k in range(len(values))), "_pid"])
     return run
 
 
 def prefix_sum(df: DataFrame, order: list[str], value, out="offset",
-               key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows strictly before this row
-    in ``order`` (ties broken by ``order`` itself, so make it unique).
+    in ``order``.  Nulls come first; rows equal in ``order`` follow each other
+    in some order, fixed by the checkpoint.  Every row of ``df`` gives one row.
     ``value``/``out`` may be lists to compute several sums in one pass.
-    Values are integers (counts, lengths, quantized amounts): the sums are exact.
-
-    ``key`` (default ``order``) identifies a row for the join back.
+    Values are integers (counts, lengths; null counts as 0): the sums are exact.
     """
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    key = key or order
-    cols = list(dict.fromkeys(list(order) + list(key) + values))
-    narrow = df.select(*cols)
-    p = _partitions(df, partitions)
-    ranged = narrow.repartitionByRange(p, *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(_partitions(df, partitions), *order).sortWithinPartitions(*order)
     locals_ = [f"_local{k}" for k in range(len(values))]
-    schema = T.StructType(narrow.schema.fields + [T.StructField(lo, T.LongType()) for lo in locals_]
+    schema = T.StructType(df.schema.fields + [T.StructField(lo, T.LongType()) for lo in locals_]
                           + [T.StructField("_pid", T.IntegerType())])
-    local = cut_lineage(ranged.mapInPandas(_local_running_sum(values, locals_), schema))
+    local = cut_lineage(ranged.mapInArrow(_local_running_sum(values), schema))
     totals = local.groupBy("_pid").agg(*[F.sum(v).alias(f"_ptotal{k}") for k, v in enumerate(values)])
     # one row per partition: a bounded table, broadcast by construction
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,19 +74,14 @@ def prefix_sum(df: DataFrame, order: list[str], value, out="offset",
                                     for k in range(len(values))])
     sums = [(F.col(f"_base{k}") + F.col(lo)).cast("bigint").alias(o)
             for k, (lo, o) in enumerate(zip(locals_, outs))]
-    if set(df.columns) <= set(cols):
-        # nothing but the narrow columns: the rows themselves went through
-        # the range partition, no join back is needed
-        return local.join(F.broadcast(bases), "_pid").select(*df.columns, *sums)
-    offsets = local.join(F.broadcast(bases), "_pid").select(*key, *sums)
-    return df.join(offsets, key)
+    return local.join(F.broadcast(bases), "_pid").select(*df.columns, *sums)
 
 
 def global_index(df: DataFrame, order: list[str], out: str = "idx",
-                 key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """1-based position of every row in ``order`` (a distributed row_number)."""
     one = "_one"
-    res = prefix_sum(df.withColumn(one, F.lit(1)), order, one, "_off", key, partitions)
+    res = prefix_sum(df.withColumn(one, F.lit(1)), order, one, "_off", partitions)
     return res.withColumn(out, F.col("_off") + 1).drop("_off", one)
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import strip
 from tessera.operators.ordering import global_index
 
-PER_BATCH = 10        # fixed value: fallback extraction keeps at most 10 per reply
 TARGET = 90           # fixed value: fewer unique questions than this is flagged
 
 NUMBERED = r"^([1-9][0-9]?|100)\."
@@ -34,22 +33,27 @@ def _line_question(raw: Column) -> Column:
 
 
 def is_string_list(text: Column) -> Column:
-    """The text parses as JSON and is a list of strings (an empty list
-    counts).  A list holding any non-string is not one."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    return F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
-
-
-def questions_of(text: Column, per_batch: int = PER_BATCH) -> Column:
-    """The questions of one reply, in order."""
+    """The whole text parses as JSON and is a list of strings (an empty
+    list counts).  A list holding a null or any other non-string is not one,
+    nor is a list with text behind it: as the value of a one-field object the
+    text must be complete in itself."""
+    kind = F.schema_of_variant(F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))))
+    null_in = F.exists(F.from_json(text, "array<string>"), lambda q: q.isNull())
+    return F.coalesce(kind.isin("OBJECT<a: ARRAY<STRING>>", "OBJECT<a: ARRAY<VOID>>") & ~null_in, F.lit(False))
+
+
+def questions_of(text: Column, per_batch: int | None = None) -> Column:
+    """The questions of one reply, in order; of a reply read line by line
+    only the first ``per_batch``, where given."""
     t = strip(text)
-    fallback = F.slice(F.filter(F.transform(F.split(t, "\n", -1), _line_question),
-                                lambda q: q.isNotNull()), 1, per_batch)
+    fallback = F.filter(F.transform(F.split(t, "\n", -1), _line_question), lambda q: q.isNotNull())
+    if per_batch is not None:
+        fallback = F.slice(fallback, 1, per_batch)
     return F.when(is_string_list(t), F.from_json(t, "array<string>")).otherwise(fallback)
 
 
 def extract_questions(df: DataFrame, batch: str = "batch", text: str = "response_text",
-                      per_batch: int = PER_BATCH) -> DataFrame:
+                      per_batch: int | None = None) -> DataFrame:
     """``batch, pos, question`` (pos 1-based inside the reply).  Narrow."""
     return df.select(F.col(batch).alias("batch"),
                      F.posexplode(questions_of(F.col(text), per_batch)).alias("pos", "question")

@@ -1,67 +1,70 @@
 """Training-log analytics (W1-W6) over a metrics table
 ``run_id, epoch, step, loss, grad_norm``.
 
-Amounts are averaged through integer quantization (``scale``: 100 keeps two
-decimals exactly), so results do not depend on summation order — the same
-on 1 or 1000 partitions, and equal to an SQL engine's.
+Amounts are averaged as wide decimals (12 decimal places), so results do not
+depend on summation order — the same on 1 or 1000 partitions, and equal to an
+SQL engine's.  Null, NaN and infinite amounts are left out of a mean; a mean
+of none is null.  A null run is a run of its own.
 
 Skew: a single run may hold a large share of all steps.  The moving average
-therefore uses the two-level prefix sum (range-partitioned, so a hot run is
-split across tasks) and an equi-join on the global row index, never a window
-partitioned by run over raw steps.  Epoch-level windows run on the per-epoch
-aggregate (a handful of rows per run).
+therefore numbers the steps by a range-partitioned rank and runs its window
+inside blocks of consecutive steps, each with the few steps before it, never
+inside a whole run.  Epoch-level windows run on the per-epoch aggregate (a
+handful of rows per run).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import broadcast_if_small, prefix_sum
-from tessera.session import cut_lineage
+from tessera.operators.ordering import global_index
 
+BLOCK = 8192     # steps per block of the moving average
 
-def _q(col: str, scale: int):
-    return F.round(F.col(col) * scale).cast("bigint")
+
+def _exact(col: str) -> Column:
+    return F.col(col).try_cast("decimal(28,12)")
+
+
+def _mean(q: Column, over=None) -> Column:
+    total, n = F.sum(q), F.count(q)
+    if over is not None:
+        total, n = total.over(over), n.over(over)
+    return F.when(n > 0, total.cast("double") / n)
 
 
 def smooth(log: DataFrame, window: int = 50, run: str = "run_id", step: str = "step",
-           value: str = "loss", scale: int = 100, out: str = "smoothed") -> DataFrame:
+           value: str = "loss", out: str = "smoothed") -> DataFrame:
     """Mean of the last ``window`` values of the run (fewer at its start).
 
-    Sum of the last ``window`` = P(i) - P(i - window) with P the inclusive
-    prefix sum in (run, step) order; the look-back is an equi-join on the
-    global row index.  Only the narrow columns go through the range
-    partition; the result joins back on the unique (run, step) key, which
-    hashes a hot run evenly."""
-    narrow = log.select(run, step, _q(value, scale).alias("_q"), F.lit(1).alias("_one"))
-    p = cut_lineage(prefix_sum(narrow, [run, step], ["_q", "_one"], ["_P", "_C"]))
-    starts = p.groupBy(run).agg(F.min("_C").alias("_c0"), F.min_by("_P", "_C").alias("_p0"))
-    # one row per run; joining it must not hash the whole log by run
-    starts = broadcast_if_small(starts)
-    back = p.select((F.col("_C") + window).alias("_C"), (F.col("_P") + F.col("_q")).alias("_pb"))
-    j = p.join(starts, run).join(back, "_C", "left")
-    local = F.col("_C") - F.col("_c0")
-    before = F.when(local >= window, F.col("_pb")).otherwise(F.col("_p0"))
-    total = F.col("_P") + F.col("_q") - before
-    n = F.least(local + 1, F.lit(window))
-    res = j.select(run, step, (total / (n * F.lit(float(scale)))).alias(out))
-    return log.join(res, [run, step])
+    One range shuffle numbers the steps in (run, step) order; the last
+    ``window - 1`` steps of every block are also sent to the next one, whose
+    first windows reach back to them."""
+    size = max(BLOCK, window)
+    idx = global_index(log, [run, step], out="_i")
+    block, place = F.floor((F.col("_i") - 1) / size).cast("bigint"), F.pmod(F.col("_i") - 1, F.lit(size))
+    home = F.when(place > size - window, F.array(block, block + 1)).otherwise(F.array(block))
+    placed = idx.withColumn("_home", block).withColumn("_block", F.explode(home))
+    w = Window.partitionBy("_block", run).orderBy("_i").rowsBetween(1 - window, 0)
+    means = placed.withColumn(out, _mean(_exact(value), w)).where(F.col("_block") == F.col("_home"))
+    return means.drop("_i", "_home", "_block")
 
 
 def epoch_means(log: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "loss",
-                grad: str = "grad_norm", scale: int = 100) -> DataFrame:
-    """Per run and epoch, mean loss and mean gradient norm."""
-    return log.groupBy(run, epoch).agg(
-        (F.sum(_q(loss, scale)) / (F.count(F.lit(1)) * float(scale))).alias("mean_loss"),
-        (F.sum(_q(grad, scale)) / (F.count(F.lit(1)) * float(scale))).alias("mean_grad"),
-        F.count(F.lit(1)).alias("steps"))
+                grad: str = "grad_norm", val: str | None = "val_loss") -> DataFrame:
+    """Per run and epoch, mean loss, mean gradient norm and (unless
+    ``val`` is None) mean validation loss."""
+    means = [_mean(_exact(loss)).alias("mean_loss"), _mean(_exact(grad)).alias("mean_grad")]
+    if val:
+        means.append(_mean(_exact(val)).alias("mean_val"))
+    return log.groupBy(run, epoch).agg(*means, F.count(F.lit(1)).alias("steps"))
 
 
 def running_best(epochs: DataFrame, run: str = "run_id", epoch: str = "epoch",
-                 val: str = "mean_loss", out: str = "is_best") -> DataFrame:
-    """An epoch is a new best when strictly below every earlier epoch
-    of the run (the first epoch always is)."""
+                 val: str = "mean_val", out: str = "is_best") -> DataFrame:
+    """An epoch is a new best when its validation loss is strictly below
+    every earlier epoch's of the run (the first epoch always is)."""
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     best_before = F.min(F.col(val)).over(w)
     return epochs.withColumn(out, best_before.isNull() | (F.col(val) < best_before))
@@ -88,23 +91,24 @@ def flag_explosions(log: DataFrame, max_grad_norm: float = 1.0, grad: str = "gra
 
 
 def quick_val(log: DataFrame, batches: int = 10, run: str = "run_id", step: str = "step",
-              loss: str = "loss", scale: int = 100) -> DataFrame:
+              loss: str = "val_loss") -> DataFrame:
     """Per run, mean loss of the first ``batches`` steps.  ``row_number
     <= k`` is planned as a per-partition group limit before the shuffle, so
     a hot run contributes only k rows per map task."""
     w = Window.partitionBy(run).orderBy(step)
     first = log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= batches)
-    return first.groupBy(run).agg(
-        (F.sum(_q(loss, scale)) / (F.count(F.lit(1)) * float(scale))).alias("quick_loss"),
-        F.count(F.lit(1)).alias("batches"))
+    return first.groupBy(run).agg(_mean(_exact(loss)).alias("quick_loss"), F.count(F.lit(1)).alias("batches"))
 
 
 def events_as_log(events: DataFrame) -> DataFrame:
     """Driver ``events`` as a training log: run = user, step = event id,
-    loss = value, epoch = day since 2024-01-01, grad norm = props.k / 10."""
+    loss = value / 1000, epoch = day since 2024-01-01, grad norm = props.k / 10,
+    validation loss = (value + k) / 1000."""
+    k = F.get_json_object("props", "$.k").cast("double")
     return events.select(
         F.col("user_id").alias("run_id"),
         F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("epoch"),
         F.col("event_id").alias("step"),
-        F.col("value").alias("loss"),
-        (F.get_json_object("props", "$.k").cast("double") / 10.0).alias("grad_norm"))
+        (F.col("value") / 1000.0).alias("loss"),
+        (k / 10.0).alias("grad_norm"),
+        ((F.col("value") + k) / 1000.0).alias("val_loss"))

@@ -31,12 +31,12 @@ def _hash60(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
 
 
-def _cut(cand: DataFrame, n: int, order: list[str], key: list[str], top_k_direct: int) -> DataFrame:
+def _cut(cand: DataFrame, n: int, order: list[str], top_k_direct: int) -> DataFrame:
     """Exactly the ``n`` first candidates in ``order``: a top-k when the
     candidate set is small, a distributed rank otherwise."""
     if cand.count() <= top_k_direct:
         return cand.orderBy(*order).limit(n)
-    ranked = global_index(cand, order, out="_r", key=key)
+    ranked = global_index(cand, order, out="_r")
     return ranked.where(F.col("_r") <= n).drop("_r")
 
 
@@ -63,41 +63,22 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42,
         if frac >= 1.0 or cand.count() >= n:
             break
         margin *= 4
-    return _cut(cand, n, ["_h", key], [key], top_k_direct).drop("_h")
+    return _cut(cand, n, ["_h", key], top_k_direct).drop("_h")
 
 
-def first_n(df: DataFrame, n: int, order: list[str] | str, key: list[str] | str | None = None,
-            top_k_direct: int = TOP_K_DIRECT) -> DataFrame:
-    """L2: the first ``n`` rows in ``order`` (``order`` must be unique).
-
-    The first order column is cut at an approximate quantile a little past
-    ``n / N`` (one aggregate pass), the candidate count is verified (and the
-    threshold widened when short), then the exact cut runs on the candidates,
-    so no task ever receives partitions x n rows."""
+def first_n(df: DataFrame, n: int, order: list[str] | str) -> DataFrame:
+    """L2: the first ``n`` rows in ``order``, nulls first; columns of any
+    sortable type.  A range-partitioned rank over the whole order: no task
+    receives partitions x n rows, and the rule is the same at every size."""
     order = [order] if isinstance(order, str) else list(order)
-    key = [key] if isinstance(key, str) else list(key or order)
-    total = df.count()
-    if n >= total:
-        return df
-    lead = order[0]
-    frac = min(1.0, (n + 6.0 * math.sqrt(n) + 1000) / total)
-    while True:
-        if frac >= 1.0:
-            cand = df
-            break
-        t = df.agg(F.percentile_approx(lead, frac, 10000).alias("t")).first()["t"]
-        cand = cut_lineage(df.where(F.col(lead) <= F.lit(t)))
-        if cand.count() >= n:
-            break
-        frac = min(1.0, frac * 2 + 0.01)
-    return _cut(cand, n, order, key, top_k_direct)
+    return global_index(df, order, out="_r").where(F.col("_r") <= n).drop("_r")
 
 
 def split_rows(df: DataFrame, frac: float, key: str, seed: int = 42,
                out: str = "split") -> DataFrame:
     """Exact-size random split: rows ranked by ``md5(seed:key)``; the
     first ``floor(frac * N)`` are ``train``, the rest ``val``."""
-    ranked = global_index(df.withColumn("_h", seeded_hash(key, seed)), ["_h", key], out="_r", key=[key])
+    ranked = global_index(df.withColumn("_h", seeded_hash(key, seed)), ["_h", key], out="_r")
     n = ranked.count()
     cut = int(frac * n)
     return ranked.withColumn(out, F.when(F.col("_r") <= cut, "train").otherwise("val")).drop("_h", "_r")
@@ -106,7 +87,7 @@ def split_rows(df: DataFrame, frac: float, key: str, seed: int = 42,
 def shuffle_epoch(df: DataFrame, key: str, seed: int, epoch: int, out: str = "idx") -> DataFrame:
     """A per-epoch permutation: 1-based position by ``md5(seed:epoch:key)``."""
     h = seeded_hash(key, seed, epoch)
-    return global_index(df.withColumn("_h", h), ["_h", key], out=out, key=[key]).drop("_h")
+    return global_index(df.withColumn("_h", h), ["_h", key], out=out).drop("_h")
 
 
 def with_batches(df: DataFrame, size: int, index: str = "idx", out: str = "batch_id") -> DataFrame:

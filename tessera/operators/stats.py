@@ -56,13 +56,14 @@ def count_parity(a: DataFrame, b: DataFrame, key: str, value: str, tol: float =
 
 
 def compare_runs(runs: DataFrame, run: str, duration: str, amount: str) -> DataFrame:
-    """Each run against the first (speed-up, rate) and the fastest run."""
-    w = Window.partitionBy(F.lit(0)).orderBy(run)
-    first = F.first(F.col(duration)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    fastest = F.min_by(F.col(run), F.struct(F.col(duration), F.col(run))).over(Window.partitionBy(F.lit(0)))
-    return (runs.withColumn("speedup", (first / F.col(duration)).cast("double"))
-                .withColumn("rate", (F.col(amount) / F.col(duration)).cast("double"))
-                .withColumn("fastest", fastest))
+    """Each run against the first (speed-up, rate) and the fastest run.
+    What all runs are held against is one aggregate row, broadcast."""
+    one = F.lit(1).alias("_one")
+    base = runs.agg(F.min_by(duration, run).alias("_first"),
+                    F.min_by(F.col(run), F.struct(F.col(duration), F.col(run))).alias("fastest")).select(one, "*")
+    held = runs.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one")
+    return held.select(*runs.columns, (F.col("_first") / F.col(duration)).cast("double").alias("speedup"),
+                       (F.col(amount) / F.col(duration)).cast("double").alias("rate"), "fastest")
 
 
 def catalogue_sizes(values: DataFrame, slot: str = "slot", value: str = "value") -> DataFrame:
@@ -71,13 +72,17 @@ def catalogue_sizes(values: DataFrame, slot: str = "slot", value: str = "value")
                                     F.countDistinct(value).alias("distinct_entries"))
 
 
-def size_guards(windows: DataFrame, batch_size: int, length: int, split: str = "split") -> DataFrame:
-    """Batches per split, and whether one batch of tokens exceeds half
-    the training tokens."""
-    per = windows.groupBy(split).agg(F.count(F.lit(1)).alias("windows"))
+def size_guards(totals: DataFrame, batch_size: int, length: int, split: str = "split",
+                tokens: str = "tokens") -> DataFrame:
+    """Windows and batches per split, from the ids of every split (one
+    row each, splits without a window included), and whether one batch of
+    ids exceeds half of the split's ids."""
+    n = F.col(tokens)
+    per = totals.select(F.col(split), n.cast("bigint").alias("tokens"),
+                        F.greatest(F.floor((n - 1) / length), F.lit(0)).cast("bigint").alias("windows"))
     per = per.withColumn("batches", F.ceil(F.col("windows") / F.lit(batch_size)).cast("bigint"))
     per = per.withColumn("no_batches", F.col("batches") == 0)
-    return per.withColumn("batch_over_half", F.lit(batch_size * length) > F.col("windows") * length / 2)
+    return per.withColumn("batch_over_half", F.lit(batch_size * length) > F.col("tokens") / 2)
 
 
 def block_diagnostics(blocks: DataFrame, eos_id: int, ids: str = "ids") -> DataFrame:

@@ -47,7 +47,7 @@ def build_vocab(df: DataFrame, text: str = "text", pieces_col: str | None = None
     rank itself comes from a written table, so every consumer (size check,
     encode, decode) reads stored rows instead of recounting the corpus."""
     counts = cut_lineage(piece_counts(df, text, pieces_col).withColumn("_neg_n", -F.col("n")))
-    ranked = global_index(counts, ["_neg_n", "piece"], out="_rank", key=["piece"])
+    ranked = global_index(counts, ["_neg_n", "piece"], out="_rank")
     # written once more: each broadcast of the vocabulary would otherwise
     # re-run the rank's join with the partition bases
     return cut_lineage(ranked.select("piece", "n", (F.col("_rank") - 1).alias("id")))

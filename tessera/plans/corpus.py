@@ -22,7 +22,6 @@ from tessera.operators.cleaning import clean_book
 from tessera.sources import tables as S
 
 SOURCES = ("book", "chat", "pair", "article")       # fixed stream order
-PAIR_CAP = 5000                                    # first-n cap before pair filters
 
 
 def _tag(df: DataFrame, name: str, okey, ident, eos: bool) -> DataFrame:
@@ -36,7 +35,7 @@ def _tag(df: DataFrame, name: str, okey, ident, eos: bool) -> DataFrame:
 
 
 def book_docs(spark: SparkSession, sf_dir: str, end_rule: str = "intended") -> DataFrame:
-    b = clean_book(S.book_rows(spark, sf_dir), end_rule=end_rule)
+    b = clean_book(S.book_rows(spark, sf_dir), end_rule=end_rule).where("text <> ''")
     return _tag(b, "book", F.col("path"), F.col("doc_id"), False)
 
 
@@ -45,11 +44,11 @@ def chat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tag(c, "chat", F.lit(""), F.col("conv_id"), True)
 
 
-def pair_docs(spark: SparkSession, sf_dir: str, cap: int = PAIR_CAP) -> DataFrame:
-    # Cap first, then filter (the rejects inside the cap count against it).
+def pair_docs(spark: SparkSession, sf_dir: str, cap: int | None = None) -> DataFrame:
+    """All pairs; with ``cap`` the first so many (rejects count against it)."""
     from tessera.operators.sampling import first_n
-    p = first_n(S.pair_rows(spark, sf_dir), cap, "id")
-    p = RD.render_pair(p)
+    p = S.pair_rows(spark, sf_dir)
+    p = RD.render_pair(p if cap is None else first_n(p, cap, "id"))
     return _tag(p, "pair", F.lit(""), F.col("id"), True)
 
 
@@ -74,90 +73,18 @@ def rendered_sources(spark: SparkSession, sf_dir: str, include=SOURCES) -> DataF
 # Token stream
 # ---------------------------------------------------------------------------
 UNIT_ORDER = ["source_ord", "okey", "id", "part_no"]
-BOOK_DIRECT = 100_000        # books up to this many characters are encoded whole
-SENTENCE_MIN = 10            # shorter (stripped) book sentences are dropped
 WINDOW = 256                 # packed window length
 TRAIN_SPLIT = 0.8
 
 
-def book_units(spark: SparkSession, sf_dir: str, direct: int = BOOK_DIRECT,
-               min_chars: int = SENTENCE_MIN) -> DataFrame:
-    """Book stream units of the stand-in books (see ``book_stream``)."""
-    return book_stream(clean_book(S.book_rows(spark, sf_dir)).select("path", "text"), direct, min_chars)
-
-
-def book_stream(books: DataFrame, direct: int = BOOK_DIRECT, min_chars: int = SENTENCE_MIN) -> DataFrame:
-    """The book part of the stream, exactly as for the combined book text
-    ``strip(B1 + "\\n\\n" + B2 + "\\n\\n" + ...)`` — without building that
-    text unless it is short.
-
-    * Combined length <= ``direct``: one unit holding the combined text (its
-      size is bounded by ``direct``, so one row is safe).
-    * Longer: its sentences (split after ``.!?`` + whitespace, stripped,
-      longer than ``min_chars``).  A sentence runs across a book boundary
-      when the book before does not end with ``.!?``.  One multi-value prefix
-      sum over the books (path order) gives each book its index, its index
-      among non-empty books, and the number of sentences that start before
-      it; the whitespace run between two non-empty books (``"\\n\\n"`` per
-      boundary, empty books included) comes from the previous non-empty book
-      (an equi-join on its index).
-    Units: ``id = 0`` (the books form one document with no end-of-text id),
-    ``part_no`` = index of the sentence in the combined text.
-    """
-    from tessera.functions.text import sentences as split_sentences
-    from tessera.functions.text import strip
-    from tessera.operators.cleaning import concat_ordered
-    from tessera.operators.ordering import prefix_sum
-    from tessera.session import cut_lineage
-
-    nonempty = F.length("text") > 0
-    b = books.select("path", "text").withColumn("sents", F.when(nonempty, split_sentences(F.col("text"))))
-    b = (b.withColumn("_one", F.lit(1).cast("bigint"))
-          .withColumn("_ne", nonempty.cast("bigint"))
-          .withColumn("_cnt", F.coalesce(F.size("sents"), F.lit(0)).cast("bigint"))
-          .withColumn("_open", (nonempty & ~F.col("text").rlike("[.!?]$")).cast("bigint")))
-    b = cut_lineage(prefix_sum(b, ["path"], ["_one", "_ne", "_cnt", "_open"], ["k", "j", "p_cnt", "p_open"]))
-    st = b.agg(F.sum("_ne").alias("r"), F.sum(F.when(nonempty, F.length("text"))).alias("chars"),
-               F.min(F.when(nonempty, F.col("k"))).alias("k0"), F.max(F.when(nonempty, F.col("k"))).alias("k1")).first()
-    total = 0 if not st["r"] else st["chars"] + 2 * (st["k1"] - st["k0"])
-
-    def tag(df):
-        return df.select(F.lit("book").alias("source"), F.lit(SOURCES.index("book")).alias("source_ord"),
-                         F.lit("").alias("okey"), F.lit(0).cast("bigint").alias("id"),
-                         F.col("part_no").cast("bigint").alias("part_no"), F.col("part"),
-                         F.lit(False).alias("eos"))
-
-    if total <= direct:
-        one = concat_ordered(books.withColumn("_g", F.lit(0)), "_g", "path", "text", "\n\n", "part")
-        return tag(one.select(F.lit(0).alias("part_no"), strip(F.col("part")).alias("part")))
-
-    ne = b.where(nonempty)
-    prev = ne.select((F.col("j") + 1).alias("j"), (F.col("_open") == 1).alias("prev_open"),
-                     F.col("k").alias("k_prev"))
-    b = ne.join(prev, "j", "left")
-    cont = F.coalesce(F.col("prev_open"), F.lit(False)).cast("bigint")
-    # sentences starting before this book = sentences of earlier books minus
-    # the ones that continued across a boundary (one per open boundary before
-    # the previous book's end)
-    base = F.col("p_cnt") - F.col("p_open") + cont
-    run = F.repeat(F.lit("\n\n"), (F.col("k") - F.col("k_prev")).cast("int"))
-    ex = b.select("j", base.alias("base"), cont.alias("cont"), run.alias("run"),
-                  F.posexplode("sents").alias("i", "s"))
-    frag = F.when((F.col("i") == 0) & (F.col("cont") == 1), F.concat(F.col("run"), F.col("s"))).otherwise(F.col("s"))
-    ex = ex.select((F.col("base") + F.col("i") - F.col("cont")).alias("part_no"), "j", "i", frag.alias("frag"))
-    merged = ex.groupBy("part_no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("j", "i", "frag"))), lambda x: x["frag"]), "").alias("part"))
-    return tag(merged.withColumn("part", strip(F.col("part"))).where(F.length("part") > min_chars))
-
-
-def stream_units(spark: SparkSession, sf_dir: str, book_direct: int = BOOK_DIRECT) -> DataFrame:
-    """Encodable units in stream order: the book stream (see
-    ``book_units``), then every chat, pair and article as one unit each.
-    ``eos`` marks the units that end with an end-of-text id."""
-    docs = rendered_sources(spark, sf_dir, include=("chat", "pair", "article"))
-    rest = docs.select("source", "source_ord", "okey", "id", F.lit(0).cast("bigint").alias("part_no"),
-                       F.col("text").alias("part"), "eos")
-    return book_units(spark, sf_dir, book_direct).unionByName(rest)
+def stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodable units in stream order: every kept document is one unit,
+    whatever its length.  ``eos`` marks the units that end with an end-of-text
+    id; a book, which has none, ends with an empty line instead."""
+    docs = rendered_sources(spark, sf_dir)
+    ended = F.when(F.col("source") == "book", F.concat("text", F.lit("\n\n"))).otherwise(F.col("text"))
+    return docs.select("source", "source_ord", "okey", "id", F.lit(0).cast("bigint").alias("part_no"),
+                       ended.alias("part"), "eos")
 
 
 def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = None):

@@ -16,20 +16,21 @@ from tessera.operators.tokens import build_vocab, encode
 from tessera.session import cut_lineage
 from tessera.sources import tables as S
 
-MAX_LEN = 512        # fixed value: ids kept per sample
-MIN_IDS = 10         # fixed value: samples with at most this many ids are dropped
 VAL_SPLIT = 0.9      # fixed value: share of samples used for training
 BATCH = 8            # fixed value: fine-tune batch size
 SEED = 42
 
 
-def samples(pairs: DataFrame) -> DataFrame:
-    """``id, ids`` per usable pair."""
+def samples(pairs: DataFrame, max_len: int | None = None, min_ids: int = 1) -> DataFrame:
+    """``id, ids`` per usable pair (V2, V4, R4, T1/T2, V8): whole samples of
+    more than ``min_ids`` ids (one id has no target); ``max_len`` keeps only
+    the first so many ids of each (T8)."""
     r = RD.render_finetune(pairs)
     vocab = build_vocab(r, "text")
     enc = encode(r, vocab, "id", "text")
-    enc = enc.withColumn("ids", P.truncate("ids", MAX_LEN))
-    return enc.where(F.size("ids") > MIN_IDS)
+    if max_len is not None:
+        enc = enc.withColumn("ids", P.truncate("ids", max_len))
+    return enc.where(F.size("ids") > min_ids)
 
 
 def batches(spark: SparkSession, sf_dir: str, epoch: int = 1) -> DataFrame:
@@ -37,7 +38,7 @@ def batches(spark: SparkSession, sf_dir: str, epoch: int = 1) -> DataFrame:
     sm = cut_lineage(SM.split_rows(samples(S.pair_rows(spark, sf_dir)), VAL_SPLIT, "id", SEED))
     n_train = sm.where(F.col("split") == "train").count()
     h = SM.seeded_hash("id", SEED, epoch)
-    idx = global_index(sm.withColumn("_h", h), ["split", "_h", "id"], out="_g", key=["id"])
+    idx = global_index(sm.withColumn("_h", h), ["split", "_h", "id"], out="_g")
     idx = idx.withColumn("idx", F.when(F.col("split") == "train", F.col("_g")).otherwise(F.col("_g") - n_train))
     b = SM.with_batches(idx, BATCH, "idx", "batch_id").drop("_h", "_g")
     inputs, targets = P.shift_pair("ids")

@@ -29,16 +29,18 @@ def _log(spark, sf_dir):
 
 SQL_LOG = """
 SELECT user_id AS run_id, date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS epoch, event_id AS step,
-       value AS loss, json_extract(props, '$.k')::DOUBLE / 10.0 AS grad_norm FROM events
+       value / 1000.0 AS loss, json_extract(props, '$.k')::DOUBLE / 10.0 AS grad_norm,
+       (value + json_extract(props, '$.k')::DOUBLE) / 1000.0 AS val_loss FROM events
 """
 SQL_EPOCHS = f"""
-SELECT run_id, epoch, sum(round(loss * 100)::BIGINT) / (count(*) * 100.0) AS mean_loss,
-       sum(round(grad_norm * 100)::BIGINT) / (count(*) * 100.0) AS mean_grad, count(*) AS steps
+SELECT run_id, epoch, sum(loss::DECIMAL(28,12))::DOUBLE / count(loss) AS mean_loss,
+       sum(grad_norm::DECIMAL(28,12))::DOUBLE / count(grad_norm) AS mean_grad,
+       sum(val_loss::DECIMAL(28,12))::DOUBLE / count(val_loss) AS mean_val, count(*) AS steps
 FROM ({SQL_LOG}) GROUP BY run_id, epoch
 """
 SQL_BEST = f"""
-SELECT *, (b IS NULL OR mean_loss < b) AS is_best FROM (
-  SELECT *, min(mean_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+SELECT *, (b IS NULL OR mean_val < b) AS is_best FROM (
+  SELECT *, min(mean_val) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
   FROM ({SQL_EPOCHS}))
 """
 
@@ -49,7 +51,7 @@ def smoothed_loss(spark, sf_dir):
 
 
 register("smoothed_loss", f"""
-SELECT run_id, step, sum(round(loss * 100)::BIGINT) OVER w / (count(*) OVER w * 100.0) AS smoothed
+SELECT run_id, step, (sum(loss::DECIMAL(28,12)) OVER w)::DOUBLE / count(loss) OVER w AS smoothed
 FROM ({SQL_LOG}) WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
 """)(smoothed_loss)
 
@@ -64,10 +66,10 @@ register("epoch_means", SQL_EPOCHS)(epoch_means)
 
 # --- W3 ---------------------------------------------------------------------------
 def running_best(spark, sf_dir):
-    return RL.running_best(RL.epoch_means(_log(spark, sf_dir))).select("run_id", "epoch", "mean_loss", "is_best")
+    return RL.running_best(RL.epoch_means(_log(spark, sf_dir))).select("run_id", "epoch", "mean_val", "is_best")
 
 
-register("running_best", f"SELECT run_id, epoch, mean_loss, is_best FROM ({SQL_BEST})")(running_best)
+register("running_best", f"SELECT run_id, epoch, mean_val, is_best FROM ({SQL_BEST})")(running_best)
 
 
 # --- W4 ---------------------------------------------------------------------------
@@ -108,7 +110,7 @@ def quick_val(spark, sf_dir):
 
 
 register("quick_val", f"""
-SELECT run_id, sum(round(loss * 100)::BIGINT) / (count(*) * 100.0) AS quick_loss, count(*) AS batches FROM (
+SELECT run_id, sum(val_loss::DECIMAL(28,12))::DOUBLE / count(val_loss) AS quick_loss, count(*) AS batches FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn FROM ({SQL_LOG})) WHERE rn <= 10
 GROUP BY run_id
 """)(quick_val)

@@ -47,12 +47,12 @@ def sql_pair_keep(prefix: str = "") -> str:
 
 SQL_RENDERED = f"""
 SELECT 'book' AS source, 0 AS source_ord, path AS okey, doc_id AS id,
-       {Q.clean_book('text')} AS text, false AS eos FROM ({SQL_BOOKS})
+       {Q.clean_book('text')} AS text, false AS eos FROM ({SQL_BOOKS}) WHERE {Q.clean_book('text')} <> ''
 UNION ALL
 SELECT 'chat', 1, '', conv_id, {Q.render_chat('data')}, true FROM ({SQL_CHATS}) WHERE len(data) >= 2
 UNION ALL
 SELECT 'pair', 2, '', id, prompt || {Q.SEP} || response || {Q.SEP} || '<|endofconversation|>' || {Q.SEP}, true
-FROM (SELECT * FROM ({SQL_PAIRS}) ORDER BY id LIMIT {C.PAIR_CAP}) WHERE {sql_pair_keep()}
+FROM ({SQL_PAIRS}) WHERE {sql_pair_keep()}
 UNION ALL
 SELECT 'article', 3, '', id, {Q.strip('text')}, true FROM ({SQL_ARTICLES})
 WHERE text IS NOT NULL AND text <> '' AND length({Q.strip('text')}) > 100
@@ -64,49 +64,25 @@ def _sql_book_parts(direct: int, min_chars: int = 10, col: str = "text") -> str:
             f"{Q.sentences(col)}, lambda s: {Q.strip('s')}), lambda s: length(s) > {min_chars}) END")
 
 
-# The combined book text, built literally (an independent statement of the
-# rule the Spark plan computes without building it).
-SQL_BOOK_TEXT = (f"SELECT {Q.strip('string_agg(t || chr(10) || chr(10), \'\' ORDER BY path)')} AS c FROM "
-                 f"(SELECT path, {Q.clean_book('text')} AS t FROM ({SQL_BOOKS}))")
-
 SQL_UNITS = f"""
-SELECT 'book' AS source, 0 AS source_ord, '' AS okey, 0::BIGINT AS id, i::BIGINT AS part_no, s AS part, false AS eos
-FROM (SELECT unnest(range(len(ss))) AS i, unnest(ss) AS s, direct FROM (
-        SELECT CASE WHEN length(c) <= {C.BOOK_DIRECT} THEN [c]
-                    ELSE list_transform({Q.sentences('c')}, lambda x: {Q.strip('x')}) END AS ss,
-               length(c) <= {C.BOOK_DIRECT} AS direct
-        FROM ({SQL_BOOK_TEXT})))
-WHERE direct OR length(s) > {C.SENTENCE_MIN}
-UNION ALL
-SELECT source, source_ord, okey, id, 0::BIGINT AS part_no, text AS part, eos FROM ({SQL_RENDERED}) WHERE source <> 'book'
+SELECT source, source_ord, okey, id, 0::BIGINT AS part_no,
+       text || CASE WHEN source = 'book' THEN {Q.SEP} ELSE '' END AS part, eos FROM ({SQL_RENDERED})
 """
 
 
 # --- step 0: the minimum slice ---------------------------------------------
 def corpus_mix(spark, sf_dir):
-    """Per source: documents (kept; for books, the book files), tokens in
-    the stream (pieces plus end-of-text ids) and the share of tokens.
-
-    One pass over the stream units: a chat, pair or article unit is one kept
-    document; the books form one stream, so their document count is the
-    number of book files (a count over the scan, joined on ``source``)."""
-    units = C.stream_units(spark, sf_dir)
-    per = units.groupBy("source").agg(
-        F.count(F.lit(1)).alias("_units"),
+    """Per source: kept documents, tokens in the stream (pieces plus
+    end-of-text ids) and the share of tokens; one pass over the units."""
+    per = C.stream_units(spark, sf_dir).groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"),
         F.sum(F.size(T.pieces(F.col("part"))) + F.col("eos").cast("int")).cast("bigint").alias("tokens"))
-    books = S.book_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("_books")).where(F.col("_books") > 0) \
-        .select(F.lit("book").alias("source"), "_books")
-    j = per.join(books, "source", "full")
-    out = j.select("source",
-                   F.when(F.col("source") == "book", F.col("_books")).otherwise(F.col("_units")).alias("documents"),
-                   F.coalesce(F.col("tokens"), F.lit(0).cast("bigint")).alias("tokens"))
-    return ST.mix(out, "tokens", "pct")
+    return ST.mix(per, "tokens", "pct")
 
 
 register("corpus_mix", f"""
-WITH d AS (SELECT source, count(*) AS documents FROM ({SQL_RENDERED}) GROUP BY source),
-t AS (SELECT source, sum(len({Q.pieces('part')}) + CASE WHEN eos THEN 1 ELSE 0 END)::BIGINT AS tokens
-      FROM ({SQL_UNITS}) GROUP BY source),
-per AS (SELECT d.source, d.documents, coalesce(t.tokens, 0)::BIGINT AS tokens FROM d LEFT JOIN t ON d.source = t.source)
+WITH per AS (SELECT source, count(*) AS documents,
+                    sum(len({Q.pieces('part')}) + CASE WHEN eos THEN 1 ELSE 0 END)::BIGINT AS tokens
+             FROM ({SQL_UNITS}) GROUP BY source)
 SELECT source, documents, tokens, (tokens * 100.0 / sum(tokens) OVER ())::DOUBLE AS pct FROM per
 """)(corpus_mix)

@@ -96,14 +96,14 @@ TRAIN_BATCH = 32
 
 
 def size_guards(spark, sf_dir):
-    windows, _, _ = C.packed(spark, sf_dir)
-    return ST.size_guards(windows, TRAIN_BATCH, L)
+    _, _, totals, _ = C.stream_parts(spark, sf_dir)
+    return ST.size_guards(spark.createDataFrame(list(totals.items()), "split string, tokens long"), TRAIN_BATCH, L)
 
 
 register("size_guards", f"""WITH {SQL_STREAM_CTES}, {SQL_POSITIONS},
-w AS (SELECT split, ((max(m) - 1) // {L})::BIGINT AS windows FROM sp GROUP BY split)
-SELECT split, windows, ceil(windows / {TRAIN_BATCH})::BIGINT AS batches, ceil(windows / {TRAIN_BATCH}) = 0 AS no_batches,
-       {TRAIN_BATCH * L} > windows * {L} / 2 AS batch_over_half FROM w
+w AS (SELECT split, max(m)::BIGINT AS tokens, ((max(m) - 1) // {L})::BIGINT AS windows FROM sp GROUP BY split)
+SELECT split, tokens, windows, ceil(windows / {TRAIN_BATCH})::BIGINT AS batches, ceil(windows / {TRAIN_BATCH}) = 0 AS no_batches,
+       {TRAIN_BATCH * L} > tokens / 2 AS batch_over_half FROM w
 """)(size_guards)
 
 
@@ -178,8 +178,8 @@ WITH r AS (SELECT id, 'Human: ' || prompt || {Q.SEP} || 'Assistant: ' || respons
            WHERE len(data) = 2 AND length({Q.strip('prompt')}) > 10 AND length({Q.strip('response')}) > 10),
 toks AS (SELECT id, unnest(pc) AS piece, unnest(range(len(pc))) AS pos FROM (SELECT id, {Q.pieces('text')} AS pc FROM r)),
 vocab AS (SELECT piece, row_number() OVER (ORDER BY count(*) DESC, piece) - 1 AS vid FROM toks GROUP BY piece),
-ids AS (SELECT t.id, t.pos, v.vid FROM toks t JOIN vocab v ON t.piece = v.piece WHERE t.pos < {FT.MAX_LEN}),
-smp AS (SELECT id, count(*) AS n FROM ids GROUP BY id HAVING count(*) > {FT.MIN_IDS}),
+ids AS (SELECT t.id, t.pos, v.vid FROM toks t JOIN vocab v ON t.piece = v.piece),
+smp AS (SELECT id, count(*) AS n FROM ids GROUP BY id HAVING count(*) > 1),
 sp AS (SELECT id, n, CASE WHEN row_number() OVER (ORDER BY md5('{FT.SEED}:' || id::VARCHAR), id)
                               <= floor({FT.VAL_SPLIT}::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'val' END AS split
        FROM smp),

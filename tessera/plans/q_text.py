@@ -271,14 +271,15 @@ SELECT doc_id AS batch,
 FROM (SELECT doc_id, CASE
   WHEN doc_id % 5 = 0 THEN '[' || array_to_string(list_transform(string_split(text, chr(10)),
         lambda l: '"' || regexp_replace(l, '["\\\\]', '', 'g') || '"'), ', ') || ']'
-  WHEN doc_id % 5 = 1 THEN '[1, "' || regexp_replace(string_split(text, chr(10))[1], '["\\\\]', '', 'g') || '?"]'
+  WHEN doc_id % 5 = 1 THEN CASE doc_id % 4 WHEN 0 THEN '[1, "' || b || '?"]' WHEN 1 THEN '["' || b || '?", null]'
+    WHEN 2 THEN '["' || b || '?"] trailing text?' ELSE '["' || b || '?"]' || chr(10) || '"' || b || ' again?"' END
   ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
         CASE WHEN (i - 1) % 5 = 0 THEN '"' || l || '"'
              WHEN (i - 1) % 5 = 1 THEN '"' || l || '",'
              WHEN (i - 1) % 5 = 2 THEN i::VARCHAR || '. ' || l
              WHEN (i - 1) % 5 = 3 THEN l || '?'
              ELSE l END), chr(10))
-  END AS r FROM documents)
+  END AS r FROM (SELECT *, regexp_replace(string_split(text, chr(10))[1], '["\\\\]', '', 'g') AS b FROM documents))
 """
 
 SQL_QUESTIONS = f"""
@@ -287,8 +288,8 @@ SELECT batch, unnest(range(1, len(qs) + 1))::BIGINT AS pos, unnest(qs) AS questi
     WHEN json_valid(t) AND json_type(t) = 'ARRAY'
          AND coalesce(list_bool_and(list_transform(json_extract(t, '$[*]'), lambda e: json_type(e) = 'VARCHAR')), true)
       THEN json_extract_string(t, '$[*]')
-    ELSE list_slice(list_filter(list_transform(string_split(t, chr(10)), lambda l: {_sql_line_question('l')}),
-                                lambda x: x IS NOT NULL), 1, 10) END AS qs
+    ELSE list_filter(list_transform(string_split(t, chr(10)), lambda l: {_sql_line_question('l')}),
+                     lambda x: x IS NOT NULL) END AS qs
   FROM (SELECT batch, {Q.strip('response_text')} AS t FROM ({SQL_REPLIES})))
 """
 

@@ -182,32 +182,13 @@ SELECT path, (i // {OV_SIZE})::BIGINT AS chunk_no, length(c)::BIGINT AS n_chars,
 """)(chunk_overlap)
 
 
-# --- T4 (lossy, the original rule) and lossless ------------------------------------------
+# --- T4 -----------------------------------------------------------------------------------
 FX_SIZE, FX_WIN, FX_DIRECT = 1000, 200, 2000
 
 
-def chunk_fixed_lossy(spark, sf_dir):
-    c = CH.chunk_fixed(S.book_rows(spark, sf_dir), "text", FX_SIZE, FX_WIN, FX_DIRECT, lossy=True)
-    return c.select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"),
-                    F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("digest"))
-
-
-register("chunk_fixed_lossy", f"""
-SELECT path, (i // {FX_SIZE})::BIGINT AS chunk_no, length(c)::BIGINT AS n_chars, md5(c) AS digest FROM (
-  SELECT path, i, CASE WHEN n <= {FX_DIRECT} THEN text
-                       ELSE {Q.strip(f'CASE WHEN i + {FX_SIZE} < n AND last > 0 THEN substr(piece, 1, ts + last + 1) ELSE piece END')} END AS c
-  FROM (SELECT *, {_sql_last_end(f'substr(piece, ts + 1, {FX_WIN})')} AS last FROM (
-    SELECT *, greatest(length(piece) - {FX_WIN}, 0) AS ts FROM (
-      SELECT *, substr(text, i + 1, {FX_SIZE}) AS piece FROM (
-        SELECT path, text, length(text) AS n,
-               unnest(CASE WHEN length(text) > {FX_DIRECT} THEN range(0, length(text), {FX_SIZE}) ELSE [0] END) AS i
-        FROM ({SQL_BOOKS}))))))
-""")(chunk_fixed_lossy)
-
-
 def chunk_fixed(spark, sf_dir):
     """Lossless: each piece starts where the previous one was cut."""
-    c = CH.chunk_fixed(S.book_rows(spark, sf_dir), "text", FX_SIZE, FX_WIN, FX_DIRECT, lossy=False)
+    c = CH.chunk_fixed(S.book_rows(spark, sf_dir), "text", FX_SIZE, FX_WIN, FX_DIRECT)
     return c.select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("digest"))
 

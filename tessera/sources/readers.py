@@ -52,24 +52,20 @@ def read_table(spark: SparkSession, path: str, split: str = "train", optional: b
                columns: list[str] | None = None) -> DataFrame:
     """A dataset directory; when it is partitioned by ``split``,
     ``split`` is preferred and the first split (by name) is used otherwise.
-    With ``optional=True`` a missing or unreadable source becomes an empty
-    DataFrame of ``schema`` (the run goes on; the stats show zero rows)."""
-    try:
-        reader = spark.read.format(fmt)
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.load(path)
-        if "split" in df.columns:
-            names = [r[0] for r in df.select("split").distinct().orderBy("split").collect()]
-            chosen = split if split in names else (names[0] if names else split)
-            df = df.where(F.col("split") == chosen).drop("split")
-        if columns:
-            df = df.select(*columns)
-        return df
-    except Exception:
-        if optional and schema is not None:
-            return empty_like(spark, schema)
-        raise
+    With ``optional=True`` a missing path becomes an empty DataFrame of
+    ``schema`` (the run goes on; the stats show zero rows); any other fault,
+    such as a wrong column, is an error."""
+    if optional and schema is not None and not _exists(spark, path):
+        return empty_like(spark, schema).select(*(columns or schema.names))
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.load(path)
+    if "split" in df.columns:
+        names = [r[0] for r in df.select("split").distinct().orderBy("split").collect()]
+        chosen = split if split in names else (names[0] if names else split)
+        df = df.where(F.col("split") == chosen).drop("split")
+    return df.select(*columns) if columns else df
 
 
 def read_pairs(spark: SparkSession, paths, multiline: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -28,13 +28,7 @@ def append_batches(results: DataFrame, path: str, batch: str = "batch_id") -> No
     """K3: per-batch output partitioned by ``batch``; rewriting a batch
     replaces only its own directory (dynamic partition overwrite), so a
     replayed batch is idempotent."""
-    spark = results.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        results.write.mode("overwrite").partitionBy(batch).json(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).json(path)
 
 
 def question_envelope(numbered: DataFrame, generated_at: str | None = None) -> DataFrame:

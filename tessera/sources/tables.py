@@ -129,8 +129,8 @@ def raw_result_rows(spark: SparkSession, sf_dir: str, fail_every: int = 7) -> Da
 def responder_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for responder replies ``(batch, response_text)``: one reply
     per document, derived from its lines so every extraction branch occurs —
-    a JSON list of strings (doc_id % 5 = 0), a JSON list holding a number
-    (% 5 = 1), else lines rewritten by position as quoted, quoted with a
+    a JSON list of strings (doc_id % 5 = 0), a list that is none (% 5 = 1: with
+    a number, a null, or text or lines behind it), else lines rewritten by position as quoted, quoted with a
     comma, numbered, question-marked and plain.  doc_id % 7 = 3 is upper-cased
     so the case-insensitive dedup has work (ASCII letters only, so the
     result does not depend on a locale-specific upper-casing of ß and the like)."""
@@ -139,7 +139,11 @@ def responder_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.transform(lines, lambda l: F.regexp_replace(l, r'["\\]', ""))
     json_list = F.concat(F.lit("["), F.array_join(
         F.transform(bare, lambda l: F.concat(F.lit('"'), l, F.lit('"'))), ", "), F.lit("]"))
-    bad_json = F.concat(F.lit('[1, "'), F.element_at(bare, 1), F.lit('?"]'))
+    b, shape = F.element_at(bare, 1), F.col("doc_id") % 4
+    bad_json = (F.when(shape == 0, F.concat(F.lit('[1, "'), b, F.lit('?"]')))
+                 .when(shape == 1, F.concat(F.lit('["'), b, F.lit('?", null]')))
+                 .when(shape == 2, F.concat(F.lit('["'), b, F.lit('?"] trailing text?')))
+                 .otherwise(F.concat(F.lit('["'), b, F.lit('?"]\n"'), b, F.lit(' again?"'))))
     mixed = F.array_join(F.transform(lines, lambda l, i: (
         F.when(i % 5 == 0, F.concat(F.lit('"'), l, F.lit('"')))
          .when(i % 5 == 1, F.concat(F.lit('"'), l, F.lit('",')))

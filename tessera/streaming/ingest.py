@@ -28,12 +28,16 @@ def _has_output(spark: SparkSession, out: str) -> bool:
 
 def ingest(spark: SparkSession, landing: str, schema: T.StructType,
            transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-           key: str = "dedup_key", order: str = "id", files_per_trigger: int = 1,
+           key: str = "dedup_key", order: str = "id", files_per_trigger: int = 1000,
            fmt: str = "parquet") -> None:
     """Process every file now in ``landing`` (``availableNow``) and return.
 
     ``transform`` must return ``order`` and ``key`` columns; rows whose key
-    is already in ``out`` (or repeated inside the batch) are dropped."""
+    is already in ``out`` (or repeated inside the batch) are dropped.
+    ``checkpoint`` belongs to ``out``: batches are numbered by it, so a fresh
+    checkpoint over stored batches would overwrite them and is an error."""
+    if _has_output(spark, out) and not _has_output(spark, checkpoint):
+        raise ValueError(f"{out} holds batches of another checkpoint; go on with that one or use a new output")
     stream = (spark.readStream.schema(schema).format(fmt)
               .option("maxFilesPerTrigger", files_per_trigger).load(landing))
 

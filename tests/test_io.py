@@ -26,6 +26,27 @@ def test_optional_source_is_empty(spark, tmp_path):
         RS.read_table(spark, str(tmp_path / "missing"))
 
 
+def test_optional_source_with_a_wrong_column_is_an_error(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    spark.range(3).write.parquet(str(tmp_path / "there"))
+    with pytest.raises(Exception, match="idd"):
+        RS.read_table(spark, str(tmp_path / "there"), optional=True, schema=schema, columns=["idd"])
+
+
+def test_ingest_refuses_a_fresh_checkpoint_over_stored_batches(spark, tmp_path):
+    from tessera.streaming.ingest import ingest
+    df = spark.createDataFrame([(1, "a")], "id long, dedup_key string")
+    df.write.parquet(str(tmp_path / "in"))
+
+    def go(checkpoint):
+        ingest(spark, str(tmp_path / "in"), df.schema, lambda d: d, str(tmp_path / "out"), str(tmp_path / checkpoint))
+    go("one")
+    go("one")
+    with pytest.raises(ValueError, match="checkpoint"):
+        go("two")
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
 def test_generated_fallback_to_raw(spark, tmp_path):
     raw = [{"prompt": "a prompt longer than ten", "response": "a response longer than ten", "success": True,
             "request_index": 0, "timestamp": "t", "model": "m"},

@@ -82,3 +82,20 @@ def test_encode_unknown_piece_is_kept(spark):
     voc = spark.createDataFrame([("the", 5, 0), (" sat", 3, 1)], "piece string, n long, id long")
     got = encode(docs, voc, "id").first()
     assert list(got.ids) == [0, -1, 1]
+
+
+def test_null_and_repeated_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d")], "id long, x string")
+    s = SM.split_rows(df, 0.5, "id", 7).collect()
+    assert sorted(r.x for r in s) == ["a", "b", "c", "d"]
+    assert sorted(r.split for r in s) == ["train", "train", "val", "val"]
+    assert sorted(r.idx for r in SM.shuffle_epoch(df, "id", 1, 1).collect()) == [1, 2, 3, 4]
+
+
+def test_first_n_of_texts_and_nulls(spark):
+    df = spark.createDataFrame([(f"book{i}.txt",) for i in range(30)], "path string")
+    assert sorted(r.path for r in SM.first_n(df, 3, "path").collect()) == ["book0.txt", "book1.txt", "book10.txt"]
+    df = spark.createDataFrame([(None,), (None,), (3,), (4,), (5,)], "k long")
+    got = [r.k for r in SM.first_n(df, 3, "k").collect()]
+    assert sorted(got, key=str) == [3, None, None]
+    assert SM.first_n(df, 9, "k").count() == 5

@@ -13,7 +13,7 @@ def test_entry_runs(spark):
 
 
 def test_registered_queries_have_oracles_or_are_flagged(spark):
-    import __spark_entry__ as E
+    from tessera.plans import registry as E
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
     rows_only = set(q) - set(s)
@@ -86,39 +86,3 @@ def test_synth_repeated_placeholder_same_value(spark):
     sizes = {r.slot: r.entries for r in __import__("tessera.operators.stats", fromlist=["x"]).catalogue_sizes(
         SY.catalogue_values(spark)).collect()}
     assert sizes["categories"] == 11
-
-
-def _py_book_stream(books, direct, min_chars):
-    import re
-    text = ""
-    for _, t in sorted(books):
-        text += t + "\n\n"
-    text = text.strip()
-    if len(text) <= direct:
-        return [text]
-    return [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if len(s.strip()) > min_chars]
-
-
-def _py_book_stream_numbered(books, direct, min_chars):
-    import re
-    text = ""
-    for _, t in sorted(books):
-        text += t + "\n\n"
-    text = text.strip()
-    if len(text) <= direct:
-        return [(0, text)]
-    return [(i, s.strip()) for i, s in enumerate(re.split(r"(?<=[.!?])\s+", text)) if len(s.strip()) > min_chars]
-
-
-def test_book_stream_matches_combined_text(spark):
-    from tessera.plans.corpus import book_stream
-    books = [("book1.txt", "Alpha starts here. It runs on without an end"),
-             ("book10.txt", ""),
-             ("book11.txt", "continues in the next book and then stops. Another sentence follows here!"),
-             ("book2.txt", "no terminator at all in this one"),
-             ("book3.txt", "Last book. Short. Done?"),
-             ("book4.txt", "")]
-    df = spark.createDataFrame(books, "path string, text string")
-    for direct, min_chars in ((10, 10), (10, 0), (10_000, 10)):
-        got = [(r.part_no, r.part) for r in book_stream(df, direct, min_chars).orderBy("part_no").collect()]
-        assert got == _py_book_stream_numbered(books, direct, min_chars), (direct, min_chars)
