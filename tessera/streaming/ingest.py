@@ -4,7 +4,7 @@ New files in a landing directory -> the caller's stateless transform
 (clean / filter / render) -> deduplicated output.  ``foreachBatch`` keeps the
 sink exactly-once: each micro-batch first drops keys already stored (an
 anti-join against the output), keeps the smallest order key per new key,
-and overwrites its own ``batch_id=<epoch>`` directory, so a replay after a
+and overwrites its own ``run_id=<id>/batch_id=<epoch>`` directory, so a replay after a
 failure rewrites the same rows.  No watermark is needed (no event time).
 """
 
@@ -34,14 +34,14 @@ def ingest(spark: SparkSession, landing: str, schema: T.StructType,
 
     ``transform`` must return ``order`` and ``key`` columns; rows whose key
     is already in ``out`` (or repeated inside the batch) are dropped.
-    ``checkpoint`` belongs to ``out``: batches are numbered by it, so a fresh
-    checkpoint over stored batches would overwrite them and is an error."""
-    if _has_output(spark, out) and not _has_output(spark, checkpoint):
-        raise ValueError(f"{out} holds batches of another checkpoint; go on with that one or use a new output")
+    Batches are numbered within a checkpoint, so the output folders also carry
+    the checkpoint's id: a fresh checkpoint adds to stored batches."""
     stream = (spark.readStream.schema(schema).format(fmt)
               .option("maxFilesPerTrigger", files_per_trigger).load(landing))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        # the id in the checkpoint's metadata is kept over restarts
+        run = spark.read.json(f"{checkpoint}/metadata").first()["id"]
         rows = transform(batch)
         first = rows.groupBy(key).agg(F.min(F.struct(F.col(order), *[F.col(c) for c in rows.columns
                                                                     if c not in (key, order)])).alias("_f"))
@@ -51,10 +51,10 @@ def ingest(spark: SparkSession, landing: str, schema: T.StructType,
             # column (parquet column pruning) is scanned against the batch's
             # keys, broadcast when their count allows, so the growing output
             # is never shuffled; a replayed batch ignores its own directory.
-            stored = spark.read.parquet(out).where(F.col("batch_id") != epoch_id).select(key)
+            stored = spark.read.parquet(out).where((F.col("batch_id") != epoch_id) | (F.col("run_id") != run)).select(key)
             found = stored.join(broadcast_if_small(rows.select(key)), key, "left_semi").distinct()
             rows = rows.join(found, key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/batch_id={epoch_id}")
+        rows.write.mode("overwrite").parquet(f"{out}/run_id={run}/batch_id={epoch_id}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -33,18 +33,19 @@ def test_optional_source_with_a_wrong_column_is_an_error(spark, tmp_path):
         RS.read_table(spark, str(tmp_path / "there"), optional=True, schema=schema, columns=["idd"])
 
 
-def test_ingest_refuses_a_fresh_checkpoint_over_stored_batches(spark, tmp_path):
+def test_ingest_with_a_fresh_checkpoint_adds_to_the_output(spark, tmp_path):
     from tessera.streaming.ingest import ingest
-    df = spark.createDataFrame([(1, "a")], "id long, dedup_key string")
-    df.write.parquet(str(tmp_path / "in"))
-
-    def go(checkpoint):
-        ingest(spark, str(tmp_path / "in"), df.schema, lambda d: d, str(tmp_path / "out"), str(tmp_path / checkpoint))
-    go("one")
-    go("one")
-    with pytest.raises(ValueError, match="checkpoint"):
-        go("two")
-    assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+    for name, k in (("in1", 1), ("in2", 2)):
+        spark.createDataFrame([(k, str(k))], "id long, dedup_key string").write.parquet(str(tmp_path / name))
+
+    def go(landing, checkpoint):
+        ingest(spark, str(tmp_path / landing), spark.read.parquet(str(tmp_path / landing)).schema, lambda d: d,
+               str(tmp_path / "out"), str(tmp_path / checkpoint))
+    go("in1", "one")
+    go("in1", "one")
+    go("in2", "two")
+    go("in1", "three")
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
 
 
 def test_generated_fallback_to_raw(spark, tmp_path):
