@@ -42,7 +42,7 @@ STRIDE = 8
 REPS = 6
 BLOCK_WORDS = 1_000_000
 #: Words of documents that are searched together (one document at least).
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 200_000
 #: Words whose digests a worker keeps.
 KNOWN_WORDS = 100_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -163,8 +163,8 @@ class Index:
             for row, w in chunk:
                 first[row] = (at, len(w))
                 x += [w, np.zeros(64, np.uint64)]
-                doc_of += [np.full(len(w), row), np.full(64, -1)]
-                place += [np.arange(len(w)), np.arange(64)]
+                doc_of += [np.full(len(w), row, np.int32), np.full(64, -1, np.int32)]
+                place += [np.arange(len(w), dtype=np.int32), np.arange(64, dtype=np.int32)]
                 at += len(w) + 64
             x = np.concatenate(x)
             for row, item, start in sorted(self.candidates(x, np.concatenate(doc_of), np.concatenate(place))):

@@ -34,6 +34,8 @@ WORD_CACHE = 100_000
 PAIR_CACHE = 200_000
 #: Longer words are encoded without being kept.
 KEPT_CHARS = 64
+#: Rows of an output batch, so that a worker holds few ids and texts at a time.
+OUT_ROWS = 256
 
 
 class Codec:
@@ -81,7 +83,7 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the text of ``a`` and ``b`` is encoded as ``a, b`` (``a`` < 0: ``b`` alone)."""
-        key = (a, b)
+        key = a * len(self.piece_of) + b
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= PAIR_CACHE:
@@ -96,7 +98,7 @@ class Codec:
         # a prefix table entry: last token (-1 after the start or an unknown character) and where it starts
         known = [False] * (n + 1)
         known[0] = True
-        pairs, compatible = self.pairs, self.compatible
+        pairs, compatible, size_of = self.pairs, self.compatible, len(self.piece_of)
         at = 0
         for end, (size, tok) in self.auto.iter(word):
             end += 1
@@ -108,7 +110,7 @@ class Codec:
                 continue
             begin = end - size
             if known[begin]:
-                ok = pairs.get((last[begin], tok))
+                ok = pairs.get(last[begin] * size_of + tok)
                 if ok or (ok is None and compatible(last[begin], tok)):
                     known[end], last[end], start[end] = True, tok, begin
             if known[end]:
@@ -204,7 +206,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches):
         c = codec(model_path)
-        for b in batches:
+        parts = (b.slice(at, OUT_ROWS) for b in batches for at in range(0, b.num_rows, OUT_ROWS))
+        for b in parts:
             rows = []
             for text in b.column(1):
                 raw = c.encode(text.as_py() or "")
@@ -212,7 +215,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 back = c.decode(ids)
                 row = [len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
                 rows.append(row + [np.frombuffer(raw, np.int32)] * with_ids + [back] * with_text)
-            cols = list(zip(*rows)) if rows else [()] * (len(schema) - 1)
+            cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(list(c_), f.type) for c_, f in zip(cols, list(schema)[1:]))],
                 schema=schema)

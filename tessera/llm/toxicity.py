@@ -21,6 +21,7 @@ scored alike; further columns are ignored or passed through.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,26 +58,29 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (with the naive Bayes scale folded in) and intercept."""
+def chunks(texts) -> Iterator[list[str]]:
+    """The texts (a list or an Arrow column) ``CHUNK`` at a time."""
+    for at in range(0, len(texts), CHUNK):
+        part = texts[at:at + CHUNK]
+        yield part.to_pylist() if isinstance(part, pa.ChunkedArray) else part
+
+
+def fit(texts, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights (with the naive Bayes scale folded in) and intercept.  The texts
+    are read twice: all their features are counted, then only telling ones kept."""
     size = 1 << BITS
     if y.all() or not y.any():  # one label only, or no row
         return np.zeros(size, np.float32), 50.0 if y.any() else -50.0
     pos, neg = np.full(size, ALPHA), np.full(size, ALPHA)
-    parts = []  # per chunk of texts: all features, where each text's begin, labels
-    for at in range(0, len(texts), CHUNK):
-        rows = [np.unique(grams(t)) for t in texts[at:at + CHUNK]]
-        for k, label in zip(rows, y[at:at + CHUNK]):
-            (pos if label else neg)[k] += 1
-        parts.append((np.concatenate(rows), np.array([len(k) for k in rows])))
-        del rows
+    for k, t in enumerate(t for part in chunks(texts) for t in part):
+        (pos if y[k] else neg)[np.unique(grams(t))] += 1
     # document shares, so that long texts of one label don't move every ratio
     r = np.log(pos / (y.sum() + 2 * ALPHA)) - np.log(neg / ((1 - y).sum() + 2 * ALPHA))
     r[np.abs(r) < LEAST_RATIO] = 0
-    for k, (col, n) in enumerate(parts):
-        told = r[col] != 0
-        ends = np.concatenate([[0], np.cumsum(told)])[np.concatenate([[0], np.cumsum(n)])]
-        parts[k] = (col[told], ends)
+    parts = []  # per chunk of texts: telling features, where each text's begin
+    for part in chunks(texts):
+        rows = [k[r[k] != 0] for k in map(np.unique, map(grams, part))]
+        parts.append((np.concatenate(rows), np.cumsum([0, *map(len, rows)])))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both labels weigh alike
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
@@ -126,9 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = texts.join(sample, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def one_fit(batches):
-        got = [(r["id"], r["y"], r["text"]) for b in batches for r in b.to_pylist()]
-        got.sort(key=lambda r: r[0])
-        w, b = fit([r[2] for r in got], np.array([r[1] for r in got], int))
+        got = list(batches)
+        rows = pa.Table.from_batches(got).sort_by("id") if got else None
+        w, b = fit(rows["text"], rows["y"].to_numpy().astype(int)) if got else fit([], np.zeros(0, int))
         yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "b": [b]})
 
     got = told.repartition(1).mapInArrow(one_fit, "w binary, b double").collect()  # 2**BITS weights
