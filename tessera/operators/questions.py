@@ -99,12 +99,15 @@ def harvest(replies: DataFrame, batch: str = "batch", text: str = "response_text
     return number_questions(dedup_ordered(extract_questions(replies, batch, text)))
 
 
-def match_category(prompts: DataFrame, keywords: DataFrame, text: str = "prompt") -> DataFrame:
+def match_category(prompts: DataFrame, keywords: dict[str, list[str]], text: str = "prompt") -> DataFrame:
     """Prompts with every category one of whose keywords occurs in the
-    lower-cased prompt.  The keyword table is a fixed small catalogue
-    (bounded size), so it is broadcast; the join is a non-equi
-    ``contains`` match, one output row per (prompt, matching category)."""
-    kw = F.broadcast(keywords.select("category", F.lower(F.col("keyword")).alias("keyword")))
-    j = prompts.join(kw, F.lower(F.col(text)).contains(F.col("keyword")))
-    keys = [c for c in prompts.columns]
-    return j.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("keyword_hits"))
+    lower-cased prompt, one output row per prompt and matching category.  The
+    keywords are a fixed catalogue and stand in the expressions: narrow, no
+    join.  Prompts that are equal stay rows of their own; a null prompt
+    matches nothing."""
+    low = F.lower(F.col(text))
+    hits = [F.struct(F.lit(c).alias("category"), F.coalesce(
+        sum((low.contains(k.lower()).cast("bigint") for k in ks), F.lit(0).cast("bigint")), F.lit(0)).alias("keyword_hits"))
+        for c, ks in keywords.items()]
+    found = F.filter(F.array(*hits), lambda h: h["keyword_hits"] > 0)
+    return prompts.select("*", F.inline(found))

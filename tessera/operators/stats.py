@@ -50,8 +50,9 @@ def batch_progress(results: DataFrame, batch: str = "batch_id", success: str = "
 
 
 def count_parity(a: DataFrame, b: DataFrame, key: str, value: str, tol: float = 0.05) -> DataFrame:
-    """Two token counts of the same documents agree within ``tol``."""
-    j = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key)
+    """Two token counts of the same documents agree within ``tol``; a
+    document without a second count has 0 there."""
+    j = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key, "left").fillna(0, ["b"])
     return j.withColumn("within_tol", F.abs(F.col("a") - F.col("b")) < F.lit(tol) * F.col("a"))
 
 

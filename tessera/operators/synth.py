@@ -9,6 +9,9 @@ the expressions (no join, no broadcast).
 
 from __future__ import annotations
 
+import itertools
+import queue
+import threading
 import time
 from collections.abc import Callable
 from datetime import datetime
@@ -57,52 +60,54 @@ CATEGORY_KEYWORDS = {
 }
 
 # ---------------------------------------------------------------------------
-# Our own catalogue (same shape as the original: templates per category and
-# value lists per slot; the texts are ours).
+# The catalogue: templates per category and value lists per slot, written for
+# this library (only the categories and slots above are fixed).
 # ---------------------------------------------------------------------------
 TEMPLATES = {
-    "general_knowledge": ["What is {topic} and why does it matter?", "Give an overview of {subject}.",
-                          "How does {concept} work in everyday life?"],
-    "reasoning": ["What can we conclude if {premise}?", "Why might {phenomenon} be misunderstood?",
-                  "Which factors shape {domain} the most?"],
-    "creative_writing": ["Write a short story about {topic}.", "Write a dialogue between {person} and a student.",
-                         "Describe {situation} in a poetic way."],
-    "problem_solving": ["How would you solve {problem}?", "What steps help to {goal}?",
-                        "Suggest an approach to {challenge}."],
-    "explanation": ["Explain {complex_topic} to a beginner.", "Break down the principles of {field}.",
-                    "Teach me how {process} works."],
-    "analysis": ["Analyze the pros and cons of {item}.", "What patterns appear in {data_type}?",
-                 "What causes {event}?"],
-    "comparison": ["Compare {item1} and {item2}.", "Contrast {concept1} with {concept2}.",
-                   "How does {topic} in {context1} differ from {topic} in {context2}?",
-                   "Is {option1} better than {option2}?", "Weigh {approach1} against {approach2}."],
-    "instruction_following": ["List the steps to {task}.", "Write a guide for {activity}.",
-                              "What should someone do to {goal}?"],
-    "conversation": ["What would you say to someone who thinks {controversial_statement}?",
-                     "How do you respond to the claim that {statement}?",
-                     "What advice would you give about {ongoing_topic}?"],
-    "factual_questions": ["What are the key facts about {topic}?", "When did {event} begin?",
-                          "Who was an early pioneer of {field}?"],
-    "location_based": ["Where can I learn about {topic}?", "Which places are known for {skill}?",
-                       "How is {action} handled in different regions?"],
+    "general_knowledge": ["What is {topic}, in plain terms?", "Tell a visitor the main points of {subject}.",
+                          "How does {concept} show up on an ordinary day?"],
+    "reasoning": ["Suppose that {premise}. What can be said to conclude?", "Why might {phenomenon} surprise a newcomer?",
+                  "Name the factors that weigh most in {domain}."],
+    "creative_writing": ["Invent a tale in which {topic} plays a part, and write it down.",
+                         "Put {person} and a child into one dialogue.", "Turn {situation} into four poetic lines."],
+    "problem_solving": ["A town wants to solve {problem}. Where should it begin?", "Set out the steps to {goal}.",
+                        "Which approach to {challenge} costs least?"],
+    "explanation": ["Explain {complex_topic} with one everyday picture.", "Break down {field} for an evening class.",
+                    "Teach a friend the knack of {process}."],
+    "analysis": ["Analyze what {item} gives and what it takes.", "Look for patterns in {data_type}.",
+                 "Trace the causes behind {event}."],
+    "comparison": ["Compare {item1} with {item2} in two sentences.", "Contrast {concept1} and {concept2}.",
+                   "Set {topic} as seen in {context1} beside {topic} as seen in {context2}.",
+                   "Someone must choose {option1} or {option2}: which, and why?",
+                   "Where does {approach1} beat {approach2}?"],
+    "instruction_following": ["List what to prepare before you {task}.", "Draw up a one-page guide to {activity}.",
+                              "Give instructions that {goal}."],
+    "conversation": ["A neighbour insists that {controversial_statement}. How would you respond?",
+                     "Your cousin says {statement}. Keep the talk friendly.",
+                     "Offer advice to someone new to {ongoing_topic}."],
+    "factual_questions": ["State three facts about {topic} that can be checked.", "When did {event} first make news?",
+                          "Who was known for {field} a century ago?"],
+    "location_based": ["Where can a beginner meet others interested in {topic}?", "Name a region with a name for {skill}.",
+                       "Which town was early to {action}?"],
 }
 
 LISTS = {
-    "topics": ["renewable energy", "machine learning", "ancient history", "ocean ecosystems", "urban planning",
-               "public health", "music theory", "space exploration", "cryptography", "nutrition",
-               "climate science", "linguistics", "architecture", "economics", "genetics", "philosophy"],
-    "activities": ["learning a language", "starting a garden", "planning a trip", "writing a resume",
-                   "training for a race", "baking bread", "budgeting", "public speaking"],
-    "problems": ["traffic congestion", "food waste", "low productivity", "water scarcity", "misinformation",
-                 "burnout"],
-    "data_types": ["user behavior", "market trends", "research data"],
-    "contexts": ["education", "business", "healthcare", "technology", "government", "non-profit"],
-    "approaches": ["traditional methods", "modern techniques", "digital approaches", "manual processes"],
-    "claims": ["remote work hurts teamwork", "cities should ban cars", "homework is unnecessary",
-               "robots will run most factories"],
-    "persons": ["a famous scientist", "a historical figure", "a young inventor", "a retired teacher"],
-    "premises": ["energy prices keep rising", "more people live in cities", "automation keeps spreading"],
-    "situations": ["a sudden storm", "a market crash", "a scientific breakthrough", "a city blackout"],
+    "topics": ["tidal power", "graph databases", "medieval trade routes", "coral reefs", "street lighting",
+               "vaccination campaigns", "counterpoint", "orbital mechanics", "prime numbers", "fermentation",
+               "cloud formation", "sign languages", "bridge building", "auction theory", "plant breeding", "stoicism"],
+    "activities": ["knitting a scarf", "repairing a bicycle", "keeping bees", "drafting a contract",
+                   "tuning a piano", "pruning fruit trees", "sorting an archive", "brewing coffee"],
+    "problems": ["leaking pipes", "missed deadlines", "noisy nights", "soil erosion", "password reuse",
+                 "empty shelves"],
+    "data_types": ["sensor readings", "library loans", "ferry timetables"],
+    "contexts": ["a mountain village", "a shipyard", "a primary school", "a newsroom", "an orchard", "a courtroom"],
+    "approaches": ["trial and error", "a written checklist", "working in pairs", "a scale model"],
+    "claims": ["libraries should open all night", "bicycles belong on every train", "handwriting no longer matters",
+               "zoos do more good than harm"],
+    "persons": ["a lighthouse keeper", "a night nurse", "a land surveyor", "a market trader"],
+    "premises": ["the river runs dry a week earlier each year", "every shop closes at noon",
+                 "two clocks in one house disagree"],
+    "situations": ["a power cut", "a harvest festival", "a delayed ferry", "a first snowfall"],
 }
 
 
@@ -134,11 +139,6 @@ def synthesize_prompts(ids: DataFrame, key: str = "id", seed: int = 42, batch_si
                       prompt.alias("prompt"), F.floor(k / batch_size).cast("bigint").alias("batch_id"))
 
 
-def keyword_table(spark) -> DataFrame:
-    rows = [(c, kw) for c, kws in CATEGORY_KEYWORDS.items() for kw in kws]
-    return spark.createDataFrame(rows, "category string, keyword string")
-
-
 def catalogue_values(spark) -> DataFrame:
     """``slot, value`` for every list entry (input of ``stats.catalogue_sizes``)."""
     rows = [("categories", c) for c in CATEGORIES]
@@ -158,38 +158,59 @@ RESULT_SCHEMA = T.StructType([
 ])
 
 
+def answers(responder: Callable[[str], str], prompts: list[str], concurrency: int, timeout: float) -> list[tuple]:
+    """``(answer, None)`` or ``(None, error)`` per prompt.  A call is timed from
+    its own start; one that takes too long gives its place to the next prompt
+    and is left behind in its daemon thread."""
+    done: queue.Queue = queue.Queue()
+
+    def call(k: int, prompt: str) -> None:
+        try:
+            done.put((k, (responder(prompt), None)))
+        except Exception as e:  # noqa: BLE001 - every failure becomes a row
+            done.put((k, (None, e)))
+
+    out: list = [None] * len(prompts)
+    running: dict[int, float] = {}  # call -> when its time is up
+    todo = iter(enumerate(prompts))
+    while True:
+        for k, prompt in itertools.islice(todo, concurrency - len(running)):
+            running[k] = time.monotonic() + timeout
+            threading.Thread(target=call, args=(k, prompt), daemon=True).start()
+        if not running:
+            return out
+        try:
+            k, result = done.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+            if running.pop(k, None) is not None:  # else it was given up before
+                out[k] = result
+        except queue.Empty:
+            for k in [k for k, end in running.items() if end <= time.monotonic()]:
+                del running[k]
+                out[k] = None, TimeoutError(f"no answer within {timeout:g} s")
+
+
 def enrich(prompts: DataFrame, responder: Callable[[str], str], key: str = "id", text: str = "prompt",
            parallelism: int | None = None, concurrency: int = 8, timeout: float = 30.0,
            model: str = "responder") -> DataFrame:
     """Call ``responder(prompt)`` for every prompt (the one place where
     Python runs per row: it is an external call).  ``parallelism`` bounds the
     number of tasks, ``concurrency`` the calls in flight per task; a call
-    that raises or passes ``timeout`` seconds becomes a failed row with the
-    error text and exception class.  ``request_index`` is the key, so no
-    order has to be restored."""
+    that raises or takes more than ``timeout`` seconds becomes a failed row
+    with the error text and exception class.  ``request_index`` is the key, so
+    no order has to be restored."""
     df = prompts.select(F.col(key).cast("bigint").alias("_k"), F.col(text).alias("_p"))
     if parallelism:
         df = df.repartition(parallelism)
 
     def run(batches):
         import pandas as pd
-        from concurrent.futures import ThreadPoolExecutor
-        pool = ThreadPoolExecutor(max_workers=concurrency)
-        try:
-            for pdf in batches:
-                futures = [pool.submit(responder, p) for p in pdf["_p"]]
-                out = []
-                for (k, p), fut in zip(zip(pdf["_k"], pdf["_p"]), futures):
-                    stamp = datetime.now().isoformat()
-                    try:
-                        r = fut.result(timeout=timeout)
-                        out.append((p, r, stamp, model, True, int(k), None, None))
-                    except Exception as e:  # noqa: BLE001 - every failure becomes a row
-                        out.append((p, None, stamp, model, False, int(k), str(e) or type(e).__name__,
-                                    type(e).__name__))
-                yield pd.DataFrame(out, columns=[f.name for f in RESULT_SCHEMA.fields])
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+        for pdf in batches:
+            out = []
+            got = answers(responder, list(pdf["_p"]), concurrency, timeout)
+            for k, p, (r, e) in zip(pdf["_k"], pdf["_p"], got):
+                kind = type(e).__name__ if e else None
+                out.append((p, r, datetime.now().isoformat(), model, e is None, int(k), (str(e) or kind) if e else None, kind))
+            yield pd.DataFrame(out, columns=[f.name for f in RESULT_SCHEMA.fields])
 
     return df.mapInPandas(run, RESULT_SCHEMA)
 
@@ -203,5 +224,4 @@ def stub_responder(prompt: str) -> str:
         raise TimeoutError("Request timed out")
     if d[0] == "1":
         raise ConnectionError("Connection reset by peer")
-    time.sleep(0)
     return f"A short answer about: {prompt}"

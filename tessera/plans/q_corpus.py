@@ -26,6 +26,8 @@ def register(name, sql=None):
 # --- SQL stand-ins for the four sources ------------------------------------
 SQL_BOOKS = ("SELECT format('book{}.txt', doc_id) AS path, doc_id, text FROM documents "
              "WHERE n_chars > 10000")
+#: All documents as files.
+SQL_FILES = "SELECT format('book{}.txt', doc_id) AS path, doc_id, text FROM documents"
 SQL_ARTICLES = "SELECT doc_id AS id, text FROM documents WHERE NOT (n_chars > 10000) OR n_chars IS NULL"
 SQL_CHATS = ("SELECT conv_id, list(text ORDER BY turn) AS data FROM conversations "
              "WHERE role <> 'system' GROUP BY conv_id")
@@ -59,11 +61,6 @@ WHERE text IS NOT NULL AND text <> '' AND length({Q.strip('text')}) > 100
 """
 
 
-def _sql_book_parts(direct: int, min_chars: int = 10, col: str = "text") -> str:
-    return (f"CASE WHEN length({col}) <= {direct} THEN [{col}] ELSE list_filter(list_transform("
-            f"{Q.sentences(col)}, lambda s: {Q.strip('s')}), lambda s: length(s) > {min_chars}) END")
-
-
 SQL_UNITS = f"""
 SELECT source, source_ord, okey, id, 0::BIGINT AS part_no,
        text || CASE WHEN source = 'book' THEN {Q.SEP} ELSE '' END AS part, eos FROM ({SQL_RENDERED})

@@ -12,8 +12,8 @@ from tessera.operators import stats as ST
 from tessera.plans import corpus as C
 from tessera.plans import finetune as FT
 from tessera.plans import sqlfrag as Q
-from tessera.plans.q_corpus import SQL_BOOKS, SQL_PAIRS
-from tessera.plans.q_tokens import SQL_POSITIONS, SQL_STREAM_CTES, _sql_book_parts
+from tessera.plans.q_corpus import SQL_FILES, SQL_PAIRS
+from tessera.plans.q_tokens import SQL_POSITIONS, SQL_STREAM_CTES
 from tessera.plans.q_text import SQL_RAW
 from tessera.sources import tables as S
 
@@ -109,9 +109,9 @@ SELECT split, tokens, windows, ceil(windows / {TRAIN_BATCH})::BIGINT AS batches,
 
 # --- A8: whole-text pieces against the sentence path ------------------------------------
 def count_parity(spark, sf_dir):
-    b = S.book_rows(spark, sf_dir)
+    b = S.book_rows(spark, sf_dir, None)
     a = b.select("path", F.size(T.pieces(F.col("text"))).cast("bigint").alias("n"))
-    s = CH.sentences(b, "text", 10, 0, "part").groupBy("path").agg(
+    s = CH.sentences(b, "text", 10, "part").groupBy("path").agg(
         F.sum(F.size(T.pieces(F.col("part")))).cast("bigint").alias("n"))
     return ST.count_parity(a, s, "path", "n", 0.05)
 
@@ -119,8 +119,9 @@ def count_parity(spark, sf_dir):
 register("count_parity", f"""
 SELECT path, a, b, abs(a - b) < 0.05 * a AS within_tol FROM (
   SELECT path, len({Q.pieces('text')})::BIGINT AS a,
-         (SELECT sum(len({Q.pieces('x')})) FROM (SELECT unnest(ps) AS x))::BIGINT AS b
-  FROM (SELECT path, text, {_sql_book_parts(0)} AS ps FROM ({SQL_BOOKS})))
+         coalesce((SELECT sum(len({Q.pieces('x')})) FROM (SELECT unnest(ps) AS x)), 0)::BIGINT AS b
+  FROM (SELECT path, text, list_filter(list_transform({Q.sentences('text')}, lambda s: {Q.strip('s')}),
+                                       lambda s: length(s) > 10) AS ps FROM ({SQL_FILES})))
 """)(count_parity)
 
 

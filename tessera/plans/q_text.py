@@ -10,7 +10,7 @@ from tessera.operators import render as RD
 from tessera.operators import rules as R
 from tessera.operators.cleaning import clean_text
 from tessera.plans import sqlfrag as Q
-from tessera.plans.q_corpus import SQL_ARTICLES, SQL_BOOKS, SQL_CHATS, SQL_PAIRS, sql_pair_keep
+from tessera.plans.q_corpus import SQL_ARTICLES, SQL_CHATS, SQL_FILES, SQL_PAIRS, sql_pair_keep
 from tessera.sources import tables as S
 
 QUERIES = {}
@@ -50,7 +50,7 @@ def _sql_injected_book(x):
 
 def _book_clean(end_rule):
     def q(spark, sf_dir):
-        b = S.book_rows(spark, sf_dir)
+        b = S.book_rows(spark, sf_dir, None)
         c = clean_text(_injected_book(F.col("text")), end_rule)
         return b.select("path", F.length(c).cast("bigint").alias("n_chars"), F.md5(c).alias("digest"))
     return q
@@ -59,7 +59,7 @@ def _book_clean(end_rule):
 def _sql_book_clean(end_rule):
     c = Q.clean_book(_sql_injected_book("text"), end_rule)
     return (f"SELECT path, length(c)::BIGINT AS n_chars, md5(c) AS digest FROM "
-            f"(SELECT path, {c} AS c FROM ({SQL_BOOKS}))")
+            f"(SELECT path, {c} AS c FROM ({SQL_FILES}))")
 
 
 register("book_clean", _sql_book_clean("intended"))(_book_clean("intended"))
@@ -199,7 +199,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn
 
 
 def preview_chunks(spark, sf_dir):
-    b = S.book_rows(spark, sf_dir)
+    b = S.book_rows(spark, sf_dir, None)
     c = RD.preview_chunks(b, "text", n=10, width=300, min_chars=50)
     return c.select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk")
 
@@ -209,7 +209,7 @@ SELECT path, unnest(range(0, len(v)))::BIGINT AS chunk_no, unnest(v) AS chunk FR
   SELECT path, list_transform(list_slice(list_filter(
            list_transform(range(0, least(length(text), 9000), 300), lambda s: {Q.strip('substr(text, s + 1, 300)')}),
            lambda c: length(c) > 50), 1, 10), lambda c: {Q.ellipsize(Q.collapse_ws('c'), 250)}) AS v
-  FROM ({SQL_BOOKS}))
+  FROM ({SQL_FILES}))
 """)(preview_chunks)
 
 

@@ -11,7 +11,7 @@ from tessera.operators.packing import checksum, with_offsets
 from tessera.operators.tokens import build_vocab, decode
 from tessera.plans import corpus as C
 from tessera.plans import sqlfrag as Q
-from tessera.plans.q_corpus import SQL_BOOKS, SQL_UNITS, _sql_book_parts
+from tessera.plans.q_corpus import SQL_FILES, SQL_UNITS
 from tessera.sources import tables as S
 
 QUERIES = {}
@@ -144,12 +144,12 @@ SELECT split, count(*)::BIGINT AS tokens, ((max(m) - 1) // {L})::BIGINT AS windo
 """)(train_val_tokens)
 
 
-# --- T5: sentence parts of books (direct threshold lowered so the path runs) ----------
-SENT_DIRECT = 5000
+# --- T5: sentence parts of all documents ---------------------------------------------------
+MIN_PART = 10
 
 
 def sentence_parts(spark, sf_dir):
-    b = CH.sentences(S.book_rows(spark, sf_dir), "text", 10, SENT_DIRECT, "part")
+    b = CH.sentences(S.book_rows(spark, sf_dir, None), "text", MIN_PART, "part")
     return b.select("path", F.col("part_no").cast("bigint").alias("part_no"),
                     F.length("part").cast("bigint").alias("n_chars"),
                     F.size(T.pieces(F.col("part"))).cast("bigint").alias("n_pieces"), F.md5("part").alias("digest"))
@@ -158,16 +158,16 @@ def sentence_parts(spark, sf_dir):
 register("sentence_parts", f"""
 SELECT path, unnest(range(len(ps)))::BIGINT AS part_no, length(unnest(ps))::BIGINT AS n_chars,
        len({Q.pieces('unnest(ps)')})::BIGINT AS n_pieces, md5(unnest(ps)) AS digest
-FROM (SELECT path, {_sql_book_parts(SENT_DIRECT)} AS ps FROM ({SQL_BOOKS}))
+FROM (SELECT path, list_filter(list_transform({Q.sentences('text')}, lambda s: {Q.strip('s')}), lambda s: length(s) > {MIN_PART}) AS ps FROM ({SQL_FILES}))
 """)(sentence_parts)
 
 
-# --- T6: overlapping book chunks (size lowered so several chunks per book) ---------------
+# --- T6: overlapping chunks (size lowered so several chunks per text) ---------------
 OV_SIZE, OV_BACK = 1000, 200
 
 
 def chunk_overlap(spark, sf_dir):
-    c = CH.chunk_overlap(S.book_rows(spark, sf_dir), "text", OV_SIZE, OV_BACK)
+    c = CH.chunk_overlap(S.book_rows(spark, sf_dir, None), "text", OV_SIZE, OV_BACK)
     return c.select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("digest"), "eos")
 
@@ -178,17 +178,17 @@ SELECT path, (i // {OV_SIZE})::BIGINT AS chunk_no, length(c)::BIGINT AS n_chars,
     SELECT *, CASE WHEN i > 0 AND i + {OV_SIZE} < n AND last > 0 THEN ov + last + 1 ELSE i END AS b FROM (
       SELECT *, {_sql_last_end('substr(text, ov + 1, i - ov)')} AS last FROM (
         SELECT *, greatest(i - {OV_BACK}, 0) AS ov FROM (
-          SELECT path, text, length(text) AS n, unnest(range(0, length(text), {OV_SIZE})) AS i FROM ({SQL_BOOKS}))))))
+          SELECT path, text, length(text) AS n, unnest(range(0, length(text), {OV_SIZE})) AS i FROM ({SQL_FILES}))))))
 """)(chunk_overlap)
 
 
 # --- T4 -----------------------------------------------------------------------------------
-FX_SIZE, FX_WIN, FX_DIRECT = 1000, 200, 2000
+FX_SIZE, FX_WIN = 1000, 200
 
 
 def chunk_fixed(spark, sf_dir):
     """Lossless: each piece starts where the previous one was cut."""
-    c = CH.chunk_fixed(S.book_rows(spark, sf_dir), "text", FX_SIZE, FX_WIN, FX_DIRECT)
+    c = CH.chunk_fixed(S.book_rows(spark, sf_dir, None), "text", FX_SIZE, FX_WIN)
     return c.select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("digest"))
 
@@ -202,35 +202,33 @@ def _sql_cut(pos: str) -> str:
 
 # the chained cut points as a recursive CTE, one step per chunk
 register("chunk_fixed", f"""
-WITH RECURSIVE b AS (SELECT path, text, length(text) AS n FROM ({SQL_BOOKS})),
+WITH RECURSIVE b AS (SELECT path, text, length(text) AS n FROM ({SQL_FILES})),
 r(path, chunk_no, pos) AS (
-  SELECT path, 0::BIGINT, 0::BIGINT FROM b WHERE n > {FX_DIRECT}
+  SELECT path, 0::BIGINT, 0::BIGINT FROM b WHERE n > 0
   UNION ALL
   SELECT r.path, r.chunk_no + 1, r.pos + {_sql_cut('r.pos')} FROM r JOIN b ON r.path = b.path
   WHERE r.pos + {_sql_cut('r.pos')} < b.n)
 SELECT path, chunk_no, length(c)::BIGINT AS n_chars, md5(c) AS digest FROM (
   SELECT r.path, r.chunk_no, {Q.strip(f"substr(text, r.pos + 1, {_sql_cut('r.pos')})")} AS c
-  FROM r JOIN b ON r.path = b.path
-  UNION ALL
-  SELECT path, 0, text FROM b WHERE n <= {FX_DIRECT})
+  FROM r JOIN b ON r.path = b.path)
 """)(chunk_fixed)
 
 
-# --- T3: greedy sentence chunks (rows-only; brute force in the tests) --------------------
-GR_LIMIT, GR_DIRECT = 1000, 5000
+# --- T3: greedy sentence chunks --------------------
+GR_LIMIT = 1000
 
 
 def chunk_sentences(spark, sf_dir):
-    c = CH.chunk_sentences(S.book_rows(spark, sf_dir), "text", limit=GR_LIMIT, direct=GR_DIRECT)
+    c = CH.chunk_sentences(S.book_rows(spark, sf_dir, None), "text", limit=GR_LIMIT)
     return c.select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-# the greedy packing as a recursive CTE over each book's sentences
+# the greedy packing as a recursive CTE over each text's sentences
 register("chunk_sentences", f"""
-WITH RECURSIVE b AS (SELECT path, text FROM ({SQL_BOOKS})),
+WITH RECURSIVE b AS (SELECT path, text FROM ({SQL_FILES})),
 s AS (SELECT path, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i
-      FROM (SELECT path, {Q.sentences('text')} AS ss FROM b WHERE length(text) > {GR_DIRECT})),
+      FROM (SELECT path, {Q.sentences('text')} AS ss FROM b)),
 r(path, i, cur, cid) AS (
   SELECT path, 1::BIGINT, length(s)::BIGINT, 0::BIGINT FROM s WHERE i = 1
   UNION ALL
@@ -243,6 +241,4 @@ g AS (SELECT r.path, r.cid, {Q.strip("string_agg(s.s, ' ' ORDER BY s.i)")} AS c
       FROM r JOIN s ON s.path = r.path AND s.i = r.i GROUP BY r.path, r.cid)
 SELECT path, (row_number() OVER (PARTITION BY path ORDER BY cid) - 1)::BIGINT AS chunk_no,
        length(c)::BIGINT AS n_chars, md5(c) AS digest FROM g WHERE c <> ''
-UNION ALL
-SELECT path, 0, length(text)::BIGINT, md5(text) FROM b WHERE length(text) <= {GR_DIRECT}
 """)(chunk_sentences)

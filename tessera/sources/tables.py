@@ -41,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def book_rows(spark: SparkSession, sf_dir: str, min_chars: int = BOOK_MIN_CHARS) -> DataFrame:
-    """Long documents as book files: ``path`` is ``book<doc_id>.txt`` so that
-    path order is the lexicographic file order of a directory listing."""
+def book_rows(spark: SparkSession, sf_dir: str, min_chars: int | None = BOOK_MIN_CHARS) -> DataFrame:
+    """Long documents (all, without ``min_chars``) as book files: ``path`` is
+    ``book<doc_id>.txt`` so that path order is the lexicographic file order of
+    a directory listing."""
     docs = table(spark, sf_dir, "documents")
-    return docs.where(F.col("n_chars") > min_chars).select(
+    if min_chars is not None:
+        docs = docs.where(F.col("n_chars") > min_chars)
+    return docs.select(
         F.format_string("book%d.txt", F.col("doc_id")).alias("path"),
         F.col("doc_id"),
         F.col("text"))

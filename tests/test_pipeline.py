@@ -79,10 +79,8 @@ def test_synth_repeated_placeholder_same_value(spark):
     ids = spark.range(400).select(F.col("id"))
     p = SY.synthesize_prompts(ids).collect()
     assert all("{" not in r.prompt for r in p)
-    cmp_rows = [r.prompt for r in p if r.prompt.startswith("How does ") and " differ from " in r.prompt]
-    for s in cmp_rows:
-        a = s[len("How does "):s.index(" in ")]
-        assert s.split(" differ from ")[1].startswith(a + " in ")
+    twice = [r.prompt[len("Set "):] for r in p if r.prompt.startswith("Set ") and " beside " in r.prompt]
+    assert twice and all(s.split(" beside ")[1].startswith(s[:s.index(" as seen in ")] + " as seen in ") for s in twice)
     sizes = {r.slot: r.entries for r in __import__("tessera.operators.stats", fromlist=["x"]).catalogue_sizes(
         SY.catalogue_values(spark)).collect()}
     assert sizes["categories"] == 11
