@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-WORD_CACHE = 100_000
-PAIR_CACHE = 200_000
+WORD_CACHE = 300_000
+PAIR_CACHE = 400_000
 #: Longer words are encoded without being kept.
 KEPT_CHARS = 64
 #: Rows of an output batch, so that a worker holds few ids and texts at a time.
