@@ -174,6 +174,22 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, limits):
         assert 4 not in ids and 5 not in ids and 3 in ids and {0, 1, 2, 8, 9} <= set(ids)
 
 
+def test_near_copies_by_row(spark):
+    """Null ids, repeated ids and repeated rows: one row of each group stays, no other row goes."""
+    def near(t):
+        return t.replace(t.split()[50], "changed", 1)
+    r = random.Random(5)
+    one, two, nine, ten = (words(120, r) for _ in range(4))
+    alone = [words(90, r) for _ in range(3)]
+    rows = [(1, one), (2, two), (None, near(one)), (None, alone[0]), (None, alone[1]), (None, None), (None, ""),
+            (7, alone[2]), (7, near(two)), (9, nine), (9, nine), (9, nine), (None, ten), (None, ten), (None, near(ten))]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, row int")
+    got = Counter((x["doc_id"], x["text"]) for x in jaccard_join.drop_near_duplicates(df).collect())
+    group = [got.pop((None, t), 0) for t in (ten, near(ten))]
+    assert sorted(group) == [0, 1]
+    assert got == Counter([(1, one), (2, two), (None, alone[0]), (None, alone[1]), (None, None), (None, ""), (7, alone[2]), (9, nine)])
+
+
 def brute_runs(rows, least=50):
     """Deletes each line inside a run of ``least`` words that occurs earlier."""
     order = sorted({(d, t) for d, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
