@@ -174,6 +174,22 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, limits):
         assert 4 not in ids and 5 not in ids and 3 in ids and {0, 1, 2, 8, 9} <= set(ids)
 
 
+def test_jaccard_join_rare_shingle_behind_prefix(spark, monkeypatch):
+    """A link whose last common shingle is rare and in one prefix only: its cell has one point."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 30)
+    pool = sorted((f"w{i}" for i in range(12000)), key=lambda w: int(jaccard_join.shingles(w, 1)[0]))
+    frequent, rare = pool[-92:], pool[:-92]
+    large, last, own = rare[:11], rare[-1], iter(rare[11:-1])
+    x = frequent[:85] + large + [last] + [next(own) for _ in range(3)]
+    y = frequent + large + [last] + [next(own) for _ in range(6)]
+    rows = [(0, " ".join(x)), (1, " ".join(y))]
+    rows += [(2 + i, " ".join(frequent + large * (i < 10) + [next(own) for _ in range(200)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = collected(jaccard_join.near_duplicates(df, 1, 85))
+    assert got == brute_components(rows, 1, 85) and (1, 110, 0) in got
+
+
 def test_near_copies_by_row(spark):
     """Null ids, repeated ids and repeated rows: one row of each group stays, no other row goes."""
     def near(t):
