@@ -23,7 +23,8 @@ Method: a suffix array over the line-id sequences by prefix doubling.
    copy, the others are later copies.
 4. A maximal repeated run is the union of the shortest runs of ``min_words``
    words that start or end at its lines, so only those lengths are looked up
-   and their later copies are deleted.
+   and their later copies are deleted, after a document's overlapping copies
+   are merged into disjoint spans.
 
 Every group is an aggregate with partial sums; one document's lines are the
 largest thing that one task holds.
@@ -104,6 +105,17 @@ def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     return found
 
 
+def spans(runs: DataFrame) -> DataFrame:
+    """``did, dkey, start, end`` of the disjoint stretches of lines that the
+    runs cover: runs that overlap or touch are one."""
+    longest = runs.groupBy(*DOC, "start").agg(F.max(F.col("start") + F.col("len") - 1).alias("end"))
+    doc = Window.partitionBy(*DOC).orderBy("start")
+    apart = F.col("start") > F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1)) + 1
+    part = longest.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn(
+        "span", F.sum("apart").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy(*DOC, "span").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("span")
+
+
 def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
                          deleted_col: str | None = None) -> DataFrame:
     """``docs`` with the later copies of repeated line runs taken out of
@@ -117,9 +129,9 @@ def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: st
         F.regexp_count(l, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
     narrow = cut(keyed.where(text.isNotNull()).select(F.col(did).alias("did"), F.col(dkey).alias("dkey"), line.alias("lines"))
                  .groupBy(*DOC).agg(F.any_value("lines").alias("lines")))
-    cut_out = F.array_distinct(F.flatten(F.transform(
-        F.collect_list(F.struct("start", "len")), lambda r: F.sequence(r["start"], r["start"] + r["len"] - 1))))
-    dead = later_copies(narrow, min_words).groupBy(*DOC).agg(cut_out.alias(gone)).select(
+    # the spans share no line, so a document's list has at most its number of lines
+    cut_out = F.flatten(F.transform(F.collect_list(F.struct("start", "end")), lambda r: F.sequence(r["start"], r["end"])))
+    dead = spans(later_copies(narrow, min_words)).groupBy(*DOC).agg(cut_out.alias(gone)).select(
         F.col("did").alias(did), F.col("dkey").alias(dkey), gone)
 
     def rest(lines):

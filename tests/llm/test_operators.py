@@ -239,6 +239,16 @@ def test_line_runs(spark, docs, empty):
     assert line_runs.delete_repeated_runs(empty).count() == 0
 
 
+def test_line_runs_many_blank_lines(spark):
+    """Every blank line before a copied text starts a run of its own to the same end."""
+    blank, r = 70_000, random.Random(8)
+    text = "\n" * blank + "\n".join(words(30, r) for _ in range(3))
+    rows = [(0, text), (1, text), (2, text + "\n" + words(9, r))]
+    got = line_runs.delete_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), deleted_col="n").collect()
+    assert {x["doc_id"]: (x["n"], x["text"]) for x in got} == {
+        0: (0, text), 1: (blank + 3, ""), 2: (blank + 3, rows[2][1].split("\n")[-1])}
+
+
 def test_token_counts(spark, docs, empty, monkeypatch):
     from tokenizers import Tokenizer
     path = public_tokenizers.path(queries.BYTE_BPE)
