@@ -38,8 +38,12 @@ REWEIGHT = 0.975
 #: Probability with which a regular document stays.
 STAYS = 0.99999
 DIMS = ("word_len", "symbols", "dup_lines", "repeats")
-#: Least standard deviation per dimension, in transformed units.
-FLOOR = (0.05, 0.06, 0.2, 0.12)
+#: Least standard deviation per dimension, in transformed units.  Each lets its
+#: dimension alone pass the cutoff (5.34 floors from the centre), so shares need
+#: less than 1 / 5.34 (``dup_lines``) and sqrt(0.5) / 5.34 (``repeats``, half of the
+#: words by the base rules).  One repeated line in a text of two is the coarsest
+#: step of ``dup_lines``: 0.135 is the least floor (rounded up) that leaves it.
+FLOOR = (0.05, 0.06, 0.135, 0.12)
 #: Estimates are broadcast up to this many groups, else joined by shuffle.
 BROADCAST_GROUPS = 20_000
 

@@ -107,6 +107,20 @@ def test_quality(spark, docs, empty):
     assert mcd_quality.judge(empty).count() == 0
 
 
+def test_quality_each_dimension_rejects(spark):
+    r = random.Random(6)
+    passage = words(96, r)
+    odd = {"word_len": " ".join(w + w for w in words(400, r).split()), "symbols": words(300, r) + " #" * 100,
+           "dup_lines": "\n".join([words(600, r) for _ in range(10)] + ["Read more"] * 90),
+           "repeats": " ".join([words(104, r), passage, words(104, r), passage])}
+    rows = [(n, t) for n, t in odd.items()] + [(f"plain{i}", "\n".join(words(40, r) for _ in range(10))) for i in range(150)]
+    rows.append(("two lines", "\n".join([words(300, r), *["Read on"] * 2])))
+    df = spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id string, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in mcd_quality.judge(df).collect()}
+    assert not any(got[n]["base_failed"] or got[n]["kept"] for n in mcd_quality.DIMS)
+    assert all(x["kept"] for n, x in got.items() if n not in odd)
+
+
 def test_mahalanobis_matches_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) + 5
