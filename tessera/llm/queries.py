@@ -3,11 +3,15 @@ can express the result."""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontam, html_main, jaccard_join, kd_shards, line_runs, mcd_quality, pii, piece_codec, token_counts, toxicity)
+from tessera.llm import (conv_repair, decontam, hard_negatives, html_main, jaccard_join, kd_shards, line_runs, mcd_quality, pii,
+                         piece_codec, token_counts, toxicity, warc)
 from tessera.llm.shared import table
+from tessera.session import ensure_checkpoint_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -62,9 +66,34 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_zone_map_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    damaged = conv_repair.damage(table(spark, sf_dir, "conversations"))
+    return conv_repair.report(conv_repair.repair(damaged, present="present")).withColumnRenamed("conv", "conv_id")
+
+
+def op13_warc_roundtrip(spark, sf_dir):
+    """Lengths and digests of responses are those of the payloads read back; a revisit has only headers."""
+    pages, path = table(spark, sf_dir, "pages"), f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.page_records(pages), path)
+    records = warc.read(spark, path, ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"],
+                        types=["response", "revisit"], payload_types=["response"])
+    whole, kind = F.col("record_type") == "response", pages.schema["page_id"].dataType
+    return records.select(
+        warc.named_id(F.col("record_id")).cast(kind).alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, warc.sha1_base32(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", warc.named_id(F.col("refers_to")).cast(kind).alias("refers_to"))
+
+
 QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_kd_tree_shards, op3_mcd_quality, op4_jaccard_join, op5_line_runs, op6_token_counts,
                                    op7_pii_deobfuscation, op8_piece_roundtrip, op9_benchmark_leaks,
-                                   op10_toxicity)}
+                                   op10_toxicity, op11_zone_map_negatives, op12_conversation_repair, op13_warc_roundtrip)}
 #: Runs as joined line text, compared literally.
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -88,4 +117,33 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_deleted,
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLE = {"op5_line_runs": OP5_SQL}
+#: Every anchor against every row.
+OP11_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, other) AS INT) AS rank,
+       other AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, other) <= 3
+"""
+
+#: The digest's 160 bits as 32 groups of 5, and the least id of each payload.
+OP13_SQL = r"""
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, min(page_id) AS first_id FROM d GROUP BY x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+           ((CAST('0x' || substr(d.x, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d JOIN f USING (x)
+"""
+
+ORACLE = {"op5_line_runs": OP5_SQL, "op11_zone_map_negatives": OP11_SQL, "op13_warc_roundtrip": OP13_SQL}
