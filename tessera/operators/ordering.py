@@ -26,19 +26,22 @@ from pyspark.sql import types as T
 from tessera.session import cut_lineage
 
 
+ROW_BITS = 40           # a partition holds fewer rows than 2^40
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def _local_running_sum(values: list[str]):
+def _local_running_sum(values: list[str], row: str | None):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        acc = [0] * len(values)
+        acc, seen = [0] * len(values), 0
         for b in batches:
             out = []
             for k, v in enumerate(values):
@@ -47,26 +50,32 @@ def _local_running_sum(values: list[str]):
                 out.append(pa.array(cum - x + acc[k], pa.int64()))
                 acc[k] += int(cum[-1]) if len(x) else 0
             out.append(pa.array(np.full(b.num_rows, pid, np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[
-                *b.schema.names, *(f"_local{k}" for k in range(len(values))), "_pid"])
+            names = [*b.schema.names, *(f"_local{k}" for k in range(len(values))), "_pid"]
+            if row:
+                out.append(pa.array((pid << ROW_BITS) + seen + np.arange(b.num_rows, dtype=np.int64)))
+                names.append(row)
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], names=names)
     return run
 
 
-def prefix_sum(df: DataFrame, order: list[str], value, out="offset",
-               partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over all rows strictly before this row
-    in ``order``.  Nulls come first; rows equal in ``order`` follow each other
-    in some order, fixed by the checkpoint.  Every row of ``df`` gives one row.
-    ``value``/``out`` may be lists to compute several sums in one pass.
-    Values are integers (counts, lengths; null counts as 0): the sums are exact.
-    """
+def ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """Range-partitioned and sorted on ``order`` (one shuffle)."""
+    return df.repartitionByRange(_partitions(df, partitions), *order).sortWithinPartitions(*order)
+
+
+def running_sum(df: DataFrame, value, out="offset", row: str | None = None, store=cut_lineage) -> DataFrame:
+    """Exclusive running sums over the rows of a ``ranged`` DataFrame as they lie
+    (columns derived from it row by row may have been added).  ``row`` names a
+    column for the row's number, unique and in order, frozen like the sums by ``store``
+    (``cut_table`` where later jobs read few of the columns)."""
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    ranged = df.repartitionByRange(_partitions(df, partitions), *order).sortWithinPartitions(*order)
     locals_ = [f"_local{k}" for k in range(len(values))]
+    numbers = [row] if row else []
     schema = T.StructType(df.schema.fields + [T.StructField(lo, T.LongType()) for lo in locals_]
-                          + [T.StructField("_pid", T.IntegerType())])
-    local = cut_lineage(ranged.mapInArrow(_local_running_sum(values), schema))
+                          + [T.StructField("_pid", T.IntegerType())] + [T.StructField(r, T.LongType()) for r in numbers])
+    local = store(df.mapInArrow(_local_running_sum(values, row), schema))
     totals = local.groupBy("_pid").agg(*[F.sum(v).alias(f"_ptotal{k}") for k, v in enumerate(values)])
     # one row per partition: a bounded table, broadcast by construction
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +83,18 @@ def prefix_sum(df: DataFrame, order: list[str], value, out="offset",
                                     for k in range(len(values))])
     sums = [(F.col(f"_base{k}") + F.col(lo)).cast("bigint").alias(o)
             for k, (lo, o) in enumerate(zip(locals_, outs))]
-    return local.join(F.broadcast(bases), "_pid").select(*df.columns, *sums)
+    return local.join(F.broadcast(bases), "_pid").select(*df.columns, *sums, *numbers)
+
+
+def prefix_sum(df: DataFrame, order: list[str], value, out="offset",
+               partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over all rows strictly before this row
+    in ``order``.  Nulls come first; rows equal in ``order`` follow each other
+    in some order, fixed by the checkpoint.  Every row of ``df`` gives one row.
+    ``value``/``out`` may be lists to compute several sums in one pass.
+    Values are integers (counts, lengths; null counts as 0): the sums are exact.
+    """
+    return running_sum(ranged(df, order, partitions), value, out)
 
 
 def global_index(df: DataFrame, order: list[str], out: str = "idx",

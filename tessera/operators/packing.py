@@ -2,10 +2,12 @@
 (T8-T12, L7).
 
 The token stream is never materialized as one list: every document keeps its
-ids array plus ``offset`` (position of its first id in the stream, from the
-two-level prefix sum).  Windows are assembled from per-document fragments in
-one shuffle keyed by window; each window group holds at most ``length + 1``
-ids, whatever the skew of documents or sources.
+pieces (or ids) plus ``offset`` (position of its first id in the stream, a prefix
+sum of piece counts, known before any id is).  ``fragments`` cuts documents at
+window borders with a halo of one; ``tokens.encode_fragments`` turns them into ids
+in one shuffle keyed by window.  Each window group holds at most ``length + 1``
+ids, whatever the skew of documents or sources.  ``pack_windows`` and ``blocks``
+do the same for documents that are encoded already.
 """
 
 from __future__ import annotations
@@ -51,8 +53,7 @@ def _frag(ids: Column, s: Column, lo: Column, hi: Column) -> Column:
     """ids at stream positions [lo, hi) of a part that starts at s."""
     a = F.greatest(lo, s)
     b = F.least(hi, s + F.size(ids))
-    return F.when(b > a, F.slice(ids, (a - s + 1).cast("int"), (b - a).cast("int"))).otherwise(
-        F.array().cast("array<int>"))
+    return F.slice(ids, F.greatest(a - s + 1, F.lit(1)).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
 
 
 def pack_windows(parts: DataFrame, length: int, totals: dict[str, int], ids: str = "ids",
@@ -80,6 +81,30 @@ def pack_windows(parts: DataFrame, length: int, totals: dict[str, int], ids: str
                     F.flatten(F.transform("_f", lambda x: x["_tg"])).alias("targets"))
 
 
+def fragments(parts: DataFrame, size: int, halo: int = 0, pcs: str = "pcs", start: str = "start",
+              group: str = "split") -> DataFrame:
+    """``group, seq, slot, pcs``: every part cut at the multiples of ``size``;
+    with ``halo`` each run also takes that many pieces of the next one, so no
+    later step has to look at its neighbour.  ``slot`` is the place in the run."""
+    s, n = F.col(start), F.size(pcs)
+    first = F.greatest(F.floor((s - halo) / size), F.lit(0)).cast("bigint")
+    last = F.floor((s + n - 1) / size).cast("bigint")
+    ex = parts.where(n > 0).select(group, s.alias("_s"), F.col(pcs).alias("_pcs"), F.explode(F.sequence(first, last)).alias("seq"))
+    lo = F.col("seq") * size
+    return ex.select(group, "seq", (F.greatest(lo, F.col("_s")) - lo).alias("slot"),
+                     _frag(F.col("_pcs"), F.col("_s"), lo, lo + size + halo).alias(pcs)).where(F.size(pcs) > 0)
+
+
+def shifted(runs: DataFrame, length: int, ids: str = "ids", tail: bool = False) -> DataFrame:
+    """T10 from runs of ``length + 1`` ids: ``inputs`` and the same ids shifted by
+    one as ``targets``.  With ``tail`` the rest of each stream comes too, as a
+    shorter window (its last id has no target and a single id makes none)."""
+    n = F.size(ids)
+    kept = runs.where(n > 1 if tail else n == length + 1)
+    inputs, targets = shift_pair(ids)
+    return kept.withColumn("inputs", inputs).withColumn("targets", targets).drop(ids)
+
+
 def checksum(ids: Column) -> Column:
     """Position-weighted sum of an id array (order-sensitive)."""
     return F.aggregate(F.transform(ids, lambda x, i: (i + 1).cast("bigint") * x.cast("bigint")),

@@ -8,17 +8,19 @@ id = rank - 1; the end-of-text id is the vocabulary size.  Pre-tokenization
 Scale notes
 * Vocabulary: ``groupBy(piece)`` with map-side partial counts, then a
   distributed rank (``ordering.global_index``), never a one-task window.
-* Encode: pieces are exploded per document and joined to the vocabulary.  The
+* Encode: pieces are exploded per row and joined to the vocabulary.  The
   vocabulary is broadcast only when its *counted* size is within
-  ``broadcast_max``; above that it is a shuffle join where AQE's skew-join
-  split handles hot pieces (" the" holds several percent of all tokens).
-  The re-grouping by document is pre-aggregated map-side, because after a
-  broadcast join all pieces of a document sit in the same partition.
+  ``broadcast_max``; above that its most frequent entries are broadcast and only
+  rare pieces go through a shuffle join.  Rows are told apart by a stored row
+  number, never by the caller's key.  The regroup is pre-aggregated map-side,
+  because after a broadcast join all pieces of a row sit in the same partition.
+* Windows and blocks are encoded straight from the pieces (``encode_fragments``):
+  offsets are known from piece counts, so ids cross one shuffle, to their window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import pieces
@@ -27,6 +29,9 @@ from tessera.session import cut_lineage
 
 END_OF_TEXT = "<|endoftext|>"          # fixed value: text of the end-of-text id
 BROADCAST_MAX_PIECES = 2_000_000       # vocabulary rows that may be broadcast
+MAX_PIECES = (1 << 32) - 2
+UNKNOWN = "\ufffd"
+ROW = "_row"
 
 
 def _pieces_of(df: DataFrame, text: str | None, pieces_col: str | None):
@@ -35,8 +40,8 @@ def _pieces_of(df: DataFrame, text: str | None, pieces_col: str | None):
 
 def piece_counts(df: DataFrame, text: str = "text", pieces_col: str | None = None) -> DataFrame:
     """``piece, n``: map-side partial counts, so a hot piece is folded
-    before the shuffle."""
-    return (df.select(F.explode(_pieces_of(df, text, pieces_col)).alias("piece"))
+    before the shuffle.  A null piece (an end-of-text mark) doesn't count."""
+    return (df.select(F.explode(_pieces_of(df, text, pieces_col)).alias("piece")).where(F.col("piece").isNotNull())
             .groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -73,49 +78,92 @@ def _lookup(rows: DataFrame, vocab: DataFrame, key_col: str, val_col: str, broad
     return hit.unionByName(miss.join(cold, key_col, "left"))
 
 
-def vocab_size(vocab: DataFrame) -> int:
-    return vocab.count()
+def _row_numbered(df: DataFrame, row: str | None) -> tuple[DataFrame, str]:
+    """The rows with a frozen number each: keys may repeat or be null, so they
+    can't tell rows apart."""
+    if row:
+        return df, row
+    return cut_lineage(df.withColumn(ROW, F.monotonically_increasing_id())), ROW
+
+
+def _packed(pos: Column, value: Column) -> Column:
+    """(position, id + 1) as one bigint: the regroup collects and sorts primitive
+    longs instead of structs (measured ~10-20% faster).  Ids up to 2^32 - 2."""
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(value + 1)
+
+
+def _unpacked(items: Column) -> Column:
+    return F.transform(F.array_sort(items), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)) - 1)
+
+
+def _ids_of(ex: DataFrame, vocab: DataFrame, keys: list[str], carry: list[str], eos_id: int | None,
+            broadcast_max: int, vocab_rows: int | None, out: str) -> DataFrame:
+    """Rows (keys, carry, pos, piece) -> one row of ids per ``keys``.  A piece
+    outside the vocabulary gives -1, a null piece the end-of-text id, a null ``pos`` nothing."""
+    size = vocab.count() if vocab_rows is None else vocab_rows
+    if size > MAX_PIECES:
+        raise ValueError(f"{size} pieces: ids must stay below 2^32 - 1")
+    side = vocab.select("piece", F.col("id").alias("_vid"), F.col("id").alias("_rank"))
+    j = _lookup(ex, side, "piece", "_vid", broadcast_max, "_rank", size).drop("_rank")
+    unknown = F.coalesce(F.col("_vid"), F.lit(-1).cast("long"))
+    if eos_id is not None:
+        unknown = F.when(F.col("piece").isNull(), F.lit(eos_id).cast("long")).otherwise(unknown)
+    item = F.when(F.col("pos").isNotNull(), _packed(F.col("pos"), unknown))
+    return j.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry], _unpacked(F.collect_list(item)).alias(out))
+
+
+def with_end(pieces_col: Column, ends: Column) -> Column:
+    """Pieces with the end-of-text mark (a null piece) behind them where ``ends``."""
+    return F.when(ends, F.concat(pieces_col, F.array(F.lit(None).cast("string")))).otherwise(pieces_col)
 
 
 def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
            eos_id: int | None = None, carry: list[str] | None = None,
            out: str = "ids", broadcast_max: int = BROADCAST_MAX_PIECES,
            eos_col: str | None = None, pieces_col: str | None = None,
-           vocab_rows: int | None = None) -> DataFrame:
-    """``*key, *carry, out ARRAY<INT>`` — the ids of the pieces of ``text``
-    in order.  ``eos_id`` is appended to every row, or only to rows whose
-    boolean ``eos_col`` is true when that is given."""
+           vocab_rows: int | None = None, row: str | None = None) -> DataFrame:
+    """``*key, *carry, out ARRAY<BIGINT>`` per row of ``df`` — the ids of the pieces of
+    ``text`` in order.  ``eos_id`` is appended to every row, or only to rows whose
+    boolean ``eos_col`` is true when that is given; a null in a given
+    ``pieces_col`` is an end of text too.  Rows are told apart by ``row`` (a stored
+    row number) or by one stamped here, so keys may repeat or be null."""
     keys = [key] if isinstance(key, str) else list(key)
     carry = list(carry or [])
     if eos_col and eos_col not in carry:
         carry.append(eos_col)
-    ex = df.select(*keys, *carry, F.posexplode_outer(_pieces_of(df, text, pieces_col)).alias("pos", "piece"))
-    side = vocab.select("piece", F.col("id").cast("int").alias("_vid"), F.col("id").alias("_rank"))
-    j = _lookup(ex, side, "piece", "_vid", broadcast_max, "_rank", vocab_rows).drop("_rank")
-    # (position, id + 1) packed into one bigint: the regroup then collects
-    # and sorts primitive longs instead of structs (measured ~10-20% faster);
-    # a piece missing from the vocabulary comes back as id -1, never dropped
-    low = (F.coalesce(F.col("_vid").cast("long"), F.lit(-1).cast("long")) + 1)
-    item = F.when(F.col("pos").isNotNull(), F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(low))
-    g = j.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in carry],
-        F.transform(F.array_sort(F.collect_list(item)),
-                    lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int")).alias(out))
+    kept = [*keys, *(c for c in carry if c not in keys)]
+    src, row = _row_numbered(df.select(*kept, *([row] if row else []), _pieces_of(df, text, pieces_col).alias("_pcs")), row)
+    ex = src.select(row, *kept, F.posexplode_outer("_pcs").alias("pos", "piece"))
+    g = _ids_of(ex, vocab, [row], [c for c in kept if c != row], eos_id if pieces_col else None, broadcast_max, vocab_rows, out)
     if eos_id is not None:
-        tail = F.concat(F.col(out), F.array(F.lit(eos_id).cast("int")))
-        g = g.withColumn(out, F.when(F.col(eos_col), tail).otherwise(F.col(out)) if eos_col else tail)
-    return g
+        tail = F.concat(F.col(out), F.array(F.lit(eos_id).cast("long")))
+        g = g.withColumn(out, F.when(F.col(eos_col), tail).otherwise(F.col(out)) if eos_col else tail if not pieces_col else F.col(out))
+    return g.select(*kept, out)
+
+
+def encode_fragments(fragments: DataFrame, vocab: DataFrame, keys: list[str], slot: str, pcs: str, eos_id: int,
+                     broadcast_max: int = BROADCAST_MAX_PIECES, vocab_rows: int | None = None, out: str = "ids") -> DataFrame:
+    """``*keys, out``: the ids of all fragments of a key in the order of their
+    places (``slot`` is the place of a fragment's first piece).  The pieces become ids and
+    meet under their key in one shuffle."""
+    ex = fragments.select(*keys, slot, F.posexplode(pcs).alias("_at", "piece"))
+    ex = ex.select(*keys, (F.col(slot) + F.col("_at")).alias("pos"), "piece")
+    return _ids_of(ex, vocab, keys, [], eos_id, broadcast_max, vocab_rows, out)
 
 
 def decode(df: DataFrame, vocab: DataFrame, key, ids: str = "ids",
-           out: str = "text", broadcast_max: int = BROADCAST_MAX_PIECES) -> DataFrame:
-    """Ids back to text; the end-of-text id (vocab size) becomes ``<|endoftext|>``."""
+           out: str = "text", broadcast_max: int = BROADCAST_MAX_PIECES, row: str | None = None) -> DataFrame:
+    """Ids back to text, per row of ``df``; the end-of-text id (vocabulary size) becomes
+    ``<|endoftext|>``, an id that the vocabulary doesn't have a replacement
+    character.  A null array gives null."""
     keys = [key] if isinstance(key, str) else list(key)
     size = vocab.count()
-    side = vocab.select(F.col("id").cast("int").alias("_vid"), "piece", F.col("id").alias("_rank"))
-    ex = df.select(*keys, F.posexplode_outer(F.col(ids)).alias("pos", "_vid"))
+    side = vocab.select(F.col("id").alias("_vid"), "piece", F.col("id").alias("_rank"))
+    src, row = _row_numbered(df.select(*keys, *([row] if row else []), F.col(ids).cast("array<bigint>").alias("_ids")), row)
+    ex = src.select(row, *keys, F.col("_ids").isNull().alias("_none"), F.posexplode_outer("_ids").alias("pos", "_vid"))
     j = _lookup(ex, side, "_vid", "piece", broadcast_max, "_rank").drop("_rank")
-    piece = F.when(F.col("_vid") == size, F.lit(END_OF_TEXT)).otherwise(F.col("piece"))
+    piece = F.when(F.col("_vid") == size, F.lit(END_OF_TEXT)).otherwise(F.coalesce("piece", F.lit(UNKNOWN)))
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), piece.alias("p")))
-    return j.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]), "").alias(out))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]), "")
+    g = j.groupBy(row).agg(*[F.first(k).alias(k) for k in keys if k != row], F.when(~F.first("_none"), text).alias(out))
+    return g.select(*keys, out)

@@ -3,9 +3,10 @@
 Spark shape (no driver-side data, no single-task step):
 
   sources -> clean / filter / render (narrow)  -> unionByName with an order key
-          -> pieces -> vocabulary (shuffle on piece, distributed rank)
-          -> encode (broadcast or skew-aware join) -> per-document lengths
-          -> two-level prefix sum (narrow) -> split / windows (one shuffle)
+          -> range shuffle on the order -> pieces, their counts, running offsets (one pass, stored)
+          -> vocabulary (shuffle on piece, distributed rank)
+          -> split and window fragments of pieces (narrow) -> ids by broadcast or
+          skew-aware join -> windows (the one shuffle of ids)
 
 Source order in the stream is fixed: books, chats, pairs, articles.  Inside a
 source: books by path string, the others by id.  Books get no end-of-text id;
@@ -87,40 +88,67 @@ def stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ended.alias("part"), "eos")
 
 
+def counted_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
+    """Units in stream order: ``*UNIT_ORDER, source, pcs, n, offset, row``.
+    ``pcs`` ends with a null piece where the unit ends with an end-of-text id, ``n`` is its size:
+    offsets need no ids.  One shuffle by range, one regex pass, written once as a table, so that
+    counts read only the columns of counts."""
+    from tessera.functions.text import pieces
+    from tessera.operators.ordering import ranged, running_sum
+    from tessera.operators.tokens import with_end
+    from tessera.session import cut_table
+    units = ranged(units if units is not None else stream_units(spark, sf_dir), UNIT_ORDER)
+    counted = units.select(*UNIT_ORDER, "source", with_end(pieces(F.col("part")), F.col("eos")).alias("pcs"))
+    return running_sum(counted.withColumn("n", F.size("pcs").cast("bigint")), "n", "offset", row="row", store=cut_table)
+
+
+def stream_totals(counted: DataFrame, frac: float = TRAIN_SPLIT) -> dict[str, int]:
+    """The stream's length per split, from piece counts."""
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cut = int(total * frac)
+    return {"train": cut, "val": total - cut}
+
+
 def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = None):
-    """``(vocab, encoded, eos_id)``: encoded units carry ``source`` and ``ids``."""
+    """``(vocab, encoded, eos_id)``: encoded units carry ``source``, ``offset`` and ``ids``."""
     from tessera.operators.tokens import build_vocab, encode
-    from tessera.session import cut_lineage
-    from tessera.functions.text import pieces
-    units = units if units is not None else stream_units(spark, sf_dir)
-    # pre-tokenize once: the regex pass is the main CPU cost; counting and
-    # encoding both read the stored pieces
-    units = cut_lineage(units.select(*UNIT_ORDER, "source", "eos", pieces(F.col("part")).alias("pcs")))
-    vocab = build_vocab(units, pieces_col="pcs")
+    counted = counted_stream(spark, sf_dir, units)
+    vocab = build_vocab(counted, pieces_col="pcs")
     eos_id = vocab.count()
-    # the encoded corpus is read by several jobs (offsets, join back, totals):
-    # write it once instead of re-running the join and regroup each time
-    enc = cut_lineage(encode(units, vocab, UNIT_ORDER, eos_id=eos_id, carry=["source"], eos_col="eos",
-                             pieces_col="pcs", vocab_rows=eos_id))
+    enc = encode(counted, vocab, UNIT_ORDER, eos_id=eos_id, carry=["source", "offset"],
+                 pieces_col="pcs", vocab_rows=eos_id, row="row")
     return vocab, enc, eos_id
 
 
+def stream_runs(spark: SparkSession, sf_dir: str, size: int, halo: int = 0, frac: float = TRAIN_SPLIT):
+    """``(runs, totals, eos_id)``: the ids of every run of ``size`` (and ``halo`` of the
+    next) of each split as ``split, seq, ids``, the last run of a split being what is left."""
+    from tessera.operators.packing import fragments, split_stream
+    from tessera.operators.tokens import build_vocab, encode_fragments
+    counted = counted_stream(spark, sf_dir)
+    vocab = build_vocab(counted, pieces_col="pcs")
+    eos_id = vocab.count()
+    totals = stream_totals(counted, frac)
+    parts = split_stream(counted.select("offset", "pcs"), frac, sum(totals.values()), ids="pcs")
+    runs = encode_fragments(fragments(parts, size, halo), vocab, ["split", "seq"], "slot", "pcs", eos_id, vocab_rows=eos_id)
+    return runs, totals, eos_id
+
+
 def stream_parts(spark: SparkSession, sf_dir: str, frac: float = TRAIN_SPLIT):
     """``(off, parts, totals, eos_id)``: encoded units with offsets, their
     train/validation parts, the stream length per split, the end-of-text id."""
-    from tessera.operators.packing import split_stream, stream_total, with_offsets
-    from tessera.session import cut_lineage
+    from tessera.operators.packing import split_stream, stream_total
+    from tessera.session import cut_table
     _, enc, eos_id = encoded_stream(spark, sf_dir)
-    off = with_offsets(enc, UNIT_ORDER)
-    total = stream_total(enc)
+    off = cut_table(enc)
+    total = stream_total(off)
     cut = int(total * frac)
-    totals = {"train": cut, "val": total - cut}
-    return off, split_stream(off, frac, total), totals, eos_id
+    return off, split_stream(off, frac, total), {"train": cut, "val": total - cut}, eos_id
 
 
-def packed(spark: SparkSession, sf_dir: str, length: int = WINDOW, frac: float = TRAIN_SPLIT):
-    """``(windows, parts, totals)``: windows per split, the split document
-    parts, and the stream length of each split."""
-    from tessera.operators.packing import pack_windows
-    _, parts, totals, _ = stream_parts(spark, sf_dir, frac)
-    return pack_windows(parts, length, totals), parts, totals
+def packed(spark: SparkSession, sf_dir: str, length: int = WINDOW, frac: float = TRAIN_SPLIT, tail: bool = False):
+    """``(windows, runs, totals)``: windows per split, the runs of ids they
+    come from, and the stream length of each split."""
+    from tessera.operators.packing import shifted
+    runs, totals, _ = stream_runs(spark, sf_dir, length, 1, frac)
+    return shifted(runs, length, tail=tail), runs, totals

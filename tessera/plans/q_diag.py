@@ -36,8 +36,8 @@ L = C.WINDOW
 
 # --- A4-A6 --------------------------------------------------------------------------
 def block_diagnostics(spark, sf_dir):
-    _, parts, totals, eos_id = C.stream_parts(spark, sf_dir)
-    b = P.blocks(parts, BLOCK, totals)
+    runs, _, eos_id = C.stream_runs(spark, sf_dir, BLOCK)
+    b = runs.where(F.size("ids") == BLOCK).withColumnRenamed("seq", "block")
     return ST.block_diagnostics(b, eos_id).select(
         "split", F.col("block").cast("bigint").alias("block"), "n", "repetitions", "repetition_rate", "eos",
         "unique_ids", "unique_ratio")
@@ -57,8 +57,7 @@ FROM lx GROUP BY split, block
 
 # --- A7 -----------------------------------------------------------------------------
 def shift_check(spark, sf_dir):
-    windows, _, _ = C.packed(spark, sf_dir)
-    return ST.shift_mismatches(windows)
+    return ST.shift_mismatches(C.packed(spark, sf_dir)[0])
 
 
 register("shift_check", f"""WITH {SQL_STREAM_CTES}, {SQL_POSITIONS}
@@ -68,11 +67,10 @@ SELECT split, ((max(m) - 1) // {L})::BIGINT AS windows, 0::BIGINT AS mismatches
 
 # --- A1 -----------------------------------------------------------------------------
 def source_rollup(spark, sf_dir):
-    off, _, totals, _ = C.stream_parts(spark, sf_dir)
-    cut = totals["train"]
-    n = F.size("ids")
-    train = F.least(F.greatest(F.lit(cut) - F.col("offset"), F.lit(0)), n)
-    u = off.select("source", "id", n.alias("tokens"), train.alias("train"))
+    counted = C.counted_stream(spark, sf_dir)
+    cut = C.stream_totals(counted)["train"]
+    train = F.least(F.greatest(F.lit(cut) - F.col("offset"), F.lit(0)), F.col("n"))
+    u = counted.select("source", "id", F.col("n").alias("tokens"), train.alias("train"))
     return u.rollup("source").agg(
         F.countDistinct("source", "id").alias("documents"), F.sum("tokens").cast("bigint").alias("tokens"),
         F.sum("train").cast("bigint").alias("train_tokens"),
@@ -96,7 +94,7 @@ TRAIN_BATCH = 32
 
 
 def size_guards(spark, sf_dir):
-    _, _, totals, _ = C.stream_parts(spark, sf_dir)
+    totals = C.stream_totals(C.counted_stream(spark, sf_dir))
     return ST.size_guards(spark.createDataFrame(list(totals.items()), "split string, tokens long"), TRAIN_BATCH, L)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking as CH
-from tessera.operators.packing import checksum, with_offsets
+from tessera.operators.packing import checksum
 from tessera.operators.tokens import build_vocab, decode
 from tessera.plans import corpus as C
 from tessera.plans import sqlfrag as Q
@@ -81,9 +81,7 @@ register("encode_docs", f"WITH {SQL_STREAM_CTES} SELECT source, id, part_no, n_i
 
 # --- T9: stream offsets ---------------------------------------------------------------
 def doc_offsets(spark, sf_dir):
-    _, enc, _ = C.encoded_stream(spark, sf_dir)
-    off = with_offsets(enc, C.UNIT_ORDER)
-    return off.select("source", "id", "part_no", F.col("offset").cast("bigint").alias("offset"))
+    return C.counted_stream(spark, sf_dir).select("source", "id", "part_no", "offset")
 
 
 register("doc_offsets", f"""WITH {SQL_STREAM_CTES}
@@ -116,12 +114,21 @@ sp AS (SELECT vid, CASE WHEN p < s THEN 'train' ELSE 'val' END AS split,
 
 
 def packed_windows(spark, sf_dir):
-    windows, _, _ = C.packed(spark, sf_dir)
+    return _window_sums(C.packed(spark, sf_dir)[0])
+
+
+def _window_sums(windows):
     return windows.select("split", F.col("seq").cast("bigint").alias("seq"),
                           F.size("inputs").cast("bigint").alias("n_in"),
                           checksum(F.col("inputs")).alias("in_sum"), checksum(F.col("targets")).alias("tg_sum"))
 
 
+def packed_tails(spark, sf_dir):
+    """What is left of each split behind its last full window, as a shorter window."""
+    windows = C.packed(spark, sf_dir, tail=True)[0]
+    return _window_sums(windows.where(F.size("inputs") < C.WINDOW))
+
+
 L = C.WINDOW
 register("packed_windows", f"""WITH {SQL_STREAM_CTES}, {SQL_POSITIONS},
 i AS (SELECT split, q // {L} AS seq, count(*)::BIGINT AS n_in, sum((q % {L} + 1) * vid)::BIGINT AS in_sum
@@ -132,11 +139,19 @@ SELECT i.split, i.seq::BIGINT AS seq, n_in, in_sum, tg_sum FROM i JOIN t ON i.sp
 """)(packed_windows)
 
 
+register("packed_tails", f"""WITH {SQL_STREAM_CTES}, {SQL_POSITIONS}
+SELECT split, (q // {L})::BIGINT AS seq, count(*) FILTER (q < m - 1)::BIGINT AS n_in,
+       sum(CASE WHEN q < m - 1 THEN (q % {L} + 1) * vid END)::BIGINT AS in_sum,
+       sum(CASE WHEN q % {L} > 0 THEN (q % {L}) * vid END)::BIGINT AS tg_sum
+FROM sp WHERE q // {L} >= (m - 1) // {L} AND (m - 1) % {L} > 0 GROUP BY ALL
+""")(packed_tails)
+
+
 def train_val_tokens(spark, sf_dir):
-    windows, parts, _ = C.packed(spark, sf_dir)
-    toks = parts.groupBy("split").agg(F.sum(F.size("ids")).cast("bigint").alias("tokens"))
-    wins = windows.groupBy("split").agg(F.count(F.lit(1)).alias("windows"))
-    return toks.join(wins, "split", "left").select("split", "tokens", F.coalesce("windows", F.lit(0)).alias("windows"))
+    """From piece counts alone."""
+    totals = C.stream_totals(C.counted_stream(spark, sf_dir))
+    rows = [(k, m, max(m - 1, 0) // L) for k, m in totals.items() if m]
+    return spark.createDataFrame(rows, "split string, tokens long, windows long")
 
 
 register("train_val_tokens", f"""WITH {SQL_STREAM_CTES}, {SQL_POSITIONS}

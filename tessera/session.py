@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +70,12 @@ def cut_lineage(df):
     executor-local disks and ``localCheckpoint`` is never used."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_table(df):
+    """Like ``cut_lineage``, as Parquet in the checkpoint folder: later reads take
+    only the columns they need.  For wide rows that several jobs read in part."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
