@@ -91,8 +91,9 @@ def fragments(parts: DataFrame, size: int, halo: int = 0, pcs: str = "pcs", star
     last = F.floor((s + n - 1) / size).cast("bigint")
     ex = parts.where(n > 0).select(group, s.alias("_s"), F.col(pcs).alias("_pcs"), F.explode(F.sequence(first, last)).alias("seq"))
     lo = F.col("seq") * size
-    return ex.select(group, "seq", (F.greatest(lo, F.col("_s")) - lo).alias("slot"),
-                     _frag(F.col("_pcs"), F.col("_s"), lo, lo + size + halo).alias(pcs)).where(F.size(pcs) > 0)
+    inside = F.least(lo + size + halo, F.col("_s") + F.size("_pcs")) > F.greatest(lo, F.col("_s"))
+    return ex.where(inside).select(group, "seq", (F.greatest(lo, F.col("_s")) - lo).alias("slot"),
+                                   _frag(F.col("_pcs"), F.col("_s"), lo, lo + size + halo).alias(pcs))
 
 
 def shifted(runs: DataFrame, length: int, ids: str = "ids", tail: bool = False) -> DataFrame:

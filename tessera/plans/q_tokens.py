@@ -3,15 +3,18 @@ split and packed windows (steps 4-5)."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking as CH
+from tessera.operators import merges as MG
 from tessera.operators.packing import checksum
 from tessera.operators.tokens import build_vocab, decode
 from tessera.plans import corpus as C
 from tessera.plans import sqlfrag as Q
 from tessera.plans.q_corpus import SQL_FILES, SQL_UNITS
+from tessera.session import cut_table
 from tessera.sources import tables as S
 
 QUERIES = {}
@@ -257,3 +260,41 @@ g AS (SELECT r.path, r.cid, {Q.strip("string_agg(s.s, ' ' ORDER BY s.i)")} AS c
 SELECT path, (row_number() OVER (PARTITION BY path ORDER BY cid) - 1)::BIGINT AS chunk_no,
        length(c)::BIGINT AS n_chars, md5(c) AS digest FROM g WHERE c <> ''
 """)(chunk_sentences)
+
+
+# --- T2 option: user-supplied merges -------------------------------------------------------
+BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def bpe_encode(spark, sf_dir):
+    """Ids by the merges of a tokenizer file, and the text they decode to."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    bpe = MG.read_bpe(spark, BPE_FILE)
+    enc = cut_table(MG.encode_bpe(docs, bpe, "doc_id"))
+    sums = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), checksum(F.col("ids")).alias("checksum"))
+    return sums.join(MG.decode_bpe(enc, bpe, "doc_id").select("doc_id", F.md5("text").alias("digest")), "doc_id")
+
+
+# Symbols of a piece stand between marks; each step joins the neighbours of least rank.
+register("bpe_encode", f"""
+WITH RECURSIVE file AS (SELECT content::JSON AS j FROM read_text('{BPE_FILE}')),
+merges AS (SELECT unnest(range(len(ms)))::BIGINT AS rank, unnest(list_transform(ms, lambda m: m[1])) AS l, unnest(list_transform(ms, lambda m: m[2])) AS r
+           FROM (SELECT from_json(j->'$.model.merges', '[["VARCHAR"]]') AS ms FROM file)),
+vocab AS (SELECT e.key AS token, e.value AS id FROM (SELECT unnest(map_entries((j->'$.model.vocab')::MAP(VARCHAR, BIGINT))) AS e FROM file)),
+toks AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM (SELECT doc_id, {Q.pieces('text')} AS ps FROM documents)),
+hexed AS (SELECT piece, hex(encode(piece)) AS h FROM (SELECT DISTINCT piece FROM toks)),
+bytes AS (SELECT piece, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT) AS bs FROM hexed),
+step(piece, syms) AS (
+  SELECT piece, chr(1) || array_to_string(list_transform(bs, lambda b: chr(CASE WHEN b <= 32 THEN 256 + b
+    WHEN b BETWEEN 127 AND 160 THEN b + 162 WHEN b = 173 THEN 323 ELSE b END)), chr(1)) || chr(1) FROM bytes
+  UNION ALL
+  SELECT piece, replace(any_value(syms), chr(1) || arg_min(l, rank) || chr(1) || arg_min(r, rank) || chr(1), chr(1) || arg_min(l, rank) || arg_min(r, rank) || chr(1))
+  FROM (SELECT piece, syms, unnest(a[:-2]) AS a1, unnest(a[2:]) AS a2 FROM (SELECT piece, syms, string_split(syms[2:-2], chr(1)) AS a FROM step)) s
+  JOIN merges ON l = a1 AND r = a2 GROUP BY piece),
+done AS (SELECT piece, arg_min(syms, length(syms)) AS syms FROM step GROUP BY piece),
+pids AS (SELECT piece, list(id ORDER BY k) AS ids FROM (SELECT piece, unnest(a) AS token, unnest(range(len(a))) AS k
+         FROM (SELECT piece, string_split(syms[2:-2], chr(1)) AS a FROM done)) JOIN vocab USING (token) GROUP BY piece),
+flat AS (SELECT doc_id, pos, unnest(range(len(ids))) AS k, unnest(ids) AS id FROM toks JOIN pids USING (piece)),
+sums AS (SELECT doc_id, count(*) AS n, sum(rn * id) AS s FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS rn FROM flat) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_ids, coalesce(s, 0)::BIGINT AS checksum, md5(text) AS digest FROM documents d LEFT JOIN sums USING (doc_id)
+""")(bpe_encode)
