@@ -64,7 +64,7 @@ def ingest_incremental(spark, sf_dir):
         r = RD.render_article(batch, end_marker=False)
         return r.select("id", F.md5("text").alias("dedup_key"), "text")
 
-    ingest(spark, f"{base}/landing", docs.schema, transform, f"{base}/out", f"{base}/checkpoint")
+    ingest(spark, f"{base}/landing", docs.schema, transform, f"{base}/out", f"{base}/checkpoint", buckets=32)
     out = spark.read.parquet(f"{base}/out")
     return out.select("id", F.col("dedup_key").alias("digest"))
 
