@@ -191,14 +191,16 @@ def answers(responder: Callable[[str], str], prompts: list[str], concurrency: in
 
 def enrich(prompts: DataFrame, responder: Callable[[str], str], key: str = "id", text: str = "prompt",
            parallelism: int | None = None, concurrency: int = 8, timeout: float = 30.0,
-           model: str = "responder") -> DataFrame:
+           model: str = "responder", carry: list[str] | None = None) -> DataFrame:
     """Call ``responder(prompt)`` for every prompt (the one place where
     Python runs per row: it is an external call).  ``parallelism`` bounds the
     number of tasks, ``concurrency`` the calls in flight per task; a call
     that raises or takes more than ``timeout`` seconds becomes a failed row
     with the error text and exception class.  ``request_index`` is the key, so
-    no order has to be restored."""
-    df = prompts.select(F.col(key).cast("bigint").alias("_k"), F.col(text).alias("_p"))
+    no order has to be restored.  ``carry`` names columns that go along."""
+    carry = list(carry or [])
+    schema = T.StructType([*RESULT_SCHEMA.fields, *(prompts.schema[c] for c in carry)])
+    df = prompts.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_p"), *[F.col(c).cast("string") for c in carry])
     if parallelism:
         df = df.repartition(parallelism)
 
@@ -207,12 +209,14 @@ def enrich(prompts: DataFrame, responder: Callable[[str], str], key: str = "id",
         for pdf in batches:
             out = []
             got = answers(responder, list(pdf["_p"]), concurrency, timeout)
-            for k, p, (r, e) in zip(pdf["_k"], pdf["_p"], got):
+            for k, p, (r, e), *rest in zip(pdf["_k"], pdf["_p"], got, *(pdf[c] for c in carry)):
                 kind = type(e).__name__ if e else None
-                out.append((p, r, datetime.now().isoformat(), model, e is None, int(k), (str(e) or kind) if e else None, kind))
-            yield pd.DataFrame(out, columns=[f.name for f in RESULT_SCHEMA.fields])
+                out.append((p, r, datetime.now().isoformat(), model, e is None, k, (str(e) or kind) if e else None, kind, *rest))
+            yield pd.DataFrame(out, columns=[f.name for f in texts.fields], dtype=object)
 
-    return df.mapInPandas(run, RESULT_SCHEMA)
+    # keys and carried columns travel as text: a null among numbers would make them floats
+    texts = T.StructType([T.StructField(f.name, f.dataType if f.name in ("success",) else T.StringType()) for f in schema.fields])
+    return df.mapInPandas(run, texts).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def stub_responder(prompt: str) -> str:

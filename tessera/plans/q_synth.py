@@ -3,10 +3,14 @@ and the responder hook (G6)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessera.operators import generation as GN
 from tessera.operators import questions as QS
 from tessera.operators import synth as SY
+from tessera.session import ensure_checkpoint_dir
 from tessera.sources import tables as S
 
 QUERIES = {}
@@ -105,3 +109,38 @@ SELECT id AS request_index, c NOT IN ('0', '1') AS success,
        CASE WHEN c NOT IN ('0', '1') THEN length('A short answer about: ' || prompt) END::BIGINT AS n_chars
 FROM d
 """)(responder_stub)
+
+
+# --- G6 + K3 + A3: a run that stops after its second step and is started again ----------------
+class Stopped(Exception):
+    pass
+
+
+def generation_resumed(spark, sf_dir):
+    """Progress of all batches after the second start."""
+    path = f"{ensure_checkpoint_dir(spark)}/generation-{uuid.uuid4().hex}"
+    prompts = SY.synthesize_prompts(_ids(spark, sf_dir), "id", SEED, BATCH)
+    every = max(1, prompts.agg(F.max("batch_id")).first()[0] // 4)
+    steps = []
+
+    def stop(manifest):
+        steps.append(manifest)
+        if len(steps) == 2:
+            raise Stopped
+
+    try:
+        GN.generate(prompts, SY.stub_responder, path, every=every, after_step=stop, parallelism=8, concurrency=4)
+    except Stopped:
+        pass
+    GN.generate(prompts, SY.stub_responder, path, every=every, parallelism=8, concurrency=4)
+    return GN.progress(spark, path)
+
+
+register("generation_resumed", f"""
+WITH p AS ({SQL_PROMPTS}),
+b AS (SELECT batch_id, count(*) FILTER (substr(md5(prompt), 1, 1) NOT IN ('0', '1'))::BIGINT AS succeeded,
+             count(*) FILTER (substr(md5(prompt), 1, 1) IN ('0', '1'))::BIGINT AS failed FROM p GROUP BY batch_id)
+SELECT batch_id, succeeded, failed, sum(succeeded) OVER w::BIGINT AS total_succeeded, sum(failed) OVER w::BIGINT AS total_failed,
+       sum(succeeded) OVER w * 100.0 / (sum(succeeded) OVER w + sum(failed) OVER w) AS success_rate
+FROM b WINDOW w AS (ORDER BY batch_id ROWS UNBOUNDED PRECEDING)
+""")(generation_resumed)
