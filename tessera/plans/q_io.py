@@ -12,6 +12,7 @@ from tessera.operators import render as RD
 from tessera.plans import sqlfrag as Q
 from tessera.plans.q_text import SQL_RAW
 from tessera.session import ensure_checkpoint_dir
+from tessera.sources import json_array as JA
 from tessera.sources import readers as RS
 from tessera.sources import sinks as SK
 from tessera.sources import tables as S
@@ -73,3 +74,16 @@ register("ingest_incremental", f"""
 SELECT min(doc_id) AS id, md5(t) AS digest FROM (SELECT doc_id, {Q.strip('text')} AS t FROM documents
   WHERE text IS NOT NULL AND text <> '' AND length({Q.strip('text')}) > 100) GROUP BY md5(t)
 """)(ingest_incremental)
+
+
+def raw_array_roundtrip(spark, sf_dir):
+    """Raw results as JSON array files, read back in small byte ranges."""
+    path = _scratch(spark, "raw")
+    JA.write_array(S.raw_result_rows(spark, sf_dir).repartition(4), path)
+    back = JA.read_array(spark, path, RS.RAW_SCHEMA, split_bytes=20_000)
+    return back.select("request_index", "success", "error", F.md5("prompt").alias("prompt"), F.md5("response").alias("response"), F.col("_error").alias("reason"))
+
+
+register("raw_array_roundtrip", f"""
+SELECT request_index, success, error, md5(prompt) AS prompt, md5(response) AS response, NULL::VARCHAR AS reason FROM ({SQL_RAW})
+""")(raw_array_roundtrip)

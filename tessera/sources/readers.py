@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import universal_newlines
+from tessera.sources.json_array import SPLIT, read_array
 
 PAIR_SCHEMA = T.StructType([
     T.StructField("data", T.ArrayType(T.StringType())),
@@ -68,17 +69,22 @@ def read_table(spark: SparkSession, path: str, split: str = "train", optional: b
     return df.select(*columns) if columns else df
 
 
-def read_pairs(spark: SparkSession, paths, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """S4 + V2: generated pairs; a file is either one JSON array
-    (``multiline=True``) or JSON Lines.  Returns ``(valid, rejected)``:
+def read_pairs(spark: SparkSession, paths, multiline: bool = True, split_bytes: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """S4 + V2: generated pairs; a file is either one JSON array of any size
+    (``multiline=True``; read in byte ranges) or JSON Lines.  Returns ``(valid, rejected)``:
     valid rows hold exactly two messages; the rest are kept aside with their
-    reason instead of being dropped silently."""
-    df = spark.read.schema(PAIR_SCHEMA).option("multiLine", multiline).json(paths)
-    df = df.withColumn("_file", F.col("_metadata.file_path"))
+    reason (and their text, where they don't parse) instead of being dropped silently."""
+    if multiline:
+        df = read_array(spark, paths, PAIR_SCHEMA, split_bytes).withColumn("_broken", F.col("_error"))
+    else:
+        whole = T.StructType([*PAIR_SCHEMA.fields, T.StructField("_record", T.StringType())])
+        df = spark.read.schema(whole).option("columnNameOfCorruptRecord", "_record").json(paths)
+        df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
+            "_broken", F.when(F.col("_record").isNotNull(), "not a record of the schema"))
     ok = F.coalesce(F.size("data") == 2, F.lit(False))
-    reason = F.when(F.col("data").isNull(), "missing data").when(~ok, "not two messages")
-    tagged = df.withColumn("reject_reason", reason)
-    return tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"), tagged.where(
+    reason = F.coalesce("_broken", F.when(F.col("data").isNull(), "missing data").when(~ok, "not two messages"))
+    tagged = df.select("data", "metadata", "_file", F.when(F.col("_broken").isNotNull(), F.col("_record")).alias("_record"), reason.alias("reject_reason"))
+    return tagged.where(F.col("reject_reason").isNull()).drop("reject_reason", "_record"), tagged.where(
         F.col("reject_reason").isNotNull())
 
 
@@ -101,7 +107,7 @@ def read_generated(spark: SparkSession, data_file: str, multiline: bool = True)
     if found is None:
         raise SourceMissing(f"no generated data; tried {candidates}")
     if found.endswith("_raw.json"):
-        raw = spark.read.schema(RAW_SCHEMA).option("multiLine", multiline).json(found)
+        raw = read_array(spark, found, RAW_SCHEMA) if multiline else spark.read.schema(RAW_SCHEMA).json(found)
         valid = raw.where(F.col("success") & F.col("response").isNotNull()).select(
             F.array("prompt", "response").alias("data"))
     else:
