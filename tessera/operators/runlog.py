@@ -1,10 +1,12 @@
 """Training-log analytics (W1-W6) over a metrics table
 ``run_id, epoch, step, loss, grad_norm``.
 
-Amounts are averaged as wide decimals (12 decimal places), so results do not
-depend on summation order — the same on 1 or 1000 partitions, and equal to an
-SQL engine's.  Null, NaN and infinite amounts are left out of a mean; a mean
-of none is null.  A null run is a run of its own.
+Amounts of ordinary size (0, or 1e-9 up to 1e15) are summed as wide decimals (12
+places), so results do not depend on summation order — the same on 1 or 1000
+partitions, and equal to an SQL engine's.  All others are summed as doubles beside
+them: very large and very small amounts count, and a NaN or an infinity
+makes the mean NaN or infinite, since that is what a log is read for.  Null amounts are
+left out of a mean; a mean of none is null.  A null run is a run of its own.
 
 Skew: a single run may hold a large share of all steps.  The moving average
 therefore numbers the steps by a range-partitioned rank and runs its window
@@ -23,15 +25,16 @@ from tessera.operators.ordering import global_index
 BLOCK = 8192     # steps per block of the moving average
 
 
-def _exact(col: str) -> Column:
-    return F.col(col).try_cast("decimal(28,12)")
+SMALL, LARGE = 1e-9, 1e15
 
 
-def _mean(q: Column, over=None) -> Column:
-    total, n = F.sum(q), F.count(q)
-    if over is not None:
-        total, n = total.over(over), n.over(over)
-    return F.when(n > 0, total.cast("double") / n)
+def _mean(col: str, over=None) -> Column:
+    x = F.col(col).cast("double")
+    plain = (x == 0) | (F.abs(x) >= SMALL) & (F.abs(x) < LARGE)  # false for NaN, which exceeds all
+    sums = [F.sum(F.when(plain, x).try_cast("decimal(28,12)")), F.sum(F.when(~plain, x)), F.count(x)]
+    exact, rest, n = [s.over(over) for s in sums] if over is not None else sums
+    total = F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
+    return F.when(n > 0, total / n)
 
 
 def smooth(log: DataFrame, window: int = 50, run: str = "run_id", step: str = "step",
@@ -47,7 +50,7 @@ def smooth(log: DataFrame, window: int = 50, run: str = "run_id", step: str = "s
     home = F.when(place > size - window, F.array(block, block + 1)).otherwise(F.array(block))
     placed = idx.withColumn("_home", block).withColumn("_block", F.explode(home))
     w = Window.partitionBy("_block", run).orderBy("_i").rowsBetween(1 - window, 0)
-    means = placed.withColumn(out, _mean(_exact(value), w)).where(F.col("_block") == F.col("_home"))
+    means = placed.withColumn(out, _mean(value, w)).where(F.col("_block") == F.col("_home"))
     return means.drop("_i", "_home", "_block")
 
 
@@ -55,30 +58,33 @@ def epoch_means(log: DataFrame, run: str = "run_id", epoch: str = "epoch", loss:
                 grad: str = "grad_norm", val: str | None = "val_loss") -> DataFrame:
     """Per run and epoch, mean loss, mean gradient norm and (unless
     ``val`` is None) mean validation loss."""
-    means = [_mean(_exact(loss)).alias("mean_loss"), _mean(_exact(grad)).alias("mean_grad")]
+    means = [_mean(loss).alias("mean_loss"), _mean(grad).alias("mean_grad")]
     if val:
-        means.append(_mean(_exact(val)).alias("mean_val"))
+        means.append(_mean(val).alias("mean_val"))
     return log.groupBy(run, epoch).agg(*means, F.count(F.lit(1)).alias("steps"))
 
 
 def running_best(epochs: DataFrame, run: str = "run_id", epoch: str = "epoch",
                  val: str = "mean_val", out: str = "is_best") -> DataFrame:
     """An epoch is a new best when its validation loss is strictly below
-    every earlier epoch's of the run (the first epoch always is)."""
+    infinity and every earlier epoch's of the run.  An epoch without one (null
+    or NaN) never is a best and doesn't count as an earlier one."""
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    best_before = F.min(F.col(val)).over(w)
-    return epochs.withColumn(out, best_before.isNull() | (F.col(val) < best_before))
+    number = F.when(~F.isnan(val), F.col(val))
+    best_before = F.coalesce(F.min(number).over(w), F.lit(float("inf")))
+    return epochs.withColumn(out, F.coalesce(number < best_before, F.lit(False)))
 
 
 def patience(best: DataFrame, limit: int = 5, run: str = "run_id", epoch: str = "epoch",
              flag: str = "is_best") -> DataFrame:
-    """Epochs since the last best (``counter``), ``stop`` when it
-    reaches ``limit``, and ``trained`` = the epoch was reached before the
+    """Epochs since the last best, or since the start if there was none
+    (``counter``), ``stop`` when it reaches ``limit``, and ``trained`` = the epoch was reached before the
     first stop (gaps-and-islands over the per-epoch rows)."""
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
     g = best.withColumn("_grp", F.sum(F.col(flag).cast("int")).over(w))
-    g = g.withColumn("counter", (F.row_number().over(
-        Window.partitionBy(run, "_grp").orderBy(epoch)) - 1).cast("bigint"))
+    # the first epoch of an island is its best, except before the run's first best
+    g = g.withColumn("counter", (F.row_number().over(Window.partitionBy(run, "_grp").orderBy(epoch))
+                                 - F.when(F.col("_grp") > 0, 1).otherwise(0)).cast("bigint"))
     g = g.withColumn("stop", F.col("counter") >= limit)
     first_stop = F.min(F.when(F.col("stop"), F.col(epoch))).over(Window.partitionBy(run))
     return g.withColumn("trained", first_stop.isNull() | (F.col(epoch) <= first_stop)).drop("_grp")
@@ -97,7 +103,7 @@ def quick_val(log: DataFrame, batches: int = 10, run: str = "run_id", step: str
     a hot run contributes only k rows per map task."""
     w = Window.partitionBy(run).orderBy(step)
     first = log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= batches)
-    return first.groupBy(run).agg(_mean(_exact(loss)).alias("quick_loss"), F.count(F.lit(1)).alias("batches"))
+    return first.groupBy(run).agg(_mean(loss).alias("quick_loss"), F.count(F.lit(1)).alias("batches"))
 
 
 def events_as_log(events: DataFrame) -> DataFrame:

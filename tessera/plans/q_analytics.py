@@ -32,17 +32,36 @@ SELECT user_id AS run_id, date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT
        value / 1000.0 AS loss, json_extract(props, '$.k')::DOUBLE / 10.0 AS grad_norm,
        (value + json_extract(props, '$.k')::DOUBLE) / 1000.0 AS val_loss FROM events
 """
-SQL_EPOCHS = f"""
-SELECT run_id, epoch, sum(loss::DECIMAL(28,12))::DOUBLE / count(loss) AS mean_loss,
-       sum(grad_norm::DECIMAL(28,12))::DOUBLE / count(grad_norm) AS mean_grad,
-       sum(val_loss::DECIMAL(28,12))::DOUBLE / count(val_loss) AS mean_val, count(*) AS steps
-FROM ({SQL_LOG}) GROUP BY run_id, epoch
-"""
-SQL_BEST = f"""
-SELECT *, (b IS NULL OR mean_val < b) AS is_best FROM (
-  SELECT *, min(mean_val) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
-  FROM ({SQL_EPOCHS}))
-"""
+
+
+def _sql_mean(x: str, over: str = "") -> str:
+    """Amounts of ordinary size as decimals, the others (also NaN and infinities) as doubles."""
+    plain = f"({x} = 0 OR abs({x}) >= 1e-9 AND abs({x}) < 1e15)"
+    return (f"CASE WHEN count({x}) {over} > 0 THEN (coalesce((sum(CASE WHEN {plain} THEN {x}::DECIMAL(28,12) END) {over})::DOUBLE, 0)"
+            f" + coalesce(sum(CASE WHEN NOT {plain} THEN {x} END) {over}, 0)) / count({x}) {over} END")
+
+
+def _sql_epochs(log: str) -> str:
+    return f"""SELECT run_id, epoch, {_sql_mean('loss')} AS mean_loss, {_sql_mean('grad_norm')} AS mean_grad,
+       {_sql_mean('val_loss')} AS mean_val, count(*) AS steps FROM ({log}) GROUP BY run_id, epoch"""
+
+
+def _sql_best(log: str) -> str:
+    return f"""SELECT *, coalesce(v < coalesce(b, 'inf'::DOUBLE), false) AS is_best FROM (
+  SELECT *, min(v) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+  FROM (SELECT *, CASE WHEN NOT isnan(mean_val) THEN mean_val END AS v FROM ({_sql_epochs(log)})))"""
+
+
+def _sql_patience(log: str) -> str:
+    return f"""SELECT run_id, epoch, counter, stop, (fs IS NULL OR epoch <= fs) AS trained, mean_val, is_best FROM (
+  SELECT *, min(CASE WHEN stop THEN epoch END) OVER (PARTITION BY run_id) AS fs FROM (
+    SELECT *, counter >= 5 AS stop FROM (
+      SELECT *, (row_number() OVER (PARTITION BY run_id, grp ORDER BY epoch) - CASE WHEN grp > 0 THEN 1 ELSE 0 END)::BIGINT AS counter FROM (
+        SELECT *, sum(is_best::INT) OVER (PARTITION BY run_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS grp
+        FROM ({_sql_best(log)})))))"""
+
+
+SQL_EPOCHS, SQL_BEST = _sql_epochs(SQL_LOG), _sql_best(SQL_LOG)
 
 
 # --- W1 ---------------------------------------------------------------------------
@@ -51,7 +70,7 @@ def smoothed_loss(spark, sf_dir):
 
 
 register("smoothed_loss", f"""
-SELECT run_id, step, (sum(loss::DECIMAL(28,12)) OVER w)::DOUBLE / count(loss) OVER w AS smoothed
+SELECT run_id, step, {_sql_mean('loss', 'OVER w')} AS smoothed
 FROM ({SQL_LOG}) WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
 """)(smoothed_loss)
 
@@ -78,14 +97,7 @@ def patience(spark, sf_dir):
     return RL.patience(b, 5).select("run_id", "epoch", "counter", "stop", "trained")
 
 
-register("patience", f"""
-SELECT run_id, epoch, counter, stop, (fs IS NULL OR epoch <= fs) AS trained FROM (
-  SELECT *, min(CASE WHEN stop THEN epoch END) OVER (PARTITION BY run_id) AS fs FROM (
-    SELECT *, counter >= 5 AS stop FROM (
-      SELECT *, (row_number() OVER (PARTITION BY run_id, grp ORDER BY epoch) - 1)::BIGINT AS counter FROM (
-        SELECT *, sum(is_best::INT) OVER (PARTITION BY run_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS grp
-        FROM ({SQL_BEST})))))
-""")(patience)
+register("patience", f"SELECT run_id, epoch, counter, stop, trained FROM ({_sql_patience(SQL_LOG)})")(patience)
 
 
 # --- W5 ---------------------------------------------------------------------------
@@ -110,12 +122,74 @@ def quick_val(spark, sf_dir):
 
 
 register("quick_val", f"""
-SELECT run_id, sum(val_loss::DECIMAL(28,12))::DOUBLE / count(val_loss) AS quick_loss, count(*) AS batches FROM (
+SELECT run_id, {_sql_mean('val_loss')} AS quick_loss, count(*) AS batches FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn FROM ({SQL_LOG})) WHERE rn <= 10
 GROUP BY run_id
 """)(quick_val)
 
 
+# --- W1-W4, W6 over a log with diverged, huge and tiny amounts ---------------------------
+ODD = {1: "nan", 2: "inf", 3: "-inf", 4: "1e17", 5: "1e-13", 6: None}   # by step % 61
+
+
+def _odd_log(spark, sf_dir):
+    log, spot = _log(spark, sf_dir), F.pmod("step", F.lit(61))
+
+    def odd(c):
+        out = F.col(c)
+        for k, v in ODD.items():
+            out = F.when((spot == k) & (F.col("run_id") % 3 == k % 3), F.lit(v).cast("double")).otherwise(out)
+        return out.alias(c)
+    return log.select("run_id", "epoch", "step", odd("loss"), odd("grad_norm"), odd("val_loss"))
+
+
+def _sql_odd(c: str) -> str:
+    cases = " ".join(f"WHEN step % 61 = {k} AND run_id % 3 = {k % 3} THEN {'NULL' if v is None else repr(v) + '::DOUBLE'}" for k, v in ODD.items())
+    return f"CASE {cases} ELSE {c} END AS {c}"
+
+
+SQL_ODD = f"SELECT run_id, epoch, step, {', '.join(map(_sql_odd, ('loss', 'grad_norm', 'val_loss')))} FROM ({SQL_LOG})"
+
+
+def epochs_diverged(spark, sf_dir):
+    """Means as text: NaN and infinities compare alike in every engine."""
+    p = RL.patience(RL.running_best(RL.epoch_means(_odd_log(spark, sf_dir))), 5)
+    return p.select("run_id", "epoch", *[_shown(F.col(c)).alias(c) for c in ("mean_loss", "mean_grad", "mean_val")], "is_best", "counter", "stop", "trained")
+
+
+def quick_val_diverged(spark, sf_dir):
+    return RL.quick_val(_odd_log(spark, sf_dir), 10).select("run_id", _shown(F.col("quick_loss")).alias("quick_loss"), "batches")
+
+
+def smoothed_diverged(spark, sf_dir):
+    return RL.smooth(_odd_log(spark, sf_dir), 50).select("run_id", "step", _shown(F.col("smoothed")).alias("smoothed"))
+
+
+def _shown(c):
+    return (F.when(c.isNull(), "null").when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+            .otherwise(F.format_string("%.9e", c)))
+
+
+def _sql_shown(c: str, name: str) -> str:
+    return (f"CASE WHEN {c} IS NULL THEN 'null' WHEN isnan({c}) THEN 'nan' WHEN {c} = 'inf'::DOUBLE THEN 'inf'"
+            f" WHEN {c} = '-inf'::DOUBLE THEN '-inf' ELSE printf('%.9e', {c}) END AS {name}")
+
+
+register("smoothed_diverged", f"""
+SELECT run_id, step, {_sql_shown('m', 'smoothed')} FROM (SELECT run_id, step, {_sql_mean('loss', 'OVER w')} AS m
+FROM ({SQL_ODD}) WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+""")(smoothed_diverged)
+register("epochs_diverged", f"""
+SELECT p.run_id, p.epoch, {_sql_shown('e.mean_loss', 'mean_loss')}, {_sql_shown('e.mean_grad', 'mean_grad')},
+       {_sql_shown('p.mean_val', 'mean_val')}, is_best, counter, stop, trained
+FROM ({_sql_patience(SQL_ODD)}) p JOIN ({_sql_epochs(SQL_ODD)}) e ON p.run_id = e.run_id AND p.epoch = e.epoch
+""")(epochs_diverged)
+register("quick_val_diverged", f"""
+SELECT run_id, {_sql_shown('m', 'quick_loss')}, batches FROM (SELECT run_id, {_sql_mean('val_loss')} AS m, count(*) AS batches FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn FROM ({SQL_ODD})) WHERE rn <= 10 GROUP BY run_id)
+""")(quick_val_diverged)
+
+
 # --- W7-W13: candidates from next-piece counts over documents -------------------------
 SEED = 42
 
