@@ -17,10 +17,10 @@ def union_sources(parts: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def mix(df: DataFrame, value: str = "tokens", out: str = "pct", digits: int | None = None) -> DataFrame:
     """A2: share of each row in percent (rounded only when ``digits`` is
-    given, for display).  The window runs over the already aggregated
+    given, for display; null where all are 0).  The window runs over the already aggregated
     per-source rows (a handful), never over documents."""
     total = F.sum(F.col(value)).over(Window.partitionBy(F.lit(0)))
-    pct = (F.col(value) * 100.0 / total).cast("double")
+    pct = F.try_divide(F.col(value) * 100.0, total).cast("double")
     return df.withColumn(out, pct if digits is None else F.round(pct, digits))
 
 

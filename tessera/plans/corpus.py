@@ -88,23 +88,26 @@ def stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ended.alias("part"), "eos")
 
 
-def counted_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
-    """Units in stream order: ``*UNIT_ORDER, source, pcs, n, offset, row``.
-    ``pcs`` ends with a null piece where the unit ends with an end-of-text id, ``n`` is its size:
-    offsets need no ids.  One shuffle by range, one regex pass, written once as a table, so that
-    counts read only the columns of counts."""
+def counted(units: DataFrame) -> DataFrame:
+    """Units (``*UNIT_ORDER, source, part, eos``) in stream order: ``*UNIT_ORDER, source, pcs, n,
+    offset, row``.  ``pcs`` ends with a null piece where the unit ends with an
+    end-of-text id, ``n`` is its size: offsets need no ids.  One shuffle by range, one regex pass,
+    written once as a table, so that counts read only the columns of counts."""
     from tessera.functions.text import pieces
     from tessera.operators.ordering import ranged, running_sum
     from tessera.operators.tokens import with_end
     from tessera.session import cut_table
-    units = ranged(units if units is not None else stream_units(spark, sf_dir), UNIT_ORDER)
-    counted = units.select(*UNIT_ORDER, "source", with_end(pieces(F.col("part")), F.col("eos")).alias("pcs"))
-    return running_sum(counted.withColumn("n", F.size("pcs").cast("bigint")), "n", "offset", row="row", store=cut_table)
+    rows = ranged(units, UNIT_ORDER).select(*UNIT_ORDER, "source", with_end(pieces(F.col("part")), F.col("eos")).alias("pcs"))
+    return running_sum(rows.withColumn("n", F.size("pcs").cast("bigint")), "n", "offset", row="row", store=cut_table)
+
+
+def counted_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
+    return counted(units if units is not None else stream_units(spark, sf_dir))
 
 
-def stream_totals(counted: DataFrame, frac: float = TRAIN_SPLIT) -> dict[str, int]:
+def stream_totals(rows: DataFrame, frac: float = TRAIN_SPLIT) -> dict[str, int]:
     """The stream's length per split, from piece counts."""
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cut = int(total * frac)
     return {"train": cut, "val": total - cut}
 
@@ -112,28 +115,32 @@ def stream_totals(counted: DataFrame, frac: float = TRAIN_SPLIT) -> dict[str, in
 def encoded_stream(spark: SparkSession, sf_dir: str, units: DataFrame | None = None):
     """``(vocab, encoded, eos_id)``: encoded units carry ``source``, ``offset`` and ``ids``."""
     from tessera.operators.tokens import build_vocab, encode
-    counted = counted_stream(spark, sf_dir, units)
-    vocab = build_vocab(counted, pieces_col="pcs")
+    rows = counted_stream(spark, sf_dir, units)
+    vocab = build_vocab(rows, pieces_col="pcs")
     eos_id = vocab.count()
-    enc = encode(counted, vocab, UNIT_ORDER, eos_id=eos_id, carry=["source", "offset"],
+    enc = encode(rows, vocab, UNIT_ORDER, eos_id=eos_id, carry=["source", "offset"],
                  pieces_col="pcs", vocab_rows=eos_id, row="row")
     return vocab, enc, eos_id
 
 
-def stream_runs(spark: SparkSession, sf_dir: str, size: int, halo: int = 0, frac: float = TRAIN_SPLIT):
-    """``(runs, totals, eos_id)``: the ids of every run of ``size`` (and ``halo`` of the
-    next) of each split as ``split, seq, ids``, the last run of a split being what is left."""
+def runs_of(rows: DataFrame, size: int, halo: int = 0, frac: float = TRAIN_SPLIT):
+    """``(runs, totals, eos_id)`` of ``counted`` units: the ids of every run of ``size`` (and
+    ``halo`` of the next) of each split as ``split, seq, ids``, the last run of a split
+    being what is left."""
     from tessera.operators.packing import fragments, split_stream
     from tessera.operators.tokens import build_vocab, encode_fragments
-    counted = counted_stream(spark, sf_dir)
-    vocab = build_vocab(counted, pieces_col="pcs")
+    vocab = build_vocab(rows, pieces_col="pcs")
     eos_id = vocab.count()
-    totals = stream_totals(counted, frac)
-    parts = split_stream(counted.select("offset", "pcs"), frac, sum(totals.values()), ids="pcs")
+    totals = stream_totals(rows, frac)
+    parts = split_stream(rows.select("offset", "pcs"), frac, sum(totals.values()), ids="pcs")
     runs = encode_fragments(fragments(parts, size, halo), vocab, ["split", "seq"], "slot", "pcs", eos_id, vocab_rows=eos_id)
     return runs, totals, eos_id
 
 
+def stream_runs(spark: SparkSession, sf_dir: str, size: int, halo: int = 0, frac: float = TRAIN_SPLIT):
+    return runs_of(counted_stream(spark, sf_dir), size, halo, frac)
+
+
 def stream_parts(spark: SparkSession, sf_dir: str, frac: float = TRAIN_SPLIT):
     """``(off, parts, totals, eos_id)``: encoded units with offsets, their
     train/validation parts, the stream length per split, the end-of-text id."""

@@ -9,8 +9,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.operators import render as RD
+from tessera.plans import corpus as C
+from tessera.plans import prepare as PR
 from tessera.plans import sqlfrag as Q
+from tessera.plans.q_corpus import SQL_ARTICLES, SQL_BOOKS, SQL_CHATS, SQL_PAIRS
 from tessera.plans.q_text import SQL_RAW
+from tessera.plans.q_tokens import SQL_STREAM_CTES
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources import json_array as JA
 from tessera.sources import readers as RS
@@ -87,3 +91,38 @@ def raw_array_roundtrip(spark, sf_dir):
 register("raw_array_roundtrip", f"""
 SELECT request_index, success, error, md5(prompt) AS prompt, md5(response) AS response, NULL::VARCHAR AS reason FROM ({SQL_RAW})
 """)(raw_array_roundtrip)
+
+
+# --- the whole preparation over files ------------------------------------------------------
+def prepared_report(spark, sf_dir):
+    """The stand-in sources as files of each kind (and one that is missing), prepared."""
+    base = _scratch(spark, "prepare")
+    SK.write_text_files(S.book_rows(spark, sf_dir), f"{base}/books")
+    chats = S.chat_rows(spark, sf_dir).withColumnRenamed("conv_id", "id")
+    other = chats.withColumn("id", F.col("id") + 1_000_000).withColumn("split", F.lit("test"))
+    chats.withColumn("split", F.lit("train")).unionByName(other).write.partitionBy("split").parquet(f"{base}/chats")
+    JA.write_array(S.pair_rows(spark, sf_dir).select("data", "metadata"), f"{base}/pairs")
+    return PR.prepare(spark, [
+        PR.Source("book", path=f"{base}/books"), PR.Source("chat", path=f"{base}/chats"),
+        PR.Source("pair", path=f"{base}/pairs", options={"split_bytes": 100_000}),
+        PR.Source("article", rows=S.article_rows(spark, sf_dir)),
+        PR.Source("article", path=f"{base}/none", name="more articles")], f"{base}/out").withColumn("note", F.regexp_replace("note", ": .*", ""))
+
+
+register("prepared_report", f"""
+WITH {SQL_STREAM_CTES},
+o AS (SELECT source, n_ids, sum(n_ids) OVER (ORDER BY source_ord, okey, id, part_no ROWS UNBOUNDED PRECEDING) - n_ids AS off FROM enc),
+c AS (SELECT floor(sum(n_ids) * {C.TRAIN_SPLIT}::DOUBLE)::BIGINT AS cut FROM enc),
+t AS (SELECT source, sum(n_ids)::BIGINT AS tokens, sum(least(greatest(cut - off, 0), n_ids))::BIGINT AS train FROM o, c GROUP BY source),
+r AS (SELECT 'book' AS source, CASE WHEN {Q.clean_book('text')} <> '' THEN NULL ELSE 'empty' END AS reason FROM ({SQL_BOOKS})
+      UNION ALL SELECT 'chat', CASE WHEN len(data) >= 2 THEN NULL ELSE 'min_turns_2' END FROM ({SQL_CHATS})
+      UNION ALL SELECT 'pair', CASE WHEN len(data) <> 2 THEN 'exact_turns_2' WHEN NOT (length(prompt) >= 10 AND length(response) >= 10) THEN 'min_len_10'
+        WHEN coalesce({Q.unique_ratio_bad('response')}, false) THEN 'repetitive' END FROM ({SQL_PAIRS})
+      UNION ALL SELECT 'article', CASE WHEN text <> '' AND length({Q.strip('text')}) > 100 THEN NULL ELSE 'too_short' END FROM ({SQL_ARTICLES})),
+n AS (SELECT source, reason, count(*) AS k FROM r GROUP BY ALL),
+s AS (SELECT source, sum(k)::BIGINT AS rows_in, coalesce(sum(k) FILTER (reason IS NULL), 0)::BIGINT AS rows_kept,
+             coalesce(string_agg(reason || ': ' || k, ', ' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS rejected FROM n GROUP BY source)
+SELECT source, rows_in, rows_kept, rejected, NULL::VARCHAR AS note, tokens, train AS train_tokens, tokens - train AS val_tokens,
+       (tokens * 100.0 / sum(tokens) OVER ())::DOUBLE AS pct FROM s JOIN t USING (source)
+UNION ALL SELECT 'more articles', 0, 0, '', 'no such path', 0, 0, 0, 0.0
+""")(prepared_report)

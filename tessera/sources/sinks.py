@@ -62,3 +62,24 @@ def write_report(stats: DataFrame, path: str) -> None:
 def write_windows(windows: DataFrame, path: str, split: str = "split") -> None:
     """K7: packed windows as parquet, one directory per split."""
     windows.write.mode("overwrite").partitionBy(split).parquet(path)
+
+
+def write_text_files(rows: DataFrame, directory: str, name: str = "path", text: str = "text") -> None:
+    """One UTF-8 file per row, named by its ``name`` column, from the tasks that
+    hold the rows.  A file is put in place by a rename, so a repeated task replaces it whole."""
+    def run(batches):
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+        uri = "file://" + directory[5:] if directory.startswith("file:/") and not directory.startswith("file://") else directory
+        system, base = fs.FileSystem.from_uri(uri)
+        system.create_dir(base, recursive=True)
+        for frame in batches:
+            for n, t in zip(frame["_n"], frame["_t"]):
+                staged = f"{base}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(staged, compression=None) as f:
+                    f.write((t or "").encode())
+                system.move(staged, f"{base}/{n}")
+            yield pd.DataFrame({"n": [len(frame)]})
+    rows.select(F.col(name).alias("_n"), F.col(text).alias("_t")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
