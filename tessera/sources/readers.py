@@ -36,12 +36,11 @@ def read_books(spark: SparkSession, directory: str, pattern: str = "book*.txt")
     """One row per file, ``path`` (file name) and ``text`` read as UTF-8
     with CRLF / CR turned into LF (a BOM is kept).  Order by ``path``
     (string order: book10 sorts before book2).  Error when nothing matches."""
-    df = (spark.read.text(f"{directory}/{pattern}", wholetext=True)
-          .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("path"),
-                  universal_newlines(F.col("value")).alias("text")))
-    if df.isEmpty():
+    if not _exists(spark, f"{directory}/{pattern}"):
         raise SourceMissing(f"no {pattern} files in {directory}")
-    return df
+    return (spark.read.text(f"{directory}/{pattern}", wholetext=True)
+            .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("path"),
+                    universal_newlines(F.col("value")).alias("text")))
 
 
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -92,7 +91,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    return bool(fs.globStatus(p))  # a path or a pattern
 
 
 def read_generated(spark: SparkSession, data_file: str, multiline: bool = True) -> DataFrame:
