@@ -349,3 +349,40 @@ register("concat_turns", f"""
 SELECT conv_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (
   SELECT conv_id, string_agg(text, {Q.SEP} ORDER BY turn) AS t FROM conversations WHERE role <> 'system' GROUP BY conv_id)
 """)(concat_turns)
+
+
+# --- C11 in parts; C1-C10 over the lines of files ------------------------------------------
+PART = 500
+
+
+def concat_turn_parts(spark, sf_dir):
+    from tessera.operators.cleaning import concat_parts
+    c = concat_parts(S.chat_turns(spark, sf_dir), "conv_id", "turn", "text", "\n\n", PART)
+    return c.select("conv_id", "part_no", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def _sql_parts(key: str, t: str) -> str:
+    return (f"SELECT {key}, i // {PART} AS part_no, length(x)::BIGINT AS n_chars, md5(x) AS digest FROM ("
+            f"SELECT {key}, i, substr(t, (i + 1)::INT, {PART}) AS x FROM (SELECT *, unnest(range(0, greatest(length(t), 1), {PART})) AS i FROM ({t})))")
+
+
+register("concat_turn_parts", _sql_parts("conv_id", f"""SELECT conv_id, string_agg(text, {Q.SEP} ORDER BY turn) AS t
+FROM conversations WHERE role <> 'system' GROUP BY conv_id"""))(concat_turn_parts)
+
+
+def book_clean_lines(spark, sf_dir):
+    """All documents as files, cleaned line by line, shown in parts of equal length."""
+    import uuid
+
+    from tessera.operators.cleaning import clean_book_lines, concat_parts
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources.readers import read_book_lines
+    from tessera.sources.sinks import write_text_files
+    folder = f"{ensure_checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
+    write_text_files(S.book_rows(spark, sf_dir, None).select("path", _injected_book(F.col("text")).alias("text")), folder)
+    done = concat_parts(clean_book_lines(read_book_lines(spark, folder)), "path", "place", "text", "", PART)
+    return done.select("path", "part_no", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+register("book_clean_lines", _sql_parts("path", f"""SELECT * FROM (SELECT path, {Q.clean_book(_sql_injected_book("text"), "intended")} AS t
+FROM ({SQL_FILES})) WHERE t <> ''"""))(book_clean_lines)

@@ -43,6 +43,36 @@ def read_books(spark: SparkSession, directory: str, pattern: str = "book*.txt")
                     universal_newlines(F.col("value")).alias("text")))
 
 
+def _line_ends(frames):
+    """Whether each file ends with a line end."""
+    from pyarrow import fs
+    for frame in frames:
+        out = []
+        for path, size in zip(frame["file"], frame["size"]):
+            uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+            system, name = fs.FileSystem.from_uri(uri)
+            with system.open_input_file(name) as f:
+                f.seek(max(size - 1, 0))
+                out.append(f.read(1) in (b"\n", b"\r", b""))
+        yield frame[["file"]].assign(ended=out)
+
+
+def read_book_lines(spark: SparkSession, directory: str, pattern: str = "book*.txt") -> DataFrame:
+    """S1 by lines, for books larger than a value or a split: ``path, block, at, line``; (block, at)
+    orders a book.  Line ends of all three kinds; a text that ends with one has an empty last line, as in
+    the whole text.  (A byte order mark at the start isn't kept, other than by ``read_books``.)"""
+    if not _exists(spark, f"{directory}/{pattern}"):
+        raise SourceMissing(f"no {pattern} files in {directory}")
+    name = F.regexp_extract("file", r"([^/]+)$", 1).alias("path")
+    lines = spark.read.text(f"{directory}/{pattern}").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"))
+    files = spark.read.format("binaryFile").load(f"{directory}/{pattern}").select(F.col("path").alias("file"), F.col("length").alias("size"))
+    last = files.mapInPandas(_line_ends, "file string, ended boolean").where("ended").select(
+        "file", F.lit((1 << 63) - 1).alias("block"), F.lit(0).cast("long").alias("at"), F.lit("").alias("line"))
+    return lines.unionByName(last).select(name, "block", "at", "line")
+
+
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
