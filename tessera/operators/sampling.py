@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import global_index
@@ -68,10 +68,15 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42,
 
 def first_n(df: DataFrame, n: int, order: list[str] | str) -> DataFrame:
     """L2: the first ``n`` rows in ``order``, nulls first; columns of any
-    sortable type.  A range-partitioned rank over the whole order: no task
-    receives partitions x n rows, and the rule is the same at every size."""
+    sortable type.  A tree of two levels: every partition keeps its own first ``n``
+    (Spark's group limit, before any shuffle), groups of about sqrt(partitions)
+    partitions keep theirs, and those meet.  Only candidates are shuffled, no
+    task receives partitions x n rows, and the rule is the same at every size."""
     order = [order] if isinstance(order, str) else list(order)
-    return global_index(df, order, out="_r").where(F.col("_r") <= n).drop("_r")
+    groups = math.isqrt(max(df.rdd.getNumPartitions() - 1, 0)) + 1
+    w = Window.partitionBy("_b").orderBy(*order)
+    near = df.withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(groups))).withColumn("_r", F.row_number().over(w))
+    return near.where(F.col("_r") <= n).drop("_b", "_r").orderBy(*order).limit(n)
 
 
 def split_rows(df: DataFrame, frac: float, key: str, seed: int = 42,

@@ -15,6 +15,7 @@ from tessera.plans import sqlfrag as Q
 from tessera.plans.q_corpus import SQL_FILES, SQL_PAIRS
 from tessera.plans.q_tokens import SQL_POSITIONS, SQL_STREAM_CTES
 from tessera.plans.q_text import SQL_RAW
+from tessera.session import cut_table
 from tessera.sources import tables as S
 
 QUERIES = {}
@@ -55,6 +56,25 @@ FROM lx GROUP BY split, block
 """)(block_diagnostics)
 
 
+# --- A6 by sketches, rolled up ----------------------------------------------------------
+def unique_rollup(spark, sf_dir):
+    """Distinct ids per block, split and in total: the exact number and whether the estimate that was
+    rolled up from block sketches is within four standard errors of it."""
+    runs = cut_table(C.stream_runs(spark, sf_dir, BLOCK)[0])
+    est = ST.roll_up_unique(ST.unique_sketches(runs, ["split", "seq"]), ["split", "seq"])
+    exact = runs.select("split", "seq", F.explode("ids").alias("id")).rollup("split", "seq").agg(F.countDistinct("id").alias("exact"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("split", "seq")]
+    return est.alias("a").join(exact.alias("b"), same[0] & same[1]).select(
+        "a.split", F.col("a.seq").alias("block"), "n", "exact",
+        (F.abs(F.col("unique_ids") - F.col("exact")) <= F.col("exact") * (4 * 1.04 / 2 ** (ST.LG_K / 2))).alias("within"))
+
+
+register("unique_rollup", f"""WITH {SQL_STREAM_CTES}, {SQL_POSITIONS}
+SELECT split, (q // {BLOCK})::BIGINT AS block, count(*) AS n, count(DISTINCT vid) AS exact, true AS within FROM sp
+GROUP BY ROLLUP (split, q // {BLOCK})
+""")(unique_rollup)
+
+
 # --- A7 -----------------------------------------------------------------------------
 def shift_check(spark, sf_dir):
     return ST.shift_mismatches(C.packed(spark, sf_dir)[0])

@@ -59,3 +59,15 @@ def test_blocks_and_diagnostics(spark):
     assert [list(r.ids) for r in b] == [[1, 1, 2, 3], [3, 3, 9, 4]]
     d = block_diagnostics(P.blocks(parts, 4, {"train": 10}), 9).orderBy("block").collect()
     assert [(r.repetitions, r.eos, r.unique_ids) for r in d] == [(1, 0, 3), (1, 1, 3)]
+
+
+def test_unique_sketches_roll_up(spark):
+    """Estimates rolled up from block sketches against exact counts, overlapping blocks included."""
+    from tessera.operators import stats as ST
+    rows = [("train", 0, list(range(5000))), ("train", 1, list(range(4000, 9000)) * 2), ("val", 0, [7] * 100), ("val", 1, [])]
+    df = spark.createDataFrame(rows, "split string, seq long, ids array<long>")
+    got = {(r["split"], r["seq"]): (r["n"], r["unique_ids"]) for r in ST.roll_up_unique(ST.unique_sketches(df, ["split", "seq"]), ["split", "seq"]).collect()}
+    want = {("train", 0): (5000, 5000), ("train", 1): (10000, 5000), ("train", None): (15000, 9000), ("val", 0): (100, 1), ("val", None): (100, 1),
+            (None, None): (15100, 9000)}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == n and abs(got[k][1] - u) <= 4 * 1.04 / 2 ** (ST.LG_K / 2) * u for k, (n, u) in want.items())
