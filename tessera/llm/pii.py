@@ -19,6 +19,7 @@ are linear in the text length.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -33,6 +34,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _RUN = re.compile(r"[0-9]+")
+_DIGIT = re.compile("[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -52,7 +54,7 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DIGIT_WORD = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.IGNORECASE)
 _PLUS = re.compile(r"(?<!\w)plus\s{0,2}(?=[0-9])", re.IGNORECASE)
 _OPEN, _CLOSE = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
-_AT_MARK = rf"\s{{0,2}}{_OPEN}(?:at|@|arroba|ät|chez){_CLOSE}\s{{0,2}}"
+_AT_MARK = rf"\s{{0,2}}{_OPEN}(?:at|@|arroba|arobase|ät|chez){_CLOSE}\s{{0,2}}"
 _DOT_MARK = rf"\s{{0,2}}{_OPEN}(?:dot|\.|punkt|punto|point|period){_CLOSE}\s{{0,2}}"
 _DOT_WORD = r"\s{1,2}(?:dot|punkt|punto)\s{1,2}|[_-](?:dot|DOT)[_-]|\s{1,2}\.\s{1,2}|\s{1,2}\.|(?<=\w)\s{0,2}\{dot\}\s{0,2}"
 _AT_WORD = r"\s{1,2}(?:at|arroba)\s{1,2}|[_-](?:at|AT)[_-]|\s{1,2}@\s{0,2}|@\s{1,2}"
@@ -65,12 +67,22 @@ _ADDRESS = re.compile(
     rf"(?:(?P<a1>{_AT_MARK})|(?P<a2>{_AT_WORD})|(?P<a3>@))"
     rf"(?P<host>{_LABEL}(?:(?:{_DOT_MARK}|{_DOT_WORD}|\.){_LABEL})+)", re.IGNORECASE)
 _DOTS = re.compile(rf"{_DOT_MARK}|{_DOT_WORD}", re.IGNORECASE)
+#: French: "point" is an everyday word, so it is a dot only behind an "arobase".
+_DOT_FRENCH = rf"{_DOT_MARK}|{_DOT_WORD}|\s{{1,2}}point\s{{1,2}}"
+_ADDRESS_FRENCH = re.compile(
+    rf"(?:(?P<a1>\s{{0,2}}{_OPEN}arobase{_CLOSE}\s{{0,2}})|(?P<a2>\s{{1,2}}arobase\s{{1,2}})|(?P<a3>(?!)))"
+    rf"(?P<host>{_LABEL}(?:(?:{_DOT_FRENCH}|\.){_LABEL})+)", re.IGNORECASE)
+_DOTS_FRENCH = re.compile(_DOT_FRENCH, re.IGNORECASE)
+#: Spelled or marked dots inside what stands before an ``at``, within ``LOOK_BACK`` characters.
+_NAME_DOT = rf"{_DOT_MARK}|\s{{1,2}}(?:dot|punkt|punto)\s{{1,2}}|[_-](?:dot|DOT)[_-]"
+_NAME_DOTS = re.compile(_NAME_DOT, re.IGNORECASE)
+LOOK_BACK = 200
 _NUMBER_DOTS = re.compile(rf"(?<=[0-9])(?:{_DOT_MARK}|{_DOT_WORD})(?=[0-9])", re.IGNORECASE)
 _FOREIGN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
-_MARKED = re.compile(r"[\[({<]\s{0,2}(?:at|@|arroba|ät|chez|dot|\.|punkt|punto|point|period)\s{0,2}[\])}>]"
+_MARKED = re.compile(r"[\[({<]\s{0,2}(?:at|@|arroba|arobase|ät|chez|dot|\.|punkt|punto|point|period)\s{0,2}[\])}>]"
                      r"|[_-](?:at|dot)[_-]|\s[@]|@\s", re.IGNORECASE)
 _NEXT = str.maketrans(",.;:_-()[]{}<>@+", " " * 16)
-_SPELLED_DOTS = frozenset(("dot", "punkt", "punto"))
+_SPELLED_DOTS = frozenset(("dot", "punkt", "punto", "arobase"))
 
 
 def hinted(text: str) -> bool:
@@ -80,7 +92,7 @@ def hinted(text: str) -> bool:
         return True
     words = text.lower().translate(_NEXT).split()
     if not _SPELLED_DOTS.isdisjoint(words):
-        return True
+        return True  # also "arobase"
     if DIGIT_WORDS.keys().isdisjoint(words):
         return False
     digits = [w in DIGIT_WORDS or w.isdigit() for w in words]
@@ -185,7 +197,8 @@ def spelled_digits(m: Mapped):
         words = [w.span() for w in _DIGIT_WORD.finditer(m.text, run.start(), run.end())]
         if not words:
             continue
-        units = sorted(words + [d.span() for d in re.compile("[0-9]").finditer(m.text, run.start(), run.end())])
+        units = sorted(words + [d.span() for d in _DIGIT.finditer(m.text, run.start(), run.end())])
+        words = set(words)
         for k, (a, b) in enumerate(units):
             nxt = units[k + 1] if k + 1 < len(units) else None
             gap = m.text[b:nxt[0]] if nxt else ""
@@ -196,18 +209,31 @@ def spelled_digits(m: Mapped):
     m.rewrite([(x.start(), x.end(), "+") for x in _PLUS.finditer(m.text)])
 
 
+def name_dots(text: str, low: int, end: int) -> list[tuple[int, int]]:
+    """The dots of the name that ends at ``end``: from there backwards, as long as
+    only name characters stand between one and the next."""
+    out = []
+    for d in reversed(list(_NAME_DOTS.finditer(text, low, end))):
+        between = text[d.end():out[-1][0] if out else end]
+        if not between or not _LOCAL.issuperset(between) or d.start() == low or text[d.start() - 1] not in _LOCAL:
+            break
+        out.append(d.span())
+    return out[::-1]
+
+
 def at_and_dot(m: Mapped):
-    edits, free = [], 0
-    for x in _ADDRESS.finditer(m.text):
-        if x.start() < free or not x.start() or m.text[x.start() - 1] not in _LOCAL:
-            continue
-        dots = list(_DOTS.finditer(m.text, x.start("host"), x.end("host")))
-        if x["a2"] and "@" not in x["a2"] and not dots or x["a3"] and not dots:
-            continue
-        at = x.span("a1" if x["a1"] else "a2" if x["a2"] else "a3")
-        edits += [(*at, "@"), *((d.start(), d.end(), ".") for d in dots)]
-        free = x.end()
-    m.rewrite(edits)
+    for address, dot in ((_ADDRESS_FRENCH, _DOTS_FRENCH), (_ADDRESS, _DOTS)):
+        edits, free = [], 0
+        for x in address.finditer(m.text):
+            if x.start() < free or not x.start() or m.text[x.start() - 1] not in _LOCAL:
+                continue
+            dots = list(dot.finditer(m.text, x.start("host"), x.end("host")))
+            if x["a2"] and "@" not in x["a2"] and not dots or x["a3"] and not dots:
+                continue
+            at, low = x.span("a1" if x["a1"] else "a2" if x["a2"] else "a3"), max(free, x.start() - LOOK_BACK)
+            edits += [*((a, b, ".") for a, b in name_dots(m.text, low, x.start())), (*at, "@"), *((d.start(), d.end(), ".") for d in dots)]
+            free = x.end()
+        m.rewrite(edits)
     m.rewrite([(x.start(), x.end(), ".") for x in _NUMBER_DOTS.finditer(m.text)])
 
 
@@ -222,11 +248,15 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     spelled_digits(m)  # digits around what was a spelled dot
     if m.text == text:
         return []
+    # base spans of a kind are in order and don't overlap: only the last one that begins before can cover
+    spans = [[(a, b) for a, b, z in base if z == k] for k in range(len(KINDS))]
     out = []
     for a, b, k in detect(m.text):
         s, e = m.start[a], m.end[b - 1]
-        if text[s:e] != m.text[a:b] and not any(x <= s and e <= y and k == z for x, y, z in base):
-            out.append((s, e, k))
+        if text[s:e] != m.text[a:b]:
+            j = bisect.bisect_right(spans[k], (s, len(text))) - 1
+            if j < 0 or spans[k][j][1] < e:
+                out.append((s, e, k))
     return out
 
 

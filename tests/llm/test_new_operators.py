@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import conv_repair, hard_negatives, queries, warc
+from tessera.llm import conv_repair, decontam, hard_negatives, pii, queries, warc
 from tessera.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
@@ -340,3 +340,60 @@ def test_warc_foreign_archives(spark, archive, tmp_path):
     (tmp_path / "d.warc").write_bytes(plain[:-30])
     with pytest.raises(Exception, match="ends early"):
         warc.read(spark, str(tmp_path)).collect()
+
+
+# --- private data and leaks: long texts, languages, kinds of edits ----------------------
+@pytest.mark.parametrize("text, span", [
+    ("ok jean arobase exemple point fr ok", "jean arobase exemple point fr"), ("à jean [arobase] exemple [point] fr", "jean [arobase] exemple [point] fr"),
+    ("mail john dot doe at example dot com now", "john dot doe at example dot com"), ("x j_dot_d[at]example[dot]org", "j_dot_d[at]example[dot]org"),
+    ("an hans punkt meier at beispiel punkt de", "hans punkt meier at beispiel punkt de"), ("a juan arroba ejemplo punto es", "juan arroba ejemplo punto es")])
+def test_disguised_addresses_by_language(text, span):
+    assert [(text[a:b], k) for a, b, k in pii.disguised(text, [])] == [(span, 0)]
+
+
+def test_everyday_words_are_no_addresses():
+    for t in ["meet at this point in time", "un point important", "le point de vue dot", "arobase", "the dot. Call john at home", "at point fr"]:
+        assert pii.disguised(t, []) == []
+
+
+@pytest.mark.parametrize("unit", ["one ", "one two 3 ", "john at example dot com ", "a.b@c.de j[at]k[dot]l ", "x dot at ", "a@", " dot at", "one-",
+                                  "x_dot_" * 20 + "y" * 70 + "[at]b[dot]c ", "é" + "_dot_" * 40 + "[at]b[dot]c ", "jean arobase exemple point fr "])
+def test_private_data_in_linear_time(unit):
+    """Twenty times the text takes no more than some forty times the time (a square would take 400 times)."""
+    import time
+    took = []
+    for n in (20_000, 400_000):
+        t = (unit * (n // len(unit) + 1))[:n]
+        start = time.process_time()
+        pii.disguised(t, pii.detect(t))
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_ten_megabytes_of_disguises(spark):
+    rows = [(0, "one " * 2_500_000), (1, "john at example dot com " * 420_000), (2, "a.b@c.de j[at]k[dot]l " * 450_000)]
+    got = {r["doc_id"]: r["n_added"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_added").collect()}
+    assert got == {0: 0, 1: 420_000, 2: 450_000}
+
+
+@pytest.mark.parametrize("kind", ["replace", "delete", "insert", "mixed"])
+@pytest.mark.parametrize("rate", [0.05, 0.12, 0.199])
+def test_leak_recall_by_kind_of_edit(kind, rate):
+    r = random.Random(f"{kind}{rate}")
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(600)]
+
+    def some(n):
+        return [r.choice(vocabulary) for _ in range(n)]
+    items = [some(r.randint(5, 70)) for _ in range(400)]
+    index = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    texts = []
+    for item in items:
+        w = list(item)
+        for _ in range(int(rate * len(w))):
+            k, at = kind if kind != "mixed" else r.choice(["replace", "delete", "insert"]), r.randrange(len(w))
+            w[at:at + (k != "insert")] = [] if k == "delete" else some(1)
+        texts.append(" ".join(some(r.randint(0, 60)) + w + some(r.randint(0, 60))))
+    truth = {k for k, t in enumerate(texts) if decontam.edits(index.bits[k], len(items[k]), decontam.symbols(t, decontam.Hashes()).tolist())[0]
+             <= int(decontam.MAX_EDITS * len(items[k]))}
+    found = {a for a, b, *_ in index.hits(texts, decontam.Hashes()) if a == b}
+    assert len(truth) == len(items) and len(found) >= 0.9 * len(truth)
