@@ -8,8 +8,10 @@ id = rank - 1; the end-of-text id is the vocabulary size.  Pre-tokenization
 Scale notes
 * Vocabulary: ``groupBy(piece)`` with map-side partial counts, then a
   distributed rank (``ordering.global_index``), never a one-task window.
-* Encode: pieces are exploded per row and joined to the vocabulary.  The
-  vocabulary is broadcast only when its *counted* size is within
+* Encode: a vocabulary of a counted ``IN_PLACE_MAX_PIECES`` or less is sent to the
+  tasks, and rows become ids where they are (Arrow batches, distinct pieces looked up once):
+  no explode, join or shuffle.  Above that pieces are exploded per row and joined to the vocabulary, which
+  is broadcast only when its *counted* size is within
   ``broadcast_max``; above that its most frequent entries are broadcast and only
   rare pieces go through a shuffle join.  Rows are told apart by a stored row
   number, never by the caller's key.  The regroup is pre-aggregated map-side,
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import pieces
 from tessera.operators.ordering import global_index
@@ -29,6 +32,7 @@ from tessera.session import cut_lineage
 
 END_OF_TEXT = "<|endoftext|>"          # fixed value: text of the end-of-text id
 BROADCAST_MAX_PIECES = 2_000_000       # vocabulary rows that may be broadcast
+IN_PLACE_MAX_PIECES = 500_000          # vocabulary rows that Python tasks may hold
 MAX_PIECES = (1 << 32) - 2
 UNKNOWN = "\ufffd"
 ROW = "_row"
@@ -112,6 +116,32 @@ def _ids_of(ex: DataFrame, vocab: DataFrame, keys: list[str], carry: list[str],
     return j.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry], _unpacked(F.collect_list(item)).alias(out))
 
 
+def ids_in_place(df: DataFrame, vocab: DataFrame, pcs: str, out: str, eos_id: int | None = None) -> DataFrame:
+    """``pcs`` of every row replaced by its ids ``out``, where the rows are: no join, no shuffle.  The
+    vocabulary (at most ``IN_PLACE_MAX_PIECES``, counted by the caller) is broadcast to the tasks; per Arrow
+    batch only the distinct pieces are looked up."""
+    table = {r["piece"]: r["id"] for r in vocab.select("piece", "id").collect()}
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    end = -1 if eos_id is None else eos_id
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        known = shared.value
+        for b in batches:
+            at = b.schema.get_field_index(pcs)
+            lists = b.column(at)
+            coded = lists.flatten().dictionary_encode()
+            places = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            of = np.array([known.get(p, -1) for p in coded.dictionary.to_pylist()] + [end], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(of[places], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != at), ids],
+                                             names=[*(n for k, n in enumerate(b.schema.names) if k != at), out])
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != pcs), T.StructField(out, T.ArrayType(T.LongType()))])
+    return df.mapInArrow(run, schema)
+
+
 def with_end(pieces_col: Column, ends: Column) -> Column:
     """Pieces with the end-of-text mark (a null piece) behind them where ``ends``."""
     return F.when(ends, F.concat(pieces_col, F.array(F.lit(None).cast("string")))).otherwise(pieces_col)
@@ -132,9 +162,15 @@ def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
     if eos_col and eos_col not in carry:
         carry.append(eos_col)
     kept = [*keys, *(c for c in carry if c not in keys)]
-    src, row = _row_numbered(df.select(*kept, *([row] if row else []), _pieces_of(df, text, pieces_col).alias("_pcs")), row)
-    ex = src.select(row, *kept, F.posexplode_outer("_pcs").alias("pos", "piece"))
-    g = _ids_of(ex, vocab, [row], [c for c in kept if c != row], eos_id if pieces_col else None, broadcast_max, vocab_rows, out)
+    mark = eos_id if pieces_col else None
+    vocab_rows = vocab.count() if vocab_rows is None else vocab_rows
+    if vocab_rows <= min(broadcast_max, IN_PLACE_MAX_PIECES):
+        src = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(kept)], _pieces_of(df, text, pieces_col).alias("_pcs"))
+        g = ids_in_place(src, vocab, "_pcs", "_ids", mark).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(kept)], F.col("_ids").alias(out))
+    else:
+        src, row = _row_numbered(df.select(*kept, *([row] if row else []), _pieces_of(df, text, pieces_col).alias("_pcs")), row)
+        ex = src.select(row, *kept, F.posexplode_outer("_pcs").alias("pos", "piece"))
+        g = _ids_of(ex, vocab, [row], [c for c in kept if c != row], mark, broadcast_max, vocab_rows, out)
     if eos_id is not None:
         tail = F.concat(F.col(out), F.array(F.lit(eos_id).cast("long")))
         g = g.withColumn(out, F.when(F.col(eos_col), tail).otherwise(F.col(out)) if eos_col else tail if not pieces_col else F.col(out))
@@ -146,6 +182,11 @@ def encode_fragments(fragments: DataFrame, vocab: DataFrame, keys: list[str], sl
     """``*keys, out``: the ids of all fragments of a key in the order of their
     places (``slot`` is the place of a fragment's first piece).  The pieces become ids and
     meet under their key in one shuffle."""
+    size = vocab.count() if vocab_rows is None else vocab_rows
+    if size <= min(broadcast_max, IN_PLACE_MAX_PIECES):
+        rows = ids_in_place(fragments.select(*keys, slot, pcs), vocab, pcs, "_ids", eos_id)
+        pieces_ = F.array_sort(F.collect_list(F.struct(F.col(slot).alias("s"), F.col("_ids").alias("i"))))
+        return rows.groupBy(*keys).agg(F.flatten(F.transform(pieces_, lambda x: x["i"])).alias(out))
     ex = fragments.select(*keys, slot, F.posexplode(pcs).alias("_at", "piece"))
     ex = ex.select(*keys, (F.col(slot) + F.col("_at")).alias("pos"), "piece")
     return _ids_of(ex, vocab, keys, [], eos_id, broadcast_max, vocab_rows, out)

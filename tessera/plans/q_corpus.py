@@ -29,6 +29,8 @@ SQL_BOOKS = ("SELECT format('book{}.txt', doc_id) AS path, doc_id, text FROM doc
 #: All documents as files.
 SQL_FILES = "SELECT format('book{}.txt', doc_id) AS path, doc_id, text FROM documents"
 SQL_ARTICLES = "SELECT doc_id AS id, text FROM documents WHERE NOT (n_chars > 10000) OR n_chars IS NULL"
+#: All documents as articles.
+SQL_ALL_ARTICLES = "SELECT doc_id AS id, text FROM documents"
 SQL_CHATS = ("SELECT conv_id, list(text ORDER BY turn) AS data FROM conversations "
              "WHERE role <> 'system' GROUP BY conv_id")
 SQL_PAIRS = """

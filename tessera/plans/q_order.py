@@ -8,7 +8,7 @@ from tessera.operators import questions as QS
 from tessera.operators import render as RD
 from tessera.operators import sampling as SM
 from tessera.plans import sqlfrag as Q
-from tessera.plans.q_corpus import SQL_ARTICLES, SQL_PAIRS, sql_pair_keep
+from tessera.plans.q_corpus import SQL_ALL_ARTICLES, SQL_PAIRS, sql_pair_keep
 from tessera.sources import tables as S
 
 QUERIES = {}
@@ -29,12 +29,12 @@ SEED = 42
 
 # --- L1: exact seeded sample of articles --------------------------------------
 def seeded_sample(spark, sf_dir):
-    a = S.article_rows(spark, sf_dir)
+    a = S.article_rows(spark, sf_dir, None)
     return SM.sample_exact(a, 300, "id", SEED).select("id")
 
 
 register("seeded_sample", f"""
-SELECT id FROM ({SQL_ARTICLES}) ORDER BY md5('{SEED}:' || id::VARCHAR), id LIMIT 300
+SELECT id FROM ({SQL_ALL_ARTICLES}) ORDER BY md5('{SEED}:' || id::VARCHAR), id LIMIT 300
 """)(seeded_sample)
 
 

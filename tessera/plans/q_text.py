@@ -10,7 +10,7 @@ from tessera.operators import render as RD
 from tessera.operators import rules as R
 from tessera.operators.cleaning import clean_text
 from tessera.plans import sqlfrag as Q
-from tessera.plans.q_corpus import SQL_ARTICLES, SQL_CHATS, SQL_FILES, SQL_PAIRS, sql_pair_keep
+from tessera.plans.q_corpus import SQL_ALL_ARTICLES, SQL_CHATS, SQL_FILES, SQL_PAIRS, sql_pair_keep
 from tessera.sources import tables as S
 
 QUERIES = {}
@@ -106,25 +106,25 @@ FROM documents
 
 # --- V6 + R3: articles, both paths ------------------------------------------
 def article_render(spark, sf_dir):
-    a = RD.render_article(S.article_rows(spark, sf_dir), end_marker=False)
+    a = RD.render_article(S.article_rows(spark, sf_dir, None), end_marker=False)
     return a.select("id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 register("article_render", f"""
 SELECT id, length(t)::BIGINT AS n_chars, md5(t) AS digest
-FROM (SELECT id, {Q.strip('text')} AS t FROM ({SQL_ARTICLES})
+FROM (SELECT id, {Q.strip('text')} AS t FROM ({SQL_ALL_ARTICLES})
       WHERE text IS NOT NULL AND text <> '' AND length({Q.strip('text')}) > 100)
 """)(article_render)
 
 
 def article_render_marked(spark, sf_dir):
-    a = RD.render_article(S.article_rows(spark, sf_dir), end_marker=True)
+    a = RD.render_article(S.article_rows(spark, sf_dir, None), end_marker=True)
     return a.select("id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 register("article_render_marked", f"""
 SELECT id, length(t)::BIGINT AS n_chars, md5(t) AS digest
-FROM (SELECT id, text || {Q.SEP} || '<|endofarticle|>' || {Q.SEP} AS t FROM ({SQL_ARTICLES})
+FROM (SELECT id, text || {Q.SEP} || '<|endofarticle|>' || {Q.SEP} AS t FROM ({SQL_ALL_ARTICLES})
       WHERE text IS NOT NULL AND text <> '' AND length({Q.strip('text')}) >= 100)
 """)(article_render_marked)
 

@@ -54,10 +54,12 @@ def book_rows(spark: SparkSession, sf_dir: str, min_chars: int | None = BOOK_MIN
         F.col("text"))
 
 
-def article_rows(spark: SparkSession, sf_dir: str, book_min_chars: int = BOOK_MIN_CHARS) -> DataFrame:
+def article_rows(spark: SparkSession, sf_dir: str, book_min_chars: int | None = BOOK_MIN_CHARS) -> DataFrame:
+    """Documents that aren't books (all, without ``book_min_chars``)."""
     docs = table(spark, sf_dir, "documents")
-    return docs.where(~(F.col("n_chars") > book_min_chars) | F.col("n_chars").isNull()).select(
-        F.col("doc_id").alias("id"), F.col("text"))
+    if book_min_chars is not None:
+        docs = docs.where(~(F.col("n_chars") > book_min_chars) | F.col("n_chars").isNull())
+    return docs.select(F.col("doc_id").alias("id"), F.col("text"))
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

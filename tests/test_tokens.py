@@ -18,7 +18,15 @@ def vocab(spark):
     return TK.build_vocab(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
 
 
-def test_encode_keeps_rows_of_repeated_and_null_keys_apart(spark, vocab):
+@pytest.fixture(params=["in place", "join"])
+def way(request, monkeypatch):
+    """Both plans: a small vocabulary in the tasks, a large one by a join."""
+    if request.param == "join":
+        monkeypatch.setattr(TK, "IN_PLACE_MAX_PIECES", 0)
+    return request.param
+
+
+def test_encode_keeps_rows_of_repeated_and_null_keys_apart(spark, vocab, way):
     rows = [(1, "a b"), (1, "c d"), (None, "a a a"), (None, "b a c"), (1, "a b"), (2, ""), (3, None)]
     df = spark.createDataFrame(rows, "id long, text string")
     enc = TK.encode(df, vocab, "id", eos_id=99)
@@ -47,7 +55,7 @@ def test_decode_keeps_unknown_ids_and_nulls(spark, vocab):
 
 
 @pytest.mark.parametrize("length", [3, 8, 64])
-def test_windows_from_pieces_equal_slices(spark, length):
+def test_windows_from_pieces_equal_slices(spark, length, way):
     r = random.Random(length)
     docs = [[r.choice("abcdefg") for _ in range(r.choice([0, 1, 2, 5, 40]))] + [None] for _ in range(30)]
     stream, rows = [], []
@@ -72,7 +80,7 @@ def test_windows_from_pieces_equal_slices(spark, length):
         (name, k // length, s[k:k + length]) for name, s in (("train", stream[:cut]), ("val", stream[cut:])) for k in range(0, len(s), length))
 
 
-def test_ids_cross_one_shuffle_to_their_window(spark):
+def test_ids_cross_one_shuffle_to_their_window(spark, way):
     from tessera.plans import corpus as C
     windows, _, _ = C.packed(spark, SF_SMALL, length=64)
     plan = windows._jdf.queryExecution().executedPlan().toString()
