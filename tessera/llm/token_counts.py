@@ -6,7 +6,10 @@
    many documents hold it, so no pre-token makes a hot key.
 2. The posting lists are shuffled by pre-token; the tokenizer sees every
    distinct pre-token of a partition once, and the join of that count with the
-   postings leaves one partial sum per document row.
+   postings leaves one partial sum per document row.  Long posting lists are
+   dealt by block as well, and short ones by stretches of scan tasks, so what
+   one task gets of a pre-token doesn't grow with the corpus; the count of such a pre-token is repeated
+   once per share.
 3. The partial sums meet per block and are added up.  Token ids are never
    built for a document.
 
@@ -35,6 +38,10 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 PLAIN = re.compile("[ɐ-\U0010ffff\x1c-\x1f\x85]")
 #: A block is closed once it holds this many (document, pre-token) pairs.
 BLOCK_PAIRS = 2_000_000
+#: Posting lists of this many entries are dealt by their block.
+LONG_POSTINGS = 64
+#: Shorter ones meet over this many scan tasks (a power of two as a shift).
+TASKS_SHIFT = 8
 FREQ_BITS = 11
 MAX_DOCS = 1 << (31 - FREQ_BITS)
 
@@ -217,7 +224,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     posts = src.mapInArrow(
         _postings(tokenizer_path),
         "piece string, block long, postings array<int>, ids array<long>, sizes array<long>")
-    part = posts.repartition("piece").sortWithinPartitions("piece").mapInArrow(
+    share = F.when(F.size("postings") >= LONG_POSTINGS, F.col("block")).otherwise(
+        -1 - F.shiftright(F.col("block"), 32 + TASKS_SHIFT))
+    part = posts.repartition(F.col("piece"), share).sortWithinPartitions("piece").mapInArrow(
         _count(tokenizer_path), "block long, sums array<int>, ids array<long>, sizes array<long>")
     out = part.repartition("block").sortWithinPartitions("block").mapInArrow(
         _total(pa.int64()), "id long, n_bytes long, n_tokens long")

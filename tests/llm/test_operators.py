@@ -271,6 +271,9 @@ def test_token_counts(spark, docs, empty, monkeypatch):
     want = sorted(((r["doc_id"], len((r["text"] or "").encode()), len(tok.encode(r["text"] or "", add_special_tokens=False).ids))
                    for r in docs.collect()), key=repr)
     assert collected(token_counts.count_tokens(docs, path)) == want
+    monkeypatch.setattr(token_counts, "LONG_POSTINGS", 2)  # every repeated pre-token is dealt by block
+    monkeypatch.setattr(token_counts, "TASKS_SHIFT", 0)
+    assert collected(token_counts.count_tokens(docs, path)) == want
     assert token_counts.count_tokens(empty, path).count() == 0
     cut = token_counts.PreTokens(path)
     chars = "".join(map(chr, range(0x20, 0x250))) + " \t\n\x85\xa0\x1c" * 9 + "aB1'sé"
