@@ -27,6 +27,7 @@ from tessera.session import cut_lineage
 
 
 ROW_BITS = 40           # a partition holds fewer rows than 2^40
+PLACE_BITS = 33         # fixed value: the low bits of monotonically_increasing_id
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
@@ -99,10 +100,18 @@ def prefix_sum(df: DataFrame, order: list[str], value, out="offset",
 
 def global_index(df: DataFrame, order: list[str], out: str = "idx",
                  partitions: int | None = None) -> DataFrame:
-    """1-based position of every row in ``order`` (a distributed row_number)."""
-    one = "_one"
-    res = prefix_sum(df.withColumn(one, F.lit(1)), order, one, "_off", partitions)
-    return res.withColumn(out, F.col("_off") + 1).drop("_off", one)
+    """1-based position of every row in ``order`` (a distributed row_number).
+    Positions need no running sum: in the checkpoint a row's partition and place
+    are fixed, and ``monotonically_increasing_id`` tells both, so no row passes
+    through Python."""
+    at, pid, base, n = "_at", "_pid", "_base", "_n"
+    held = cut_lineage(ranged(df, order, partitions)).withColumn(at, F.monotonically_increasing_id())
+    held = held.withColumn(pid, F.shiftright(at, PLACE_BITS))
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: a bounded table, broadcast by construction
+    bases = held.groupBy(pid).agg(F.count("*").alias(n)).select(pid, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    place = F.col(at).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return held.join(F.broadcast(bases), pid).select(*df.columns, (F.col(base) + place + 1).cast("bigint").alias(out))
 
 
 BROADCAST_MAX_ROWS = 1_000_000

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import global_index
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, cut_table
 
 TOP_K_DIRECT = 10_000       # candidates up to this many are cut with a plain top-k
 HASH_SPACE = float(1 << 60)
@@ -79,14 +79,50 @@ def first_n(df: DataFrame, n: int, order: list[str] | str) -> DataFrame:
     return near.where(F.col("_r") <= n).drop("_b", "_r").orderBy(*order).limit(n)
 
 
+def nth_hash(hashes: DataFrame, n: int) -> tuple[str, int]:
+    """The shortest found prefix of hex digits up to which (inclusive) there are ``n``
+    or more rows of ``_h``, and the number of rows with smaller prefixes of that length.
+
+    Descends through a histogram of 65,536 counts per four digits, so no row is
+    sorted or moved; it ends where the ``n``-th row is the last of its prefix."""
+    prefix, before = "", 0
+    for digits in (4, 8, 12, 32):
+        counts = hashes.where(F.col("_h").startswith(prefix)).groupBy(
+            F.substring("_h", 1, digits).alias("p")).agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+        got = counts.withColumn("upto", upto).where(F.col("upto") >= n - before).orderBy("p").first()
+        prefix = got["p"]
+        if before + got["upto"] == n:
+            return prefix, before + got["upto"] - got["c"]
+        before += got["upto"] - got["c"]
+    return prefix, before
+
+
 def split_rows(df: DataFrame, frac: float, key: str, seed: int = 42,
                out: str = "split") -> DataFrame:
     """Exact-size random split: rows ranked by ``md5(seed:key)``; the
-    first ``floor(frac * N)`` are ``train``, the rest ``val``."""
-    ranked = global_index(df.withColumn("_h", seeded_hash(key, seed)), ["_h", key], out="_r")
-    n = ranked.count()
-    cut = int(frac * n)
-    return ranked.withColumn(out, F.when(F.col("_r") <= cut, "train").otherwise("val")).drop("_h", "_r")
+    first ``floor(frac * N)`` are ``train``, the rest ``val``.
+
+    Only hashes are stored and counted; the rows themselves are split where they
+    are, by comparison with the hash at the boundary.  Rows that share the key at
+    the boundary (repeated or null keys) are numbered among themselves, if the
+    boundary falls between them.  ``df`` is read twice and must give the same keys."""
+    keyed = df.withColumn("_h", seeded_hash(key, seed))
+    hashes = cut_table(keyed.select("_h"))
+    total = hashes.count()
+    cut = int(frac * total)
+
+    def named(train: Column) -> Column:
+        return F.when(train, "train").otherwise("val").alias(out)
+    if not 0 < cut < total:
+        return df.select("*", named(F.lit(cut > 0)))
+    prefix, before = nth_hash(hashes, cut)
+    place = F.substring("_h", 1, len(prefix))
+    if len(prefix) < 32 or hashes.where(place == prefix).count() == cut - before:
+        return keyed.select(*df.columns, named(place <= prefix))
+    tied = global_index(keyed.where(place == prefix), [key], out="_r")
+    return keyed.where(place != prefix).select(*df.columns, named(place < prefix)).unionByName(
+        tied.select(*df.columns, named(F.col("_r") <= cut - before)))
 
 
 def shuffle_epoch(df: DataFrame, key: str, seed: int, epoch: int, out: str = "idx") -> DataFrame:

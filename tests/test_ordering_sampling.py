@@ -52,6 +52,50 @@ def test_split_rows_exact(spark):
     assert counts == {"train": int(0.9 * 101), "val": 101 - int(0.9 * 101)}
 
 
+def _ranked(keys, seed):
+    """Keys by ``(md5(seed:key), key)``, as the rule says it."""
+    return sorted(keys, key=lambda k: hashlib.md5((f"{seed}:{k}" if k is not None else str(seed)).encode()).hexdigest())
+
+
+@pytest.mark.parametrize("frac", [0.0, 0.003, 0.2, 0.5, 0.9, 0.999, 1.0])
+def test_split_rows_brute_force(spark, frac):
+    # a hot key holds a third of the rows, null keys another part
+    keys = [*range(300), *[7] * 200, *[None] * 100]
+    rows = [(k, f"row {i}") for i, k in enumerate(keys)]
+    for part in (keys, keys[:300]):
+        df = spark.createDataFrame(rows[:len(part)], "id long, x string").repartition(5)
+        got = SM.split_rows(df, frac, "id", 7).collect()
+        assert sorted(r.x for r in got) == sorted(x for _, x in rows[:len(part)])
+        train = [r.id for r in got if r.split == "train"]
+        assert sorted(train, key=str) == sorted(_ranked(part, 7)[:int(frac * len(part))], key=str)
+
+
+def test_split_rows_moves_no_rows(spark):
+    df = spark.createDataFrame([(i, "payload") for i in range(50)], "id long, x string")
+    plan = SM.split_rows(df, 0.5, "id", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_nth_hash_descends(spark):
+    same = "ab" * 6  # twelve digits alike: only the whole hash tells the rows apart
+    hashes = [same + f"{i:020x}" for i in range(40)] + ["00" * 16, "ff" * 16]
+    df = spark.createDataFrame([(h,) for h in hashes], "_h string")
+    for n in range(1, len(hashes) + 1):
+        prefix, before = SM.nth_hash(df, n)
+        assert sum(h[:len(prefix)] < prefix for h in hashes) == before
+        assert sum(h[:len(prefix)] <= prefix for h in hashes) == n
+
+
+def test_global_index_brute_force(spark):
+    rows = [(i * 37 % 101 if i % 5 else None, f"t{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x string")
+    for parts in (1, 7):
+        got = sorted(global_index(df, ["k", "x"], "n", parts).collect(), key=lambda r: r.n)
+        assert [r.n for r in got] == list(range(1, 401))
+        assert [(r.k, r.x) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert global_index(df.limit(0), ["k"], "n").count() == 0
+
+
 def test_shuffle_and_batches(spark):
     df = spark.createDataFrame([(i,) for i in range(20)], "id long")
     b = SM.with_batches(SM.shuffle_epoch(df, "id", 42, 1), 8)
