@@ -13,7 +13,7 @@ from tessera.operators import render as RD
 from tessera.operators import sampling as SM
 from tessera.operators.ordering import global_index
 from tessera.operators.tokens import build_vocab, encode
-from tessera.session import cut_lineage
+from tessera.session import cut_table
 from tessera.sources import tables as S
 
 VAL_SPLIT = 0.9      # fixed value: share of samples used for training
@@ -35,7 +35,7 @@ def samples(pairs: DataFrame, max_len: int | None = None, min_ids: int = 1) -> D
 
 def batches(spark: SparkSession, sf_dir: str, epoch: int = 1) -> DataFrame:
     """``split, batch_id, id, idx, inputs, targets, len`` (padded)."""
-    sm = cut_lineage(SM.split_rows(samples(S.pair_rows(spark, sf_dir)), VAL_SPLIT, "id", SEED))
+    sm = SM.split_rows(cut_table(samples(S.pair_rows(spark, sf_dir))), VAL_SPLIT, "id", SEED)
     n_train = sm.where(F.col("split") == "train").count()
     h = SM.seeded_hash("id", SEED, epoch)
     idx = global_index(sm.withColumn("_h", h), ["split", "_h", "id"], out="_g")
