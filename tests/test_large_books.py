@@ -47,6 +47,20 @@ def test_a_book_larger_than_a_split(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"book{i}.txt").write_text(f"text {i}\n")
+    (tmp_path / "other.txt").write_text("none of the books")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+        lines, books = RS.read_book_lines(spark, str(tmp_path)), RS.read_books(spark, str(tmp_path))
+        assert max(lines.rdd.getNumPartitions(), books.rdd.getNumPartitions()) <= 8 * spark.sparkContext.defaultParallelism < 400
+        assert sorted((r["path"], r["line"]) for r in lines.collect()) == sorted((f"book{i}.txt", x) for i in range(400) for x in ("", f"text {i}"))
+        assert {r["path"]: r["text"] for r in books.collect()} == {f"book{i}.txt": f"text {i}\n" for i in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("sep, size", [("\n\n", 7), ("", 3), ("--", 1000)])
 def test_parts_equal_the_joined_text(spark, sep, size):
     r = random.Random(6)
