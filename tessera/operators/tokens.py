@@ -10,12 +10,10 @@ Scale notes
   distributed rank (``ordering.global_index``), never a one-task window.
 * Encode: a vocabulary of a counted ``IN_PLACE_MAX_PIECES`` or less is sent to the
   tasks, and rows become ids where they are (Arrow batches, distinct pieces looked up once):
-  no explode, join or shuffle.  Above that pieces are exploded per row and joined to the vocabulary, which
-  is broadcast only when its *counted* size is within
-  ``broadcast_max``; above that its most frequent entries are broadcast and only
-  rare pieces go through a shuffle join.  Rows are told apart by a stored row
-  number, never by the caller's key.  The regroup is pre-aggregated map-side,
-  because after a broadcast join all pieces of a row sit in the same partition.
+  no explode, join or shuffle.  Above that, and to decode, rows come in blocks of a bounded number of
+  pieces: the distinct pieces of a block are joined to the vocabulary, the rows are rewritten where block and
+  answers meet (``_by_blocks``).  Pieces never become rows, so nothing is regrouped, and the caller's
+  keys may repeat or be null.
 * Windows and blocks are encoded straight from the pieces (``encode_fragments``):
   offsets are known from piece counts, so ids cross one shuffle, to their window.
 """
@@ -28,14 +26,14 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import pieces
 from tessera.operators.ordering import global_index
-from tessera.session import cut_lineage
+from tessera.session import cut_table
 
 END_OF_TEXT = "<|endoftext|>"          # fixed value: text of the end-of-text id
 BROADCAST_MAX_PIECES = 2_000_000       # vocabulary rows that may be broadcast
 IN_PLACE_MAX_PIECES = 500_000          # vocabulary rows that Python tasks may hold
+EXPLODED_MAX_PIECES = 500_000          # vocabulary rows up to which fragments may be exploded, where tasks may hold fewer in Python
 MAX_PIECES = (1 << 32) - 2
 UNKNOWN = "\ufffd"
-ROW = "_row"
 
 
 def _pieces_of(df: DataFrame, text: str | None, pieces_col: str | None):
@@ -55,39 +53,90 @@ def build_vocab(df: DataFrame, text: str = "text", pieces_col: str | None = None
     The counts are written once (the distributed rank reads them twice); the
     rank itself comes from a written table, so every consumer (size check,
     encode, decode) reads stored rows instead of recounting the corpus."""
-    counts = cut_lineage(piece_counts(df, text, pieces_col).withColumn("_neg_n", -F.col("n")))
-    ranked = global_index(counts, ["_neg_n", "piece"], out="_rank")
+    counts = cut_table(piece_counts(df, text, pieces_col).withColumn("_neg_n", -F.col("n")))
+    ranked = global_index(counts, ["_neg_n", "piece"], out="_rank", store=cut_table)
     # written once more: each broadcast of the vocabulary would otherwise
     # re-run the rank's join with the partition bases
-    return cut_lineage(ranked.select("piece", "n", (F.col("_rank") - 1).alias("id")))
+    return cut_table(ranked.select("piece", "n", (F.col("_rank") - 1).alias("id")))
 
 
-def _lookup(rows: DataFrame, vocab: DataFrame, key_col: str, val_col: str, broadcast_max: int,
-            rank_col: str = "id", size: int | None = None) -> DataFrame:
-    """Left-join ``rows`` to the vocabulary on ``key_col``.
+BLOCK_VALUES = 1 << 20                 # values of a block of rows: what one task holds at a time
 
-    Small vocabulary (counted): one broadcast hash join.  Large vocabulary:
-    ids are ranks by frequency, so the ``broadcast_max`` most frequent
-    entries — the bulk of all tokens — are broadcast and joined map-side;
-    only rows that miss them (rare pieces) go through a shuffle join with
-    the rest.  A hot piece therefore never reaches a shuffle."""
-    size = vocab.count() if size is None else size
-    if size <= broadcast_max:
-        return rows.join(F.broadcast(vocab), key_col, "left")
-    hot = vocab.where(F.col(rank_col) < broadcast_max) if rank_col in vocab.columns else vocab
-    cold = vocab.where(F.col(rank_col) >= broadcast_max) if rank_col in vocab.columns else vocab
-    j = rows.join(F.broadcast(hot), key_col, "left")
-    hit = j.where(F.col(val_col).isNotNull() | F.col(key_col).isNull())
-    miss = j.where(F.col(val_col).isNull() & F.col(key_col).isNotNull()).select(*rows.columns)
-    return hit.unionByName(miss.join(cold, key_col, "left"))
 
+def _coded_blocks(names: list[str], values: str):
+    """Arrow batches -> their rows with ``values`` as places in the list of their block's distinct values
+    (``_codes``; -1 for null), and behind each block one row with that list (``_entries``)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+        block = TaskContext.get().partitionId() << 40
+        for b in batches:
+            lists = b.column(b.schema.get_field_index(values))
+            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)), dtype=np.int64)
+            at = 0
+            while at < b.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                to = max(int(np.searchsorted(ends, before + BLOCK_VALUES, "right")), at + 1)
+                part, rows = lists.slice(at, to - at), b.slice(at, to - at)
+                coded = part.flatten().dictionary_encode()
+                codes = coded.indices.cast(pa.int32()).fill_null(-1)
+                offsets = pa.array(np.concatenate([[0], ends[at:to] - before]), pa.int32(), mask=np.append(np.asarray(part.is_null()), False))
+                n, kept = to - at, [rows.column(rows.schema.get_field_index(c)) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *kept, pa.array(np.ones(n, bool)), pa.ListArray.from_arrays(offsets, codes),
+                                                  pa.nulls(n, part.type)], names=["_block", *names, "_is_row", "_codes", "_entries"])
+                entries = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary).cast(part.type)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.nulls(1, c.type) for c in kept), pa.array([False]),
+                                                  pa.nulls(1, pa.list_(pa.int32())), entries], names=["_block", *names, "_is_row", "_codes", "_entries"])
+                block, at = block + 1, to
+    return run
+
+
+def _by_blocks(df: DataFrame, side: DataFrame, values: str, key: str, value: str, out: str, kind: T.DataType, finish) -> DataFrame:
+    """``df`` with its lists ``values`` replaced by ``out``, each value looked up in ``side`` (``key`` -> ``value``),
+    whatever the size of either.  Rows come in blocks of a bounded number of values; a block's distinct values, not
+    its values, are joined to ``side``, and block and answers meet in one task.  Values never become rows, so no join,
+    sort or regroup grows with them.  ``finish(lists of places, answers)`` makes the column: the answers hold a
+    null where ``side`` has none, and one more at the end for nulls in the lists."""
+    kept = [f for f in df.schema.fields if f.name != values]
+    names = [f.name for f in kept]
+    plain = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("_block", T.LongType()), *(T.StructField(f.name, f.dataType) for f in kept), T.StructField("_is_row", T.BooleanType()),
+                           T.StructField("_codes", plain), T.StructField("_entries", df.schema[values].dataType)])
+    stored = cut_table(df.mapInArrow(_coded_blocks(names, values), schema))
+    rows = stored.where("_is_row").select("_block", *names, "_codes")
+    asked = stored.where(~F.col("_is_row")).select("_block", F.posexplode("_entries").alias("_code", key))
+    known = asked.join(side.select(key, value), key).select(F.col("_block").alias("_of"), "_code", value)
+    fields = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField(out, kind)])
+
+    def solve(left, right):
+        import numpy as np
+        import pyarrow as pa
+        left = left.combine_chunks()
+        lists = left.column("_codes").combine_chunks() if left.num_rows else pa.array([], pa.list_(pa.int32()))
+        codes = np.asarray(lists.flatten())
+        size = int(codes.max(initial=-1)) + 1
+        found = np.full(size, -1, np.int64)
+        found[right.column("_code").to_numpy()] = np.arange(right.num_rows)
+        # the last place is the one of nulls: a code of -1
+        answers = pa.concat_arrays([right.column(value).combine_chunks().take(pa.array(found, mask=found < 0)),
+                                    pa.nulls(1, right.schema.field(value).type)])
+        return pa.Table.from_arrays([*(left.column(c) for c in names), finish(lists, codes, answers)], names=[*names, out])
+    return rows.groupBy("_block").cogroup(known.groupBy("_of")).applyInArrow(solve, fields)
+
+
+def ids_by_blocks(df: DataFrame, vocab: DataFrame, pcs: str, out: str, eos_id: int | None = None) -> DataFrame:
+    """Like ``ids_in_place`` for a vocabulary of any size (``_by_blocks``)."""
+    end = -1 if eos_id is None else eos_id
 
-def _row_numbered(df: DataFrame, row: str | None) -> tuple[DataFrame, str]:
-    """The rows with a frozen number each: keys may repeat or be null, so they
-    can't tell rows apart."""
-    if row:
-        return df, row
-    return cut_lineage(df.withColumn(ROW, F.monotonically_increasing_id())), ROW
+    def finish(lists, codes, answers):
+        import numpy as np
+        import pyarrow as pa
+        of = answers.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        of[-1] = end
+        sizes = np.asarray(lists.value_lengths().fill_null(0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(of[codes], pa.int64()))
+    return _by_blocks(df, vocab, pcs, "piece", "id", out, T.ArrayType(T.LongType()), finish)
 
 
 def _packed(pos: Column, value: Column) -> Column:
@@ -100,20 +149,12 @@ def _unpacked(items: Column) -> Column:
     return F.transform(F.array_sort(items), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)) - 1)
 
 
-def _ids_of(ex: DataFrame, vocab: DataFrame, keys: list[str], carry: list[str], eos_id: int | None,
-            broadcast_max: int, vocab_rows: int | None, out: str) -> DataFrame:
-    """Rows (keys, carry, pos, piece) -> one row of ids per ``keys``.  A piece
-    outside the vocabulary gives -1, a null piece the end-of-text id, a null ``pos`` nothing."""
-    size = vocab.count() if vocab_rows is None else vocab_rows
-    if size > MAX_PIECES:
-        raise ValueError(f"{size} pieces: ids must stay below 2^32 - 1")
-    side = vocab.select("piece", F.col("id").alias("_vid"), F.col("id").alias("_rank"))
-    j = _lookup(ex, side, "piece", "_vid", broadcast_max, "_rank", size).drop("_rank")
-    unknown = F.coalesce(F.col("_vid"), F.lit(-1).cast("long"))
-    if eos_id is not None:
-        unknown = F.when(F.col("piece").isNull(), F.lit(eos_id).cast("long")).otherwise(unknown)
-    item = F.when(F.col("pos").isNotNull(), _packed(F.col("pos"), unknown))
-    return j.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry], _unpacked(F.collect_list(item)).alias(out))
+def _ids_of(ex: DataFrame, vocab: DataFrame, keys: list[str], eos_id: int, out: str) -> DataFrame:
+    """Rows (keys, pos, piece) -> one row of ids per ``keys``, by a broadcast of the vocabulary.  A piece
+    outside the vocabulary gives -1, a null piece the end-of-text id."""
+    j = ex.join(F.broadcast(vocab.select("piece", F.col("id").alias("_vid"))), "piece", "left")
+    known = F.when(F.col("piece").isNull(), F.lit(eos_id).cast("long")).otherwise(F.coalesce(F.col("_vid"), F.lit(-1).cast("long")))
+    return j.groupBy(*keys).agg(_unpacked(F.collect_list(_packed(F.col("pos"), known))).alias(out))
 
 
 def ids_in_place(df: DataFrame, vocab: DataFrame, pcs: str, out: str, eos_id: int | None = None) -> DataFrame:
@@ -155,8 +196,8 @@ def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
     """``*key, *carry, out ARRAY<BIGINT>`` per row of ``df`` — the ids of the pieces of
     ``text`` in order.  ``eos_id`` is appended to every row, or only to rows whose
     boolean ``eos_col`` is true when that is given; a null in a given
-    ``pieces_col`` is an end of text too.  Rows are told apart by ``row`` (a stored
-    row number) or by one stamped here, so keys may repeat or be null."""
+    ``pieces_col`` is an end of text too.  Keys may repeat or be null: rows are never
+    told apart by them, nor need a number (``row`` is not looked at)."""
     keys = [key] if isinstance(key, str) else list(key)
     carry = list(carry or [])
     if eos_col and eos_col not in carry:
@@ -164,13 +205,11 @@ def encode(df: DataFrame, vocab: DataFrame, key, text: str = "text",
     kept = [*keys, *(c for c in carry if c not in keys)]
     mark = eos_id if pieces_col else None
     vocab_rows = vocab.count() if vocab_rows is None else vocab_rows
-    if vocab_rows <= min(broadcast_max, IN_PLACE_MAX_PIECES):
-        src = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(kept)], _pieces_of(df, text, pieces_col).alias("_pcs"))
-        g = ids_in_place(src, vocab, "_pcs", "_ids", mark).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(kept)], F.col("_ids").alias(out))
-    else:
-        src, row = _row_numbered(df.select(*kept, *([row] if row else []), _pieces_of(df, text, pieces_col).alias("_pcs")), row)
-        ex = src.select(row, *kept, F.posexplode_outer("_pcs").alias("pos", "piece"))
-        g = _ids_of(ex, vocab, [row], [c for c in kept if c != row], mark, broadcast_max, vocab_rows, out)
+    if vocab_rows > MAX_PIECES:
+        raise ValueError(f"{vocab_rows} pieces: ids must stay below 2^32 - 1")
+    src = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(kept)], _pieces_of(df, text, pieces_col).alias("_pcs"))
+    coded = ids_in_place if vocab_rows <= min(broadcast_max, IN_PLACE_MAX_PIECES) else ids_by_blocks
+    g = coded(src, vocab, "_pcs", "_ids", mark).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(kept)], F.col("_ids").alias(out))
     if eos_id is not None:
         tail = F.concat(F.col(out), F.array(F.lit(eos_id).cast("long")))
         g = g.withColumn(out, F.when(F.col(eos_col), tail).otherwise(F.col(out)) if eos_col else tail if not pieces_col else F.col(out))
@@ -183,13 +222,13 @@ def encode_fragments(fragments: DataFrame, vocab: DataFrame, keys: list[str], sl
     places (``slot`` is the place of a fragment's first piece).  The pieces become ids and
     meet under their key in one shuffle."""
     size = vocab.count() if vocab_rows is None else vocab_rows
-    if size <= min(broadcast_max, IN_PLACE_MAX_PIECES):
-        rows = ids_in_place(fragments.select(*keys, slot, pcs), vocab, pcs, "_ids", eos_id)
-        pieces_ = F.array_sort(F.collect_list(F.struct(F.col(slot).alias("s"), F.col("_ids").alias("i"))))
-        return rows.groupBy(*keys).agg(F.flatten(F.transform(pieces_, lambda x: x["i"])).alias(out))
-    ex = fragments.select(*keys, slot, F.posexplode(pcs).alias("_at", "piece"))
-    ex = ex.select(*keys, (F.col(slot) + F.col("_at")).alias("pos"), "piece")
-    return _ids_of(ex, vocab, keys, [], eos_id, broadcast_max, vocab_rows, out)
+    if IN_PLACE_MAX_PIECES < size <= min(broadcast_max, EXPLODED_MAX_PIECES):
+        ex = fragments.select(*keys, slot, F.posexplode(pcs).alias("_at", "piece"))
+        return _ids_of(ex.select(*keys, (F.col(slot) + F.col("_at")).alias("pos"), "piece"), vocab, keys, eos_id, out)
+    coded = ids_in_place if size <= min(broadcast_max, IN_PLACE_MAX_PIECES) else ids_by_blocks
+    rows = coded(fragments.select(*keys, slot, pcs), vocab, pcs, "_ids", eos_id)
+    pieces_ = F.array_sort(F.collect_list(F.struct(F.col(slot).alias("s"), F.col("_ids").alias("i"))))
+    return rows.groupBy(*keys).agg(F.flatten(F.transform(pieces_, lambda x: x["i"])).alias(out))
 
 
 def decode(df: DataFrame, vocab: DataFrame, key, ids: str = "ids",
@@ -199,12 +238,16 @@ def decode(df: DataFrame, vocab: DataFrame, key, ids: str = "ids",
     character.  A null array gives null."""
     keys = [key] if isinstance(key, str) else list(key)
     size = vocab.count()
-    side = vocab.select(F.col("id").alias("_vid"), "piece", F.col("id").alias("_rank"))
-    src, row = _row_numbered(df.select(*keys, *([row] if row else []), F.col(ids).cast("array<bigint>").alias("_ids")), row)
-    ex = src.select(row, *keys, F.col("_ids").isNull().alias("_none"), F.posexplode_outer("_ids").alias("pos", "_vid"))
-    j = _lookup(ex, side, "_vid", "piece", broadcast_max, "_rank").drop("_rank")
-    piece = F.when(F.col("_vid") == size, F.lit(END_OF_TEXT)).otherwise(F.coalesce("piece", F.lit(UNKNOWN)))
-    item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), piece.alias("p")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]), "")
-    g = j.groupBy(row).agg(*[F.first(k).alias(k) for k in keys if k != row], F.when(~F.first("_none"), text).alias(out))
-    return g.select(*keys, out)
+    src = df.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.col(ids).cast("array<bigint>").alias("_ids"))
+    side = vocab.select("id", "piece").unionByName(df.sparkSession.createDataFrame([(size, END_OF_TEXT)], "id long, piece string"))
+
+    def finish(lists, codes, answers):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        texts = answers.fill_null(UNKNOWN).take(pa.array(np.where(codes < 0, len(answers) - 1, codes), pa.int64()))
+        ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
+        offsets = pa.array(ends, pa.int32(), mask=np.append(np.asarray(lists.is_null()), False))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, texts), "")
+    back = _by_blocks(src, side, "_ids", "id", "piece", "_text", T.StringType(), finish)
+    return back.select(*[F.col(f"_c{i}").alias(k) for i, k in enumerate(keys)], F.col("_text").alias(out))

@@ -88,6 +88,32 @@ def test_ids_cross_one_shuffle_to_their_window(spark, way):
     assert sorted(keys) == ["_pid", "split"] and "rangepartitioning" not in plan  # _pid: one total per partition
 
 
+@pytest.mark.parametrize("values", [1, 7, 1 << 20])
+def test_blocks_of_rows_equal_rows_in_place(spark, vocab, monkeypatch, values):
+    r = random.Random(values)
+    rows = [(None if i % 3 == 0 else i % 4, None if i % 11 == 0 else [r.choice(["a", " b", "zz", " c", None]) for _ in range(r.choice([0, 1, 5, 30]))])
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, pcs array<string>")
+    part = df.where("pcs is not null").select("id", F.monotonically_increasing_id().alias("slot"), "pcs").orderBy("slot")
+    way = lambda: (sorted(map(repr, TK.encode(df, vocab, "id", eos_id=99, pieces_col="pcs").collect())),
+                   sorted(map(repr, TK.encode_fragments(part, vocab, ["id"], "slot", "pcs", 99).collect())))
+    want = way()
+    for bound in ("IN_PLACE_MAX_PIECES", "EXPLODED_MAX_PIECES"):
+        monkeypatch.setattr(TK, bound, 0)
+    monkeypatch.setattr(TK, "BLOCK_VALUES", values)
+    assert way() == want
+
+
+def test_no_piece_or_id_becomes_a_row(spark, vocab, monkeypatch):
+    """Above the bounds neither coding way explodes, collects or sorts what a row holds."""
+    monkeypatch.setattr(TK, "IN_PLACE_MAX_PIECES", 0)
+    df = spark.createDataFrame([(1, "a b"), (1, "a b")], "id long, text string")
+    enc = TK.encode(df, vocab, "id")
+    for d in (enc, TK.decode(enc, vocab, "id")):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 # --- merges ---------------------------------------------------------------------
 def test_merges_equal_the_tokenizers_library(spark):
     import public_tokenizers
