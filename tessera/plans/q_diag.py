@@ -62,7 +62,7 @@ def unique_rollup(spark, sf_dir):
     rolled up from block sketches is within four standard errors of it."""
     runs = cut_table(C.stream_runs(spark, sf_dir, BLOCK)[0])
     est = ST.roll_up_unique(ST.unique_sketches(runs, ["split", "seq"]), ["split", "seq"])
-    exact = runs.select("split", "seq", F.explode("ids").alias("id")).rollup("split", "seq").agg(F.countDistinct("id").alias("exact"))
+    exact = ST.exact_unique(runs, ["split", "seq"])
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("split", "seq")]
     return est.alias("a").join(exact.alias("b"), same[0] & same[1]).select(
         "a.split", F.col("a.seq").alias("block"), "n", "exact",
