@@ -71,3 +71,27 @@ def test_unique_sketches_roll_up(spark):
             (None, None): (15100, 9000)}
     assert got.keys() == want.keys()
     assert all(got[k][0] == n and abs(got[k][1] - u) <= 4 * 1.04 / 2 ** (ST.LG_K / 2) * u for k, (n, u) in want.items())
+
+
+def test_exact_unique_per_level_without_a_copy_of_the_ids_per_level(spark):
+    from tessera.operators import stats as ST
+    rows = [("train", 0, [1, 1, 2]), ("train", 1, [2, 3]), ("val", 0, [3, 3, 9]), ("val", 1, [9])]
+    df = spark.createDataFrame(rows, "split string, seq long, ids array<long>")
+    got = ST.exact_unique(df, ["split", "seq"])
+    assert {(r["split"], r["seq"]): r["exact"] for r in got.collect()} == {
+        ("train", 0): 2, ("train", 1): 2, ("val", 0): 2, ("val", 1): 1, ("train", None): 3, ("val", None): 2, (None, None): 4}
+    for d in (got, ST.unique_sketches(df, ["split", "seq"])):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and ("explode" not in plan or "array_distinct" in plan)
+    assert {(r["split"], r["seq"]): r["n"] for r in ST.unique_sketches(df, ["split", "seq"]).collect()} == {(a, b): len(x) for a, b, x in rows}
+
+
+def test_shift_check_joins_no_ids(spark):
+    from tessera.operators.stats import shift_mismatches
+    rows = [("a", 0, [1, 2, 3], [2, 3, 4]), ("a", 1, [4, 5, 6], [5, 7, 9]), ("a", 2, [8, 1], [1, 2]), ("b", 0, [1], [2])]
+    df = spark.createDataFrame(rows, "split string, seq long, inputs array<long>, targets array<long>")
+    got = shift_mismatches(df)
+    # in a: 7 for 6 inside the second window, 9 for 8 at its edge
+    assert sorted(map(tuple, got.collect())) == [("a", 3, 2), ("b", 1, 0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "inputs" not in plan and "targets" not in plan
