@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import pieces
 from tessera.operators.ordering import broadcast_if_small
+from tessera.session import cut_table
 
 # The three sampling presets (temperature, repetition
 # penalty, top-k, top-p).
@@ -111,6 +112,7 @@ def apply_presets(cand: DataFrame, history: DataFrame, presets: dict | None = No
     """Every preset applied, tagged; a union of one plan per preset
     (three fixed plans), not a cross join of candidates and presets."""
     presets = presets or PRESETS
+    cand = cut_table(cand)      # counted once, not once per preset
     out = None
     for name, (t, pen, k, p) in presets.items():
         d = apply_preset(cand, history, t, pen, k, p).withColumn("preset", F.lit(name))

@@ -38,3 +38,11 @@ def test_draw_deterministic(spark):
     d1 = sorted(tuple(r) for r in CD.draw(s, 1).collect())
     d2 = sorted(tuple(r) for r in CD.draw(s, 1).collect())
     assert d1 == d2 and len(d1) == 2
+
+
+def test_presets_count_their_candidates_once(spark):
+    docs = spark.createDataFrame([("a b a c a b",)], "text string")
+    got = CD.apply_presets(CD.bigram_candidates(docs), spark.createDataFrame([(" b",)], "token string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and plan.count("FileScan parquet") >= len(CD.PRESETS)
+    assert {r["preset"] for r in got.collect()} == set(CD.PRESETS)
