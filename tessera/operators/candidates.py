@@ -26,11 +26,12 @@ PRESETS = {
 
 def bigram_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Next-piece counts over texts: ``g`` = a piece, ``token`` = the piece
-    after it, ``score = ln(count)``.  Map-side partial counts."""
-    p = pieces(F.col(text))
-    n = F.size(p)
-    pairs = F.arrays_zip(F.slice(p, 1, n - 1).alias("g"), F.slice(p, 2, n - 1).alias("token"))
-    ex = docs.where(n > 1).select(F.explode(pairs).alias("_b")).select("_b.g", "_b.token")
+    after it, ``score = ln(count)``.  Map-side partial counts.  Pieces are a
+    column of their own and no filter reads them: each text is cut once."""
+    cut = docs.select(pieces(F.col(text)).alias("_p"))
+    n = F.greatest(F.size("_p") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("_p", F.lit(1), n).alias("g"), F.slice("_p", F.lit(2), n).alias("token"))
+    ex = cut.select(F.explode(pairs).alias("_b")).select("_b.g", "_b.token")
     return ex.groupBy("g", "token").agg(F.count(F.lit(1)).alias("n")).withColumn("score", F.log(F.col("n")))
 
 
@@ -67,13 +68,16 @@ def softmax(cand: DataFrame, g: str = "g", logit: str = "logit", out: str = "pro
 def nucleus(cand: DataFrame, p: float, g: str = "g", logit: str = "logit",
             token: str = "token", prob: str = "prob") -> DataFrame:
     """In descending order keep a row while the probability mass before
-    it is at most ``p`` (the first row always), then renormalize."""
-    s = softmax(cand, g, logit, "_p")
-    w = Window.partitionBy(g).orderBy(F.col(logit).desc(), F.col(token)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    kept = s.withColumn("_before", F.coalesce(F.sum("_p").over(w), F.lit(0.0))).where(
+    it is at most ``p`` (the first row always), then renormalize.  The first
+    row has the largest logit, before and after the cut: one sort, and both
+    softmaxes share their exponentials."""
+    w = Window.partitionBy(g).orderBy(F.col(logit).desc(), F.col(token))
+    upto, ahead = (w.rowsBetween(Window.unboundedPreceding, e) for e in (Window.currentRow, -1))
+    s = cand.withColumn("_e", F.exp(F.col(logit) - F.max(logit).over(upto)))
+    s = s.withColumn("_p", F.col("_e") / F.sum("_e").over(_grp(g)))
+    kept = s.withColumn("_before", F.coalesce(F.sum("_p").over(ahead), F.lit(0.0))).where(
         F.col("_before") <= p).drop("_p", "_before")
-    return softmax(kept, g, logit, prob)
+    return kept.withColumn(prob, F.col("_e") / F.sum("_e").over(_grp(g))).drop("_e")
 
 
 def top_n_view(cand: DataFrame, n: int = 5, g: str = "g", prob: str = "prob",

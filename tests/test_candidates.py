@@ -1,5 +1,6 @@
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import candidates as CD
@@ -46,3 +47,33 @@ def test_presets_count_their_candidates_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in plan and plan.count("FileScan parquet") >= len(CD.PRESETS)
     assert {r["preset"] for r in got.collect()} == set(CD.PRESETS)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_text_is_cut_into_pieces_once(spark):
+    texts = ["a b a b", "a", "", None, " b", "a b"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = CD.bigram_candidates(docs)
+    assert _plan(c).count("regexp_extract_all") == 1
+    got = {(r.g, r.token): (r.n, round(r.score, 9)) for r in c.collect()}
+    assert got == {("a", " b"): (2, round(math.log(2), 9)), (" b", " a"): (1, 0.0), (" a", " b"): (1, 0.0)}
+
+
+def test_nucleus_sorts_once_and_equals_the_two_softmaxes(spark):
+    rows = [(f"g{i % 7}", f"t{i:03d}", float((i * 37) % 11) / 3) for i in range(200)]
+    rows += [("even", f"t{i:02d}", 0.0) for i in range(20)] + [(None, "a", 1.0), (None, "b", 0.0)]
+    rows += [("odd", "a", None), ("odd", "b", 1.0), ("void", "a", None), ("void", "b", None),
+             ("nan", "a", float("nan")), ("nan", "b", 1.0), ("inf", "a", float("inf")), ("inf", "b", 1.0)]
+    c = _c(spark, rows)
+    got = CD.nucleus(c, 0.9)
+    plan = _plan(got)
+    assert plan.count("Sort [") == 1 and plan.count("EXP(") == 1
+
+    w = Window.partitionBy("g").orderBy(F.col("logit").desc(), "token").rowsBetween(Window.unboundedPreceding, -1)
+    s = CD.softmax(c, out="_p").withColumn("_b", F.coalesce(F.sum("_p").over(w), F.lit(0.0))).where("_b <= 0.9")
+    want = CD.softmax(s.drop("_p", "_b"))
+    shown = lambda df: sorted(map(str, df.select("g", "token", "logit", F.round("prob", 12).alias("prob")).collect()))
+    assert got.columns == want.columns and shown(got) == shown(want)
