@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -220,6 +222,45 @@ def test_near_copies_by_row(spark):
     assert got == Counter([(1, one), (2, two), (None, alone[0]), (None, alone[1]), (None, None), (None, ""), (7, alone[2]), (9, nine)])
 
 
+def shuffled(spark):
+    """Bytes of the shuffle files that are there."""
+    top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f: os.path.getsize(os.path.join(d, f)) for t in top for d, _, names in os.walk(t) for f in names if f.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("drops", [False, True])
+def test_near_copies_shuffle_no_texts(spark, drops):
+    """Sets and texts move only for points of candidate pairs; tables on the way don't stay."""
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choices(string.ascii_letters, k=4000)) for _ in range(10))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ckpt, before = spark.sparkContext.getCheckpointDir().removeprefix("file:"), shuffled(spark)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were more rows than can be sent
+        if drops:
+            assert sorted(x["doc_id"] for x in jaccard_join.drop_near_duplicates(df).collect()) == list(range(300))
+        else:
+            got = jaccard_join.near_duplicates(df).collect()
+            assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(i, i % 1000) for i, _ in rows]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(n for f, n in shuffled(spark).items() if f not in before) < 0.2 * sum(len(t) for _, t in rows)
+    assert not [x for x in os.listdir(ckpt) if x.startswith("shelf-")]
+
+
+@pytest.mark.parametrize("words", [1, 1 << 10])
+def test_near_copies_with_a_full_bitmap(spark, monkeypatch, words):
+    """The bitmap steers work, not results: also where it lets every row through."""
+    monkeypatch.setattr(jaccard_join, "MARK_WORDS", words)
+    texts = near_group(20, 80, 3, 3) + [f"{i} " + " ".join(near_group(1, 50, 0, i)) for i in range(100)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500 + i, t) for i, t in enumerate(texts[::3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 4, 85)
+    assert collected(jaccard_join.near_duplicates(df, 4, 85)) == want
+    assert sorted(x["doc_id"] for x in jaccard_join.drop_near_duplicates(df, 4, 85).collect()) == sorted(d for d, _, c in want if d == c)
+
+
 def brute_runs(rows, least=50):
     """Deletes each line inside a run of ``least`` words that occurs earlier."""
     order = sorted({(d, t) for d, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
