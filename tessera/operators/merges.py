@@ -3,15 +3,13 @@
 The merges are a table ``rank, left, right`` and the ids a table ``token, id``, read
 from a tokenizer file or given by the caller; nothing is trained here.
 
-* Text is cut into pieces, and every piece of a row becomes one row (piece, its places):
-  a dictionary pass over Arrow batches, linear in the pieces.
-* The merges run once per *distinct* piece of the corpus, in tasks that hold both tables
-  (``MAX_TABLE`` rows at most: they are parameters, not data).  A piece keeps
-  its neighbours in a linked list and its possible merges in a heap, so a long
-  piece costs n log n.
-* The ids of a piece are joined to the rows' distinct pieces (broadcast below a
-  counted size, else a shuffle join whose hot pieces AQE splits) and the rows
-  are put together by their stored row numbers.
+* Rows are rewritten where they are (Arrow batches, in blocks of a bounded number of pieces): no explode,
+  join, shuffle or table on the way.  Both tables are held by the tasks (``MAX_TABLE`` rows at most: they are
+  parameters, not data).
+* Per block only the distinct pieces are looked up, and the merges run once per distinct piece of a task as long as
+  ``KEPT_BYTES`` hold its pieces; of more, those met last are kept.  A piece keeps its neighbours in a linked
+  list and its possible merges in a heap, so a long piece costs n log n.
+* Ids are decoded the same way; above ``MAX_TABLE`` tokens by a join of each block's distinct ids (``tokens._by_blocks``).
 
 Byte-level tables spell the bytes of UTF-8 as printable characters: bytes that are
 printable Latin-1 characters as themselves, the others as the characters from 256 on.
@@ -30,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import pieces
-from tessera.operators.ordering import broadcast_if_small
+from tessera.operators.tokens import BLOCK_VALUES, _by_blocks
 from tessera.session import cut_table
 
 MAX_TABLE = 2_000_000          # rows of a merges or token table
-BROADCAST_MAX_PIECES = 500_000  # encoded pieces that may be broadcast
+KEPT_BYTES = 64 << 20          # about what the encoded pieces that a task keeps may take
+UNKNOWN = "EFBFBD"             # hex of the replacement character
 
 
 @dataclass
@@ -92,71 +91,83 @@ def _collected(table: DataFrame, what: str) -> list:
     return rows
 
 
-def piece_ids(distinct: DataFrame, bpe: Bpe) -> DataFrame:
-    """``piece, piece_ids`` for a table of distinct pieces."""
-    sc = distinct.sparkSession.sparkContext
-    ranks: dict = {}
-    for r in _collected(bpe.merges, "merges"):
-        p = (r["left"], r["right"])
-        ranks[p] = min(r["rank"], ranks.get(p, r["rank"]))
-    shared = sc.broadcast((ranks, {r["token"]: r["id"] for r in _collected(bpe.tokens, "tokens")}))
-    byte_level = bpe.byte_level
+class _Kept:
+    """Ids by piece in bounded memory: of the pieces beyond it, those met last stay."""
 
-    def run(batches):
-        import pyarrow as pa
-        ranks, ids = shared.value
-        alphabet = byte_alphabet()
-        for b in batches:
-            out = []
-            for piece in b.column(0).to_pylist():
-                symbols = [alphabet[x] for x in piece.encode()] if byte_level else list(piece)
-                out.append([ids.get(s, -1) for s in merge(symbols, ranks)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["piece", "piece_ids"])
+    def __init__(self, make):
+        self.make, self.new, self.old, self.size = make, {}, {}, 0
+
+    def get(self, piece: str) -> list:
+        ids = self.new.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is None:
+                ids = self.make(piece)
+            self.size += 200 + 4 * len(piece) + 8 * len(ids)
+            if self.size > KEPT_BYTES // 2:
+                self.new, self.old, self.size = {}, self.new, 0
+            self.new[piece] = ids
+        return ids
 
-    return distinct.select("piece").mapInArrow(run, "piece string, piece_ids array<bigint>")
 
+def _blocks(batches, values: str):
+    """``(rows, their lists)``: slices of the batches with ``BLOCK_VALUES`` values or one row."""
+    import numpy as np
+    for b in batches:
+        ends = np.cumsum(np.asarray(b.column(b.schema.get_field_index(values)).value_lengths().fill_null(0)), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = max(int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + BLOCK_VALUES, "right")), at + 1)
+            part = b.slice(at, to - at)
+            yield part, part.column(part.schema.get_field_index(values))
+            at = to
+
+
+def _in_place(df: DataFrame, values: str, out: str, kind: T.DataType, rewrite) -> DataFrame:
+    """``df`` with its lists ``values`` replaced by ``out``: ``rewrite()``, once per task, gives the function of a block's lists."""
+    names = [f.name for f in df.schema.fields if f.name != values]
 
-def _places(keep: list[str]):
-    """Rows with ``pcs`` -> one row per row and distinct piece, with its places
-    (a row without pieces stays, with a null piece)."""
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        for b in batches:
-            lists = b.column(b.schema.get_field_index("pcs"))
-            kept = [b.column(b.schema.get_field_index(c)) for c in keep]
-            sizes = np.asarray(lists.value_lengths().fill_null(0))
-            coded = lists.flatten().dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.repeat(np.arange(b.num_rows), sizes)
-            at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            order = np.lexsort((at, codes, rows))
-            rows, codes, at = rows[order], codes[order], at[order].astype(np.int32)
-            first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1]))) if len(rows) else np.array([], np.int64)
-            empty = np.flatnonzero(sizes == 0)
-            of = np.concatenate([rows[first], empty])
-            piece = pa.concat_arrays([coded.dictionary.take(pa.array(codes[first])).cast(pa.string()), pa.nulls(len(empty), pa.string())])
-            offsets = np.concatenate([first, np.full(len(empty) + 1, len(rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in kept), piece,
-                                              pa.ListArray.from_arrays(pa.array(offsets), pa.array(at))], names=[*keep, "piece", "places"])
-    return run
+        new = rewrite()
+        for rows, lists in _blocks(batches, values):
+            kept = [rows.column(rows.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, new(lists)], names=[*names, out])
+    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name != values), T.StructField(out, kind)]))
 
 
 def encode_bpe(df: DataFrame, bpe: Bpe, key, text: str = "text", out: str = "ids") -> DataFrame:
     """``*key, out ARRAY<BIGINT>`` per row of ``df``."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = cut_table(df.select(F.struct(*keys).alias("key"), pieces(F.col(text)).alias("pcs"), F.monotonically_increasing_id().alias("row")))
-    keep = ["row", "key"]
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("piece", T.StringType()),
-                           T.StructField("places", T.ArrayType(T.IntegerType()))])
-    spread = rows.mapInArrow(_places(keep), schema)
-    distinct = rows.select(F.explode("pcs").alias("piece")).distinct()
-    ids = cut_table(piece_ids(distinct, bpe))
-    joined = spread.join(broadcast_if_small(ids, BROADCAST_MAX_PIECES), "piece", "left")
-    found = F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("places", "piece_ids")))
-    each = F.flatten(F.transform(found, lambda x: F.transform(x["places"], lambda p: F.struct(p.alias("p"), x["piece_ids"].alias("i")))))
-    return joined.groupBy("row").agg(F.first("key").alias("key"), F.flatten(F.transform(F.array_sort(each), lambda x: x["i"])).alias(out)).select(
-        "key.*", out)
+    ranks: dict = {}
+    for r in _collected(bpe.merges, "merges"):
+        p = (r["left"], r["right"])
+        ranks[p] = min(r["rank"], ranks.get(p, r["rank"]))
+    shared = df.sparkSession.sparkContext.broadcast((ranks, {r["token"]: r["id"] for r in _collected(bpe.tokens, "tokens")}))
+    byte_level = bpe.byte_level
+
+    def rewrite():
+        import numpy as np
+        import pyarrow as pa
+        ranks, known = shared.value
+        alphabet = byte_alphabet()
+
+        def make(piece):
+            symbols = [alphabet[x] for x in piece.encode()] if byte_level else list(piece)
+            return [known.get(s, -1) for s in merge(symbols, ranks)]
+        kept = _Kept(make)
+
+        def new(lists):
+            coded = lists.flatten().dictionary_encode()
+            answers = pa.array([kept.get(p) for p in coded.dictionary.to_pylist()], pa.list_(pa.int64()))
+            found = answers.take(coded.indices)
+            ends = np.append(0, np.cumsum(np.asarray(found.value_lengths()), dtype=np.int64))
+            sizes = np.asarray(lists.value_lengths().fill_null(0))
+            return pa.ListArray.from_arrays(pa.array(ends[np.append(0, np.cumsum(sizes))], pa.int32()), found.flatten())
+        return new
+    rows = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(keys)], pieces(F.col(text)).alias("_pcs"))
+    done = _in_place(rows, "_pcs", "_ids", T.ArrayType(T.LongType()), rewrite)
+    return done.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(keys)], F.col("_ids").alias(out))
 
 
 def decode_bpe(df: DataFrame, bpe: Bpe, key, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -168,11 +179,37 @@ def decode_bpe(df: DataFrame, bpe: Bpe, key, ids: str = "ids", out: str = "text"
         spelled = F.array_join(F.transform(at, lambda b: F.lpad(F.hex(b), 2, "0")), "")
     else:
         spelled = F.hex("token")
-    side = cut_table(bpe.tokens.select(F.col("id").alias("_id"), spelled.alias("spelled")))
-    rows = cut_table(df.select(F.struct(*keys).alias("key"), F.col(ids).cast("array<bigint>").alias("ids"), F.monotonically_increasing_id().alias("row")))
-    ex = rows.select("row", "key", F.col("ids").isNull().alias("none"), F.posexplode_outer("ids").alias("pos", "_id"))
-    joined = ex.join(broadcast_if_small(side, BROADCAST_MAX_PIECES), "_id", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("spelled", F.lit("EFBFBD")).alias("s")))
-    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), ""))
-    return joined.groupBy("row").agg(F.first("key").alias("key"), F.when(~F.first("none"), F.make_valid_utf8(whole.cast("string"))).alias(out)).select(
-        "key.*", out)
+    spelled = F.coalesce(spelled, F.lit(UNKNOWN))
+    side = cut_table(bpe.tokens.where("id is not null").groupBy(F.col("id").alias("_id")).agg(
+        F.unhex(F.array_join(F.array_sort(F.collect_list(spelled)), "")).alias("_bytes")))
+    rows = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(keys)], F.col(ids).cast("array<bigint>").alias("_ids"))
+
+    def joined(lists, places, answers):
+        """The bytes at ``places`` of ``answers``, list by list; the last of ``answers`` stands for nulls."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0))))
+        offsets = pa.array(ends, pa.int32(), mask=np.append(np.asarray(lists.is_null()), False))
+        found = answers.fill_null(bytes.fromhex(UNKNOWN)).take(pa.array(places, pa.int64()))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, found), pa.scalar(b"", pa.binary()))
+
+    if side.count() > MAX_TABLE:
+        import numpy as np
+        done = _by_blocks(rows, side, "_ids", "_id", "_bytes", "_text", T.BinaryType(),
+                          lambda lists, codes, answers: joined(lists, np.where(codes < 0, len(answers) - 1, codes), answers))
+    else:
+        shared = df.sparkSession.sparkContext.broadcast({r["_id"]: bytes(r["_bytes"]) for r in side.collect()})
+
+        def rewrite():
+            import numpy as np
+            import pyarrow as pa
+            known = shared.value
+
+            def new(lists):
+                coded = lists.flatten().dictionary_encode()
+                answers = pa.array([*map(known.get, coded.dictionary.to_pylist()), None], pa.binary())
+                return joined(lists, coded.indices.fill_null(len(answers) - 1).to_numpy(zero_copy_only=False).astype(np.int64), answers)
+            return new
+        done = _in_place(rows, "_ids", "_text", T.BinaryType(), rewrite)
+    return done.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(keys)], F.make_valid_utf8(F.col("_text").cast("string")).alias(out))

@@ -270,9 +270,10 @@ def bpe_encode(spark, sf_dir):
     """Ids by the merges of a tokenizer file, and the text they decode to."""
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
     bpe = MG.read_bpe(spark, BPE_FILE)
-    enc = cut_table(MG.encode_bpe(docs, bpe, "doc_id"))
-    sums = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), checksum(F.col("ids")).alias("checksum"))
-    return sums.join(MG.decode_bpe(enc, bpe, "doc_id").select("doc_id", F.md5("text").alias("digest")), "doc_id")
+    enc = MG.encode_bpe(docs, bpe, "doc_id").select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), checksum(F.col("ids")).alias("checksum"))
+    # ids are read once and not stored: sums and digest of a row are known where its ids are
+    done = cut_table(MG.decode_bpe(enc, bpe, ["doc_id", "n_ids", "checksum"]).select("doc_id", "n_ids", "checksum", F.md5("text").alias("digest")))
+    return done.select("doc_id", "n_ids", "checksum").join(done.select("doc_id", "digest"), "doc_id")
 
 
 # Symbols of a piece stand between marks; each step joins the neighbours of least rank.

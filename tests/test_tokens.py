@@ -1,6 +1,7 @@
 """Encoding by row, merges, and windows straight from pieces."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,38 @@ def test_merges_of_characters_and_unknown_symbols(spark):
     assert [tuple(r) for r in lines.merges.orderBy("rank").collect()] == [(0, "a", "b"), (1, "ab", "c d")]
 
 
+@pytest.mark.parametrize("bound", [None, 0])
+def test_merges_move_no_rows(spark, monkeypatch, bound):
+    """Rows are encoded and decoded where they are, with little kept and in blocks of few pieces as well."""
+    r = random.Random(9)
+    rows = [(r.choice([1, None]), r.choice([None, "", "ab ab ba", "b" * r.randint(1, 9) + " a" * r.randint(0, 9)])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    bpe = MG.Bpe(spark.createDataFrame([(0, "a", "b"), (1, "b", "b")], "rank long, left string, right string"),
+                 spark.createDataFrame([("ab", 5), ("a", 6), (" ", 7), ("bb", 8), ("b", 9), ("c", 9), ("d", None)], "token string, id long"), byte_level=False)
+    monkeypatch.setattr(MG, "KEPT_BYTES", 500)
+    monkeypatch.setattr(MG, "BLOCK_VALUES", 4)
+    enc = MG.encode_bpe(df, bpe, "id")
+    spelled = {5: "ab", 6: "a", 7: " ", 8: "bb", 9: "b"}
+    got = enc.collect()
+    assert Counter((x["id"], "".join(spelled[i] for i in x["ids"])) for x in got) == Counter((k, t or "") for k, t in rows)
+    if bound is not None:
+        plain, bpe.tokens = bpe.tokens, bpe.tokens.where("token <> 'c'")
+        monkeypatch.setattr(MG, "MAX_TABLE", bound)
+        held = spark.createDataFrame([(x["id"], list(x["ids"])) for x in got], "id long, ids array<long>")
+        back = MG.decode_bpe(held, bpe, "id")
+        assert Counter(map(tuple, back.collect())) == Counter((k, t or "") for k, t in rows)
+        odd = spark.createDataFrame([(1, [9, None, 4]), (2, None), (3, [])], "id long, ids array<long>")
+        bpe.tokens = plain
+        assert sorted(map(tuple, MG.decode_bpe(odd, bpe, "id").collect())) == [(1, "bc\ufffd\ufffd"), (2, None), (3, "")]
+    else:
+        odd = spark.createDataFrame([(1, [9, None, 4]), (2, None), (3, [])], "id long, ids array<long>")
+        back = MG.decode_bpe(odd, bpe, "id")
+        assert sorted(map(tuple, back.collect())) == [(1, "bc\ufffd\ufffd"), (2, None), (3, "")]
+        for d in (MG.encode_bpe(df.coalesce(1), bpe, "id"), MG.decode_bpe(odd, bpe, "id")):
+            plan = d._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in plan and "collect_list" not in plan
+
+
 def _old_file(spark):
     import json
     import tempfile
