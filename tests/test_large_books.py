@@ -61,6 +61,41 @@ def test_small_files_share_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_the_driver_lists_no_books(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"book{i} a%20b.txt").write_text(f"text {i}\r\rmore\r\n")
+    (tmp_path / "_book1.txt").write_text("hidden")
+    (tmp_path / "book1.md").write_text("another kind")
+    (tmp_path / "bookdir.txt").mkdir()
+    lines = RS.read_book_lines(spark, str(tmp_path), "{book,_book}*.txt")
+    assert not [f for f in lines.inputFiles() if str(tmp_path) in f]
+    got = {}
+    for r in lines.orderBy("path", "block", "at").collect():
+        got.setdefault(r["path"], []).append(r["line"])
+    assert got == {f"book{i} a%20b.txt": [f"text {i}", "", "more", ""] for i in range(300)}
+    with pytest.raises(RS.SourceMissing):
+        RS.read_book_lines(spark, str(tmp_path), "chapter*.txt")
+    with pytest.raises(RS.SourceMissing):
+        RS.read_book_lines(spark, str(tmp_path / "nowhere"))
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 1000])
+def test_ranges_of_a_file_share_no_line(monkeypatch, chunk):
+    import io
+    monkeypatch.setattr(RS, "CHUNK", chunk)
+    r = random.Random(chunk)
+    texts = [b"", b"\xef\xbb\xbf", b"\xef\xbb\xbf\n", b"\xef\xbb\xbfa\rb", b"\r\n\r\n", b"\r\r", b"a" * 9] + [
+        b"".join(r.choice([b"\r", b"\n", b"\r\n", b"a", b"bc", b"\xc3\xa9"]) for _ in range(r.randint(0, 12))) for _ in range(150)]
+    for text in texts:
+        want = [x for x in text.removeprefix(RS.BOM).splitlines()]
+        for step in (1, 2, 3, 5, 100):
+            got, ended = [], False
+            for start in range(0, max(len(text), 1), step):
+                for lines, ended in RS._lines_from(io.BytesIO(text), start, start + step):
+                    got += lines
+            assert (got, ended) == (want, text[-1:] in (b"", b"\n", b"\r")), (text, step)
+
+
 @pytest.mark.parametrize("sep, size", [("\n\n", 7), ("", 3), ("--", 1000)])
 def test_parts_equal_the_joined_text(spark, sep, size):
     r = random.Random(6)
